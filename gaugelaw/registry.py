@@ -1,4 +1,8 @@
 """All registered queries of the library and their SQL counterparts."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from . import queries_law, queries_records, queries_series
+
+QUERIES = queries_law.QUERIES | queries_records.QUERIES | queries_series.QUERIES
+ORACLE_SQL = queries_law.ORACLE_SQL | queries_records.ORACLE_SQL | queries_series.ORACLE_SQL
