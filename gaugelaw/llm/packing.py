@@ -10,10 +10,12 @@ dealt to sequences of power-of-two lengths, which need no padding.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -120,13 +122,54 @@ def pack_stream(docs: Iterator[tuple[object, np.ndarray]], size: int) -> Iterato
 
 
 class WordTokenizer:
-    """Ids of a tokenizer whose tokens never span white space, from ids of the words seen so far."""
+    """Ids of a tokenizer whose tokens never span white space, from ids of the words seen so far.
 
-    def __init__(self, path: str, keep: int = 800_000):
+    The tokenizer lower-cases and splits letters from other characters, so a word of Latin letters,
+    with or without one comma or full stop behind it, has the ids of its stem and of the mark. New
+    stems are encoded many at a time: each ends with its only token that ends a word.
+    """
+
+    def __init__(self, path: str, keep: int = 350_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library, self.keep = Tokenizer.from_file(path), keep
         self.seen: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        size = self.library.get_vocab_size()
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), 256):
+            for e in self.library.encode_batch_fast(texts[at : at + 256], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
+
+    def _learn_stems(self, stems: list[str], together: int = 64) -> None:
+        groups = [stems[at : at + together] for at in range(0, len(stems), together)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            raw, start = ids.tobytes(), 0
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(group):
+                raise ValueError("a stem has not one word end")
+            for stem, end in zip(group, ends):
+                self.stems[stem] = raw[4 * start : 4 * end]
+                start = end
+
+    def learn(self, new: set[str]) -> None:
+        parts: dict[str, tuple[str, str]] = {}
+        odd = [",", "."]
+        for w in new:
+            mark = w[-1] if w[-1] in ",." else ""
+            stem = w[: len(w) - len(mark)]
+            if stem.isalpha() and max(stem) <= "\xff" and stem[-1] not in "\xaa\xba":
+                parts[w] = stem.lower(), mark
+            else:
+                odd.append(w)
+        if len(self.stems) > self.keep:
+            self.stems.clear()
+        self._learn_stems(list({s for s, _ in parts.values()}.difference(self.stems)))
+        self.seen.update((w, x.tobytes()) for w, x in zip(odd, self._encode(odd)))
+        self.seen.update((w, self.stems[s] + self.seen[m] if m else self.stems[s]) for w, (s, m) in parts.items())
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -139,18 +182,32 @@ class WordTokenizer:
             return [w.translate({0xE0F1 + i: 0x1C + i for i in range(4)}) for w in text.split()]
         return text.split()
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [self.words(t) for t in texts]
-        new = set().union(*words).difference(self.seen)
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # which are no white space to the tokenizer
+            words = pa.array([self.words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            words = pc.utf8_split_whitespace(texts)
+        flat = words.flatten().dictionary_encode()
+        unique = flat.dictionary.to_pylist()
+        new = set(unique).difference(self.seen)
         if len(self.seen) + len(new) > self.keep:
             self.seen.clear()
-            new = set().union(*words)
-        new = list(new)
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.seen[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.seen.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            new = set(unique)
+        new.discard("")
+        if new:
+            self.learn(new)
+        self.seen[""] = b""  # what stands before or behind a text's outer white space
+        raw = [self.seen[w] for w in unique]
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        size = np.array([len(x) // 4 for x in raw], np.int64)
+        start = np.cumsum(size) - size
+        use = flat.indices.to_numpy()
+        n = size[use]
+        end = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        ids = ids[np.repeat(start[use] - end[:-1], n) + np.arange(end[-1])]
+        edges = end[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        return [ids[x:y] for x, y in zip(edges, edges[1:])]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -169,10 +226,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
         words = _tokenizers.get(tokenizer) or _tokenizers.setdefault(tokenizer, WordTokenizer(tokenizer))
-        end = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches, 1024):
-            for doc, ids in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist())):
-                yield doc, np.frombuffer(ids + end, "<u4")
+        end = np.array([end_id], "<u4")
+        for b in slices(batches, 512):
+            for doc, ids in zip(b.column(0).to_pylist(), words.batch(b.column(1))):
+                yield doc, np.concatenate((ids, end))
 
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -197,7 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_
             for doc, start, ids, total in sequence:
                 rows.append((doc, start, len(ids), ids.tobytes(), total, first + n, offset))
                 offset += len(ids)
-            if len(rows) >= 2000:
+            if len(rows) >= 500:
                 yield out()
                 rows.clear()
         if rows:

@@ -196,9 +196,10 @@ class MergeVocabulary:
 class Encoder:
     """Chunks seen by one Python worker, with their ids and their decoded text."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 400_000):
         self.vocabulary, self.keep = MergeVocabulary(path), keep
-        self.seen: dict[str, tuple[bytes, str]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}  # chunks that decoding does not give back as they were
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -214,6 +215,7 @@ class Encoder:
         new = set().union(*chunks).difference(self.seen)
         if len(self.seen) + len(new) > self.keep:
             self.seen.clear()
+            self.odd.clear()
             new = set().union(*chunks)
         new = list(new)
         if not new:
@@ -229,19 +231,19 @@ class Encoder:
         end = 0
         for c, ids in zip(new, found):
             text, end, at = v.decode(ids), end + 4 * len(ids), end
-            self.seen[c] = flat[at:end], c if text == c else text
+            self.seen[c] = flat[at:end]
+            if text != c:
+                self.odd[c] = text
 
     def batch(self, texts: list[str], bos: bool, eos: bool, verify: str) -> tuple[list[bytes], list[str]]:
         chunks = [self.chunks(t) for t in texts]
         self.learn(chunks, verify != "none")
         head = np.array([self.vocabulary.bos] * bos, "<u4").tobytes()
         tail = np.array([self.vocabulary.eos] * eos, "<u4").tobytes()
-        seen = self.seen
-        ids, decoded = [], []
-        for c in chunks:
-            both = [seen[x] for x in c]
-            ids.append(head + b"".join([x[0] for x in both]) + tail)
-            decoded.append(" ".join([x[1] for x in both]))  # each chunk starts with a space mark, the first with that of encoding
+        get, odd = self.seen.__getitem__, self.odd
+        ids = [b"".join([head, *map(get, c), tail]) for c in chunks]
+        # each chunk starts with a space mark, the first one with that of encoding
+        decoded = [" ".join(c if odd.keys().isdisjoint(c) else [odd.get(x, x) for x in c]) for c in chunks]
         if verify == "texts":
             library = self.vocabulary.library
             for mine, theirs in zip(ids, library.encode(texts, add_bos=bos, add_eos=eos, num_threads=1)):
@@ -266,7 +268,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(model) or _encoders.setdefault(model, Encoder(model))
-        for b in slices(batches, 1024):
+        for b in slices(batches, 512):
             ids, decoded = encoder.batch(b.column(1).to_pylist(), bos, eos, verify)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
 
