@@ -9,8 +9,7 @@ verified on the full sets.
 Documents with equal sets form a class first, and only classes are compared. In each band bucket all
 classes are compared with one pivot, the one that meets most others over all buckets, which links a
 group of copies in work linear in its size. Only buckets whose members then still lie in several
-components have their remaining pairs compared, in blocks, where registers that leave no chance of a
-link drop a pair before it becomes a row.
+components have their remaining pairs compared, in blocks, where only links become rows.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, slices, text_or_empty
+from ._common import materialise, release, slices, text_or_empty
 from .components import connected_components
 
 REGISTERS = 256
@@ -189,38 +188,37 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("both") >= percent * (F.size("ma") + F.size("mb") - F.col("both"))).select("a", "b")
 
 
-def block_pairs(members: DataFrame, percent: int, rows: int, block: int = 384) -> DataFrame:
-    """Pairs (a, b) of members (bucket, size, cls, label, n_shingles, registers) of different labels in one bucket that may be linked.
+def block_links(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Linked pairs (a, b) of members (bucket, size, cls, label, members) that share a bucket and differ in label.
 
-    A bucket is cut into blocks, and each two of its blocks meet in one group; a pair counts in its first common band only.
+    A bucket is cut into blocks, and each two of its blocks meet in one group. There the members
+    outside the commonest label are compared on full sets with all of other labels; only links
+    become rows, however many pairs a bucket has.
     """
     dealt = members.withColumns({"g": F.ceil(F.col("size") / block).cast("int")}).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "label", "n_shingles", "registers")
-    count = REGISTERS // rows
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cls", "label", "members")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = _regs(pdf["registers"].tolist())
-        cls, label, n, mine = (pdf[c].to_numpy() for c in ("cls", "label", "n_shingles", "mine"))
-        bucket = np.int64(pdf["bucket"].iat[0])
-        one = pdf["i"].iat[0] == pdf["j"].iat[0]
-        h = np.arange(1, count + 1, dtype=np.uint64)[None, :] + np.zeros((len(cls), 1), np.uint64)
-        parts = regs[:, : count * rows].reshape(len(cls), count, rows)
-        for k in range(rows):
-            h = (h ^ parts[:, :, k].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-        band = int((h.view(np.int64) == bucket)[0].argmax())
+        cls, label = pdf["cls"].to_numpy(), pdf["label"].to_numpy()
+        sets = pdf["members"].tolist()
+        n = np.array([len(s) for s in sets])
+        names, counts = np.unique(label, return_counts=True)
+        few = np.flatnonzero(label != names[counts.argmax()])
         out: list[np.ndarray] = []
-        for x in range(len(cls)):
-            y = np.flatnonzero((label != label[x]) & ((cls > cls[x]) if one else (mine > mine[x])))
-            if not len(y):
-                continue
-            y = y[~(h[y, :band] == h[x, :band]).any(1)]
-            if len(y):
-                y = y[possible(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y], percent)]
-                out.append(np.stack([np.full(len(y), cls[x]), cls[y]], 1))
+        if len(few):
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+            start = np.cumsum(n) - n
+            mark = np.zeros(ids.max() + 1, np.int64)
+            for x in few:
+                own = ids[start[x] : start[x] + n[x]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[ids], start)
+                mark[own] = 0
+                y = np.flatnonzero((label != label[x]) & (100 * both >= percent * (n + n[x] - both)))
+                out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found.min(1) if len(found) else [], "b": found.max(1) if len(found) else []}, dtype=np.int64)
+        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long")
 
@@ -250,29 +248,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = shared.join(pivot, "bucket").filter("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     pairs = materialise(likely(pairs, classes, percent), "pairs")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
         return materialise(full_sets(docs, classes.join(ids, "cls").select("cls", "id", "fingerprint"), width, id_col, text_col), "sets")
 
-    sets = sets_of(pairs)
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+    sets = sets_of(ends(pairs))
     links = materialise(verify(pairs, sets, percent), "links")
     labels = connected_components(links)
+    release(docs.sparkSession)
 
     placed = shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     apart = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    left = placed.join(apart, "bucket").join(classes.select("cls", "n_shingles", "registers"), "cls").select("bucket", "size", "cls", "label", "n_shingles", "registers")
+    left = materialise(placed.join(apart, "bucket"), "left")
     # small buckets pair their members by a join, of at most SMALL / 2 rows for each member
     small = left.filter(F.col("size") <= SMALL).select("bucket", "cls", "label")
     again = small.select("bucket", F.col("cls").alias("b"), F.col("label").alias("other"))
     near = small.withColumnRenamed("cls", "a").join(again, "bucket").filter("a < b and label <> other").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    far = block_pairs(left.filter(F.col("size") > SMALL), percent, rows).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(likely(near, classes, percent).union(far).distinct(), "pairs")
-    if not more.isEmpty():
-        missing = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
-        extra = materialise(full_sets(docs, classes.join(missing, "cls").select("cls", "id", "fingerprint"), width, id_col, text_col), "sets")
-        found = materialise(verify(more, sets.union(extra), percent), "links")
-        if not found.isEmpty():
-            labels = connected_components(links.union(found))
+    near = materialise(likely(near, classes, percent), "pairs")
+    far = left.filter(F.col("size") > SMALL)
+    missing = ends(near).union(far.select("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
+    sets = sets.union(sets_of(missing))
+    found = materialise(verify(near, sets, percent).union(block_links(far.join(sets, "cls"), percent)).distinct(), "links")
+    if not found.isEmpty():
+        labels = connected_components(links.union(found))
 
     owner = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("fingerprint", "id", F.coalesce("label", "cls").alias("label"))
     least = owner.groupBy("label").agg(F.min("id").alias("component_id"))
