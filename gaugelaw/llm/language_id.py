@@ -117,7 +117,7 @@ def train(
     return Model(langs, (E @ W).astype(np.float32), b.astype(np.float64), bits, temperature, limit)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, longest: int = 20_000, id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500, longest: int = 10_000, id_col: str = "doc_id") -> Model:
     """Train on about per_language rows of each language, picked by a hash of id and text, of texts up to longest characters.
 
     The bound is per_language x languages texts of longest characters; rows with null text or

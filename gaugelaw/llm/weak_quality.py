@@ -172,7 +172,7 @@ def vote(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) ->
     return docs.select(text_or_empty(text_col).alias("__text"), *keep).mapInArrow(run, f"{kinds}votes string")
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 4000, longest: int = 20_000) -> tuple[LabelModel, Scorer]:
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 1500, longest: int = 10_000) -> tuple[LabelModel, Scorer]:
     """The label model over all documents' votes, and a scorer from about sample texts of up to longest characters, picked by a hash of id and text.
 
     An empty table gives the labellers' start values and a scorer whose every score is one half.
