@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators.fit import fit_two
+from .operators.fit import fit_two, two_sums
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 BANDS_SQL = """daily as (select cast(date_diff('day', date '1970-01-01', cast(ts as date)) as bigint) as day, event_type as band, avg(value) as v from events group by all),
 b as (select day, band, dense_rank() over (order by band) - 1 as i, v from daily)"""
 
+STEPS_SQL = """m as (select i, avg(v) as m from b group by i), x as (select day, b.i, v - m as x from b join m on b.i = m.i),
+      s as (select a.day, a.i, a.x, coalesce(l.x - a.x, 0) + coalesce(r.x - a.x, 0) as f, n.x - a.x as d from x a left join x l on l.day = a.day and l.i = a.i - 1 left join x r on r.day = a.day and r.i = a.i + 1 join x n on n.day = a.day + 1 and n.i = a.i),
+      q as (select sum(f*f) as s11, sum(-f*x) as s12, sum(x*x) as s22, sum(f*d) as s1b, sum(-x*d) as s2b, sum(d*d) as sbb, count(*) as n from s)"""
+
 
 def daily_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each band's distance from the day's weighted mean over the bands (weights 1, 2, ...)."""
@@ -42,9 +46,8 @@ def lead_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), rmse("was").alias("persistence"), rmse("m").alias("climatology"))
 
 
-def lsq_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exchange and loss rates of the bands: least squares of each day's step on the neighbours' differences and the anomaly."""
-    b = bands(spark, sf_dir)
+def steps(b: DataFrame) -> DataFrame:
+    """Rows (day, i, x, flow, then): each band's anomaly, its neighbours' differences and the next day's anomaly."""
     mean = b.groupBy("i").agg(F.avg("v").alias("m"))
     x = b.join(F.broadcast(mean), "i").select("day", "i", (F.col("v") - F.col("m")).alias("x"))
     day = Window.partitionBy("day").orderBy("i")
@@ -52,7 +55,17 @@ def lsq_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = near(F.lag("x").over(day), F.lag("i").over(day)) + near(F.lead("x").over(day), F.lead("i").over(day))
     state = x.withColumn("flow", flow)
     nxt = x.select((F.col("day") - 1).alias("day"), "i", F.col("x").alias("then"))
-    f = fit_two(state.join(nxt, ["day", "i"]), F.col("flow"), -F.col("x"), F.col("then") - F.col("x"))
+    return state.join(nxt, ["day", "i"])
+
+
+def step_sums(b: DataFrame) -> DataFrame:
+    """One row of the sums that fit each day's step to the flow and the anomaly."""
+    return two_sums(steps(b), F.col("flow"), -F.col("x"), F.col("then") - F.col("x"))
+
+
+def lsq_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchange and loss rates of the bands: least squares of each day's step on the neighbours' differences and the anomaly."""
+    f = fit_two(steps(bands(spark, sf_dir)), F.col("flow"), -F.col("x"), F.col("then") - F.col("x"))
     return f.select(F.round("k1", 6).alias("kd"), F.round("k2", 6).alias("kl"), F.round("rmse", 6).alias("rmse"), ((F.col("k1") >= 0) & (F.col("k2") >= 0)).alias("admissible"))
 
 
@@ -65,9 +78,7 @@ def ordered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = {
     "daily_anomaly": f"with {BANDS_SQL} select day, band, round(v - sum((i + 1) * v) over (partition by day) / sum(i + 1) over (partition by day), 6) as anomaly from b",
     "lead_curves": f"with {BANDS_SQL}, m as (select band, avg(v) as m from b group by band), j as (select k as lead, a.v as was, c.v, m from b a, range(1, 11) r(k), b c, m where c.band = a.band and c.day = a.day + k and m.band = a.band) select cast(lead as integer) as lead, cast(count(*) as bigint) as n, round(sqrt(avg((v - was) * (v - was))), 6) as persistence, round(sqrt(avg((v - m) * (v - m))), 6) as climatology from j group by lead",
-    "lsq_identify": f"""with {BANDS_SQL}, m as (select i, avg(v) as m from b group by i), x as (select day, b.i, v - m as x from b join m on b.i = m.i),
-      s as (select a.day, a.i, a.x, coalesce(l.x - a.x, 0) + coalesce(r.x - a.x, 0) as f, n.x - a.x as d from x a left join x l on l.day = a.day and l.i = a.i - 1 left join x r on r.day = a.day and r.i = a.i + 1 join x n on n.day = a.day + 1 and n.i = a.i),
-      q as (select sum(f*f) as s11, sum(-f*x) as s12, sum(x*x) as s22, sum(f*d) as s1b, sum(-x*d) as s2b, sum(d*d) as sbb, count(*) as n from s),
+    "lsq_identify": f"""with {BANDS_SQL}, {STEPS_SQL},
       k as (select (s1b*s22 - s2b*s12) / (s11*s22 - s12*s12) as k1, (s11*s2b - s12*s1b) / (s11*s22 - s12*s12) as k2, * from q)
       select round(k1, 6) as kd, round(k2, 6) as kl, round(sqrt(greatest(sbb - k1*s1b - k2*s2b, 0) / n), 6) as rmse, k1 >= 0 and k2 >= 0 as admissible from k""",
     "ordered_steps": f"with {BANDS_SQL}, s as (select band, day, v - lag(v) over (partition by band order by day) as d from b) select band, cast(count(*) filter (d > 0) as bigint) as rises, cast(count(*) filter (d < 0) as bigint) as falls, arg_min(day, (-abs(d), day)) as peak_day from s where d is not null group by band",

@@ -62,7 +62,7 @@ def _norm(v):
     return f"{v:.6g}" if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
