@@ -33,9 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of passages of 400 bytes that start more than once in the corpus."""
+    """Documents without the passages of over 50 words, or of 400 bytes with fewer words, that start more than once in the corpus."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix_dedup.remove_repeats(docs, 400, keep=others, as_text=True)
+    found = suffix_dedup.remove_repeats(docs, 400, keep=others, as_text=True, words=51)
     return found.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(docs.columns)
 
 

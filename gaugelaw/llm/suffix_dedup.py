@@ -15,6 +15,8 @@ still open, and they are short:
 The suffix array of these strings (difference cover modulo 3: sort sampled triples, recurse on
 names, merge the remaining suffixes, compare adjacent prefixes of eight symbols) decides the rest.
 Texts are identified by two 64-bit hashes; equal texts have equal results.
+
+The symbols of a string are bytes or, for passages of a number of words, the hashes of words.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ CELL = 8
 MULTIPLIER = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(11)
 _byte_value = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_words: dict[bytes, int] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -54,12 +58,42 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def word_symbols(data: bytes) -> bytes:
+    """The hashes of a text's words (what stands between ASCII white space), eight bytes for each."""
+    words = data.split()
+    if len(_words) > 500_000:
+        _words.clear()
+    for w in set(words).difference(_words):
+        _words[w] = xxhash.xxh3_64_intdigest(w)
+    return np.array([_words[w] for w in words], "<u8").tobytes()
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte behind it."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.concatenate(([False], ~((raw == 32) | ((raw >= 9) & (raw <= 13))), [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def few_words(at: np.ndarray, length: int, words: int, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Which strings of length bytes that start at these places have under `words` words with white space on both sides."""
+    return np.searchsorted(behind, at + length) - np.searchsorted(first, at, "right") < words
+
+
+def has_few_words(data: bytes, length: int, words: int) -> bool:
+    """Whether any string of length bytes has: a string has fewest where it begins, or where it loses a word's first byte."""
+    first, behind = word_places(data)
+    at = np.concatenate(([0], first))
+    return bool(few_words(at[at <= len(data) - length], length, words, first, behind).any())
+
+
 class Hashes:
-    """Hashes of any substring of a text's bytes."""
+    """Hashes of any substring of a text's symbols, of width bytes each (1: bytes, 8: words)."""
 
-    def __init__(self, data: bytes):
-        raw = _byte_value[np.frombuffer(data, np.uint8)]
-        up, self.down = powers(len(data) + 1)
+    def __init__(self, data: bytes, width: int = 1):
+        raw = np.frombuffer(data, "<u8").astype(np.uint64) if width == 8 else _byte_value[np.frombuffer(data, np.uint8)]
+        up, self.down = powers(len(raw) + 1)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[:-1], dtype=np.uint64)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -78,14 +112,15 @@ def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def anchors(data: bytes, length: int) -> tuple[Hashes | None, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, length: int, width: int = 1) -> tuple[Hashes | None, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, anchor places, and for each its least and most offset from a string start)."""
     none = np.zeros(0, np.int64)
-    if len(data) < length:
+    size = len(data) // width
+    if size < length:
         return None, none, none, none
     gram = length // 2
-    hashes = Hashes(data)
-    at = np.arange(len(data) - gram + 1)
+    hashes = Hashes(data, width)
+    at = np.arange(size - gram + 1)
     place = least_in_windows(hashes.of(at, at + gram), length - gram + 1)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.append(first[1:], len(place)) - 1
@@ -93,14 +128,17 @@ def anchors(data: bytes, length: int) -> tuple[Hashes | None, np.ndarray, np.nda
     return hashes, p, p - last, p - first
 
 
-def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(texts: DataFrame, length: int, width: int, words: int | None) -> DataFrame:
     """Rows (gram, run, h1, h2, place, low, high): a run's hash covers every string of it, and its offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out: list[list[np.ndarray]] = []
             for i, text in enumerate(b.column(2).to_pylist()):
-                hashes, p, low, high = anchors(text.encode(), length)
+                data = text.encode()
+                if words and not has_few_words(data, length, words):
+                    continue
+                hashes, p, low, high = anchors(word_symbols(data) if width == 8 else data, length, width)
                 if hashes is not None:
                     whole = hashes.of(p - high, p - low + length)
                     whole = mixed(whole + low.astype(np.uint64) * np.uint64(1 << 20) + high.astype(np.uint64))
@@ -116,22 +154,22 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "gram long, run long, h1 long, h2 long, place int, low int, high int")
 
 
-def _cell_rows(texts: DataFrame, length: int) -> DataFrame:
+def _cell_rows(texts: DataFrame, length: int, width: int) -> DataFrame:
     """Rows (core, left, right, n, ref, cell) of the runs (ref, n, gram, place, low, high) listed with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows: list[tuple] = []
             for text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = text.encode()
-                hashes = Hashes(data)
+                data = word_symbols(text.encode()) if width == 8 else text.encode()
+                hashes = Hashes(data, width)
                 for r in runs:
                     cell = np.arange(r["low"] // CELL, r["high"] // CELL + 1)
                     q = r["place"] - CELL * cell
                     end = q - (CELL - 1) + length
                     core = mixed(hashes.of(q, end) ^ np.uint64(r["gram"] & (2**64 - 1)) ^ (cell.astype(np.uint64) << np.uint64(40)))
                     for c, x, e, k in zip(core.view(np.int64).tolist(), q.tolist(), end.tolist(), cell.tolist()):
-                        rows.append((c, data[max(0, x - CELL + 1) : x], data[e : e + CELL - 1], r["n"], r["ref"], k))
+                        rows.append((c, data[max(0, x - CELL + 1) * width : x * width], data[e * width : (e + CELL - 1) * width], r["n"], r["ref"], k))
             types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["core", "left", "right", "n", "ref", "cell"])
@@ -139,22 +177,28 @@ def _cell_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "core long, left binary, right binary, n long, ref long, cell int")
 
 
-def _open_strings(strings: DataFrame) -> DataFrame:
+def _open_strings(strings: DataFrame, width: int) -> DataFrame:
     """Rows (sid, back) of the strings (sid, name, left, right): the string that starts back bytes before the core also starts elsewhere."""
 
+    def symbols(data: bytes) -> list[int]:
+        return [x + 1 for x in data] if width == 1 else [(x >> 2) + 1 for x in np.frombuffer(data, "<u8").tolist()]
+
+    above = 257 if width == 1 else 2**62 + 1  # names are larger than the other symbols
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
             sid, syms = b.column(0), []
             starts: list[tuple] = []
             for i, name, left, right in zip(*(c.to_pylist() for c in b.columns)):
-                syms.append([*(x + 1 for x in left), 257 + name, *(x + 1 for x in right)])
-                for back in range(min(len(left), CELL - 1) + 1):
-                    if len(right) >= CELL - 1 - back:
-                        window = left[len(left) - back :] + right[: CELL - 1 - back]
-                        starts.append((len(left) - back, bytes([back]) + name.to_bytes(8, "big") + window))
+                syms.append([*symbols(left), above + name, *symbols(right)])
+                before, behind = len(left) // width, len(right) // width
+                for back in range(min(before, CELL - 1) + 1):
+                    if behind >= CELL - 1 - back:
+                        window = left[len(left) - back * width :] + right[: (CELL - 1 - back) * width]
+                        starts.append((before - back, bytes([back]) + name.to_bytes(8, "big") + window))
                     else:
                         starts.append((-1, b""))
-                starts += [(-1, b"")] * (CELL - 1 - min(len(left), CELL - 1))
+                starts += [(-1, b"")] * (CELL - 1 - min(before, CELL - 1))
             where = pa.array([[s[0] for s in starts[k : k + CELL]] for k in range(0, len(starts), CELL)], pa.list_(pa.int32()))
             prefix = pa.array([[s[1] for s in starts[k : k + CELL]] for k in range(0, len(starts), CELL)], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([sid, pa.array(syms, pa.list_(pa.int64())), where, prefix], names=["sid", "syms", "at", "prefix"])
@@ -162,15 +206,19 @@ def _open_strings(strings: DataFrame) -> DataFrame:
     made = materialise(strings.select("sid", "name", "left", "right").mapInArrow(run, "sid long, syms array<long>, at array<int>, prefix array<binary>"), "strings")
     starts = made.select("sid", F.explode(F.arrays_zip("at", "prefix")).alias("s")).select("sid", F.col("s.at").alias("pos"), "s.prefix").filter("pos >= 0")
     found = equal_prefixes(made.select("sid", "syms"), starts)
-    return found.join(strings.select("sid", F.length("left").alias("size")), "sid").select("sid", (F.col("size") - F.col("pos")).alias("back"))
+    return found.join(strings.select("sid", (F.length("left") / width).cast("int").alias("size")), "sid").select("sid", (F.col("size") - F.col("pos")).alias("back"))
+
 
+def repeated_starts(docs: DataFrame, length: int, text_col: str, width: int = 1, words: int | None = None) -> DataFrame:
+    """Rows (h1, h2, first, last): runs of places where a repeated string starts, in the texts with these hashes.
 
-def repeated_starts(docs: DataFrame, length: int, text_col: str) -> DataFrame:
-    """Rows (h1, h2, first, last): runs of places where a repeated string starts, in the texts with these hashes."""
+    Lengths and places count symbols: bytes (width 1) or words (width 8). With words, only texts
+    that have a string of length bytes with fewer words are read.
+    """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
-    texts = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.alias("text")).filter(F.octet_length("text") >= length)
-    found = _anchor_rows(texts, length)
+    texts = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.alias("text")).filter(F.octet_length("text") >= (length if width == 1 else 2 * length - 1))
+    found = _anchor_rows(texts, length, width, words)
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("grams")).filter("grams > 1").select("gram")
     found = materialise(found.join(often, "gram"), "anchors")
     release(spark)
@@ -184,7 +232,7 @@ def repeated_starts(docs: DataFrame, length: int, text_col: str) -> DataFrame:
     listed = open_runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("ref", "n", "gram", "place", "low", "high")).alias("runs"))
     # one copy of each text, combined before the shuffle
     single = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    cells = materialise(_cell_rows(single.join(listed, ["h1", "h2"]).select("text", "runs"), length), "cells")
+    cells = materialise(_cell_rows(single.join(listed, ["h1", "h2"]).select("text", "runs"), length, width), "cells")
     release(spark)
 
     strings = cells.groupBy("core", "left", "right").agg(F.sum("n").alias("m"))
@@ -194,7 +242,7 @@ def repeated_starts(docs: DataFrame, length: int, text_col: str) -> DataFrame:
     asked = materialise(strings.join(named, "core").select("sid", "name", "left", "right"), "asked")
     parts = [strings.filter("m > 1").select("sid", F.lit(2**CELL - 1).alias("mask"))]
     if not asked.isEmpty():
-        parts.append(_open_strings(asked).groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, back)")).alias("mask")))
+        parts.append(_open_strings(asked, width).groupBy("sid").agg(F.bit_or(F.expr("shiftleft(1, back)")).alias("mask")))
     masks = parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
     masks = strings.join(masks.groupBy("sid").agg(F.bit_or("mask").alias("mask")), "sid").select("core", "left", "right", "mask")
     hit = cells.filter("n = 1").join(masks, ["core", "left", "right"]).select("ref", "cell", "mask")
@@ -207,17 +255,23 @@ def repeated_starts(docs: DataFrame, length: int, text_col: str) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False, words: int | None = None) -> DataFrame:
     """Rows (id_col, keep..., n_bytes, n_removed, n_spans, spans, kept), one for each row of docs.
 
     spans: removed byte ranges (start, end), as long as possible; kept: the other bytes in order,
     which may cut a character (as_text: a string without what is left of characters that were cut). A null text counts as empty; texts under length bytes lose nothing;
     each of two equal texts of at least length bytes loses everything; repeated rows count as copies.
-    Null ids stay; an empty table gives no rows; columns not in keep are left out.
+    words: strings of so many words go too, from the first byte of the first word to the last one
+    of the last word, whatever white space lies between them; strings of length bytes that have so
+    many words inside are left to this rule, which cuts no word. Null ids stay; an empty table
+    gives no rows; columns not in keep are left out.
     """
     columns = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    starts = repeated_starts(docs, length, text_col).groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
+    starts = repeated_starts(docs, length, text_col, words=words).withColumn("by_words", F.lit(False))
+    if words:
+        starts = starts.union(repeated_starts(docs, words, text_col, width=8).withColumn("by_words", F.lit(True)))
+    starts = starts.groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last", "by_words")).alias("starts"))
     text = text_or_empty(text_col)
     rows = docs.select(*columns, text.alias("__text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")).join(starts, ["h1", "h2"], "left")
 
@@ -227,11 +281,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             out: list[tuple] = []
             for text, found in zip(b["__text"].to_pylist(), b["starts"].to_pylist()):
                 data, spans = text.encode(), []
-                for first, last in sorted((s["first"], s["last"]) for s in found or ()):
+                begin, behind = word_places(data) if words and found else (None, None)
+                ranges = []
+                for s in found or ():
+                    if s["by_words"]:
+                        ranges.append((int(begin[s["first"]]), int(behind[s["last"] + words - 1])))
+                    elif words:
+                        at = np.arange(s["first"], s["last"] + 1)
+                        ranges += [(i, i + length) for i in at[few_words(at, length, words, begin, behind)].tolist()]
+                    else:
+                        ranges.append((s["first"], s["last"] + length))
+                for first, end in sorted(ranges):
                     if spans and first <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], last + length)
+                        spans[-1][1] = max(spans[-1][1], end)
                     else:
-                        spans.append([first, last + length])
+                        spans.append([first, end])
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2]))
                 out.append((len(data), len(data) - len(kept), len(spans), [{"start": a, "end": z} for a, z in spans], kept.decode("utf-8", "ignore") if as_text else kept))

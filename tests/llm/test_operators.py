@@ -104,6 +104,48 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing, length).count() == 0
 
 
+def test_suffix_dedup_by_words(docs):
+    words, length = 9, 60
+    rows = docs.collect()
+    data = [(r["text"] or "").encode() for r in rows]
+    runs = Counter(tuple(w[i : i + words]) for w in (b.split() for b in data) for i in range(len(w) - words + 1))
+    inside = lambda s: max(0, len((b"x" + s + b"x").split()) - 2)
+    strings = Counter(s for b in data for i in range(len(b) - length + 1) for s in [b[i : i + length]] if inside(s) < words)
+    want = Counter()
+    for r, b in zip(rows, data):
+        gone, at, split = bytearray(len(b)), [], b.split()
+        for w in split:
+            at.append(b.index(w, at[-1] + len(split[len(at) - 1]) if at else 0))
+        for i in range(len(split) - words + 1):
+            if runs[tuple(split[i : i + words])] > 1:
+                end = at[i + words - 1] + len(split[i + words - 1])
+                gone[at[i] : end] = b"\1" * (end - at[i])
+        for i in range(len(b) - length + 1):
+            if strings[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        want[r["doc_id"], bytes(x for x, g in zip(b, gone) if not g)] += 1
+    got = suffix_dedup.remove_repeats(docs, length, words=words)
+    assert Counter((r["doc_id"], bytes(r["kept"])) for r in got.collect()) == want
+
+
+def test_pipeline_passages(spark):
+    rng = random.Random(8)
+    fresh = iter(rng.sample(range(1000, 10_000), 900))
+    word = lambda: str(next(fresh)).translate(str.maketrans("0123456789", "abcdefghij"))
+    passages = {n: [word() for _ in range(n)] for n in (50, 51, 64)}
+    rows = []
+    for n, p in passages.items():
+        for join in (" ", "  \n"):
+            rows.append((len(rows), " ".join(word() for _ in range(40)) + " " + join.join(p) + " " + " ".join(word() for _ in range(40))))
+    rows += [(10 + i, "w" * i + "漢" * 200 + f" {i}") for i in range(2)]  # 600 bytes, one word
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeats(spark, docs, "").collect()}
+    for i, (n, p) in enumerate((n, p) for n, p in passages.items() for _ in range(2)):
+        left = got[i].split()
+        assert len(left) == (130 if n == 50 else 80) and (p[0] in left, p[-1] in left) == (n == 50, n == 50)
+    assert got[10] == "0" and got[11] == "w1"
+
+
 @pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, nothing, width, percent):
     rng = random.Random(1)
