@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugelaw.llm import language_id, packing, setsketch, suffix_dedup, weak_quality
-from gaugelaw.llm._common import materialise, table
+from gaugelaw.llm._common import materialise, table, text_or_empty
 from gaugelaw.llm.queries import tokenizer_path
 
 
@@ -27,9 +27,15 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id; of rows with one id, one."""
-    kept = setsketch.near_duplicates(docs, width=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near-duplicates, the document with the smallest id; of rows with one id and text, one.
+
+    Rows with a null id come after all others of their group, and rows that share an id but not the
+    text are documents of their own.
+    """
+    text = text_or_empty("text")
+    known = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")))
+    kept = setsketch.near_duplicates(known, width=5, percent=80, id_col="__row").filter("kept").select("__row").distinct()
+    return known.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,20 +109,21 @@ def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n_shingles, fingerprint, registers); the last two are null without words."""
+    """Rows (id, text_hash, n_shingles, fingerprint, registers); the last two are null without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n, fingerprint, registers = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
                 fingerprint.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 registers.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fingerprint, pa.binary()), pa.array(registers, pa.binary())], names=["id", "n_shingles", "fingerprint", "registers"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fingerprint, pa.binary()), pa.array(registers, pa.binary())], names=["id", "text_hash", "n_shingles", "fingerprint", "registers"])
 
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, n_shingles long, fingerprint binary, registers binary")
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(run, f"id {kind}, text_hash long, n_shingles long, fingerprint binary, registers binary")
 
 
 def bands(classes: DataFrame, rows: int) -> DataFrame:
@@ -164,7 +165,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (cls, members) of the classes in wanted (cls, id, fingerprint), from the text of one document of each."""
+    """Rows (cls, members) of the classes in wanted (cls, id, text_hash, fingerprint), from the text of one document of each; its id may be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -176,7 +177,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_
                     members.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["cls", "members"])
 
-    found = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(wanted, "id").select("cls", "fingerprint", "text").mapInArrow(run, "cls long, members array<long>")
+    text = text_or_empty(text_col)
+    own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_hash"), text.alias("text"))
+    found = own.join(wanted, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))).select("cls", "fingerprint", "text").mapInArrow(run, "cls long, members array<long>")
     return found.dropDuplicates(["cls"])
 
 
@@ -236,7 +239,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     rows = band_rows(percent)
     known = materialise(sketches(docs, width, id_col, text_col), "sketches")
-    classes = known.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = known.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = classes.select("fingerprint", "least.id", "least.text_hash", "n_shingles", "registers")
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     every = bands(classes, rows)
     crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -249,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = materialise(likely(pairs, classes, percent), "pairs")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return materialise(full_sets(docs, classes.join(ids, "cls").select("cls", "id", "fingerprint"), width, id_col, text_col), "sets")
+        return materialise(full_sets(docs, classes.join(ids, "cls").select("cls", "id", "text_hash", "fingerprint"), width, id_col, text_col), "sets")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()

@@ -174,6 +174,21 @@ def test_near_duplicates(spark, nothing, width, percent):
     assert setsketch.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 9999)}" for _ in range(150)] for _ in range(4)]
+    near = [" ".join([*b[:-1], "other"]) for b in base]
+    a, b, c, d = (" ".join(x) for x in base)
+    rows = [(5, a), (None, near[0]), (None, b), (None, near[1]), (None, c), (7, d), (7, "quite another text"), (3, near[3]), (8, c + " x"), (8, c + " x"), (None, "alone here"), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # a class that has only null ids is linked as well
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in setsketch.near_duplicates(docs, 5, 80).collect())
+    assert got == Counter([(5, 5, True), (None, 5, False), (None, None, True), (None, None, True), (None, 8, False), (7, 3, False), (7, 7, True), (3, 3, True), (8, 8, True), (8, 8, True), (None, None, True), (None, None, True)])
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    one_of = [k for k in kept if k in ((None, b), (None, near[1]))]
+    assert len(one_of) == 1 and kept == Counter([(5, a), one_of[0], (7, "quite another text"), (3, near[3]), (8, c + " x"), (None, "alone here")])
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
