@@ -146,6 +146,7 @@ class Stream:
 
 
 def _skip_tags(data: bytes, s: Stream) -> tuple[int, int]:
+    """First byte behind the leading tags, and where a closing ID3v1 tag may begin (else the end)."""
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= end:
         a, b, c, d = data[start + 6 : start + 10]
@@ -159,25 +160,30 @@ def _skip_tags(data: bytes, s: Stream) -> tuple[int, int]:
             at += 10 + size
         start = stop
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
-        s.tags.append("id3v1")
-        end -= 128
+        return start, end - 128
     return start, end
 
 
 def read_stream(data: bytes) -> Stream:
     """Frames, tags, table and checksums of a stream; damaged or foreign bytes are skipped up to the next confirmed header."""
     s = Stream()
-    at, end = _skip_tags(data, s)
+    at, tag = _skip_tags(data, s)
+    end = len(data)
     runs: list[np.ndarray] = []
     first = True
     array = np.frombuffer(data, np.uint8)
     while at + 4 <= end:
+        if at == tag < end:  # it is a tag only if no frame covers it: payloads may have its three letters there
+            s.tags.append("id3v1")
+            end = tag
+            break
         four = data[at : at + 4]
         h = header(four)
         # a header counts if the next one, or the end, follows where its frame ends
-        if h is None or at + h.length > end or not (at + h.length == end or header(data[at + h.length : at + h.length + 4])):
-            step = data.find(b"\xff", at + 1, end)
-            step = step if step >= 0 else end
+        if h is None or at + h.length > end or not (at + h.length in (tag, end) or header(data[at + h.length : at + h.length + 4])):
+            stop = tag if at < tag else end
+            step = data.find(b"\xff", at + 1, stop)
+            step = step if step >= 0 else stop
             s.skipped += step - at
             at = step
             continue
@@ -201,6 +207,9 @@ def read_stream(data: bytes) -> Stream:
         rows = array[at : at + n * h.length].reshape(n, h.length)
         same = (rows[:, :4] == rows[0, :4]).all(1)
         n = n if same.all() else int(same.argmin())
+        behind = at + n * h.length
+        if n > 1 and behind - h.length < tag < behind < end and not header(data[behind : behind + 4]):
+            n -= 1  # cut off by a tag
         rows = rows[:n]
         head = 4 + 2 * h.protected + h.side
         if h.protected:

@@ -103,6 +103,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mpeg_audio.read(mpeg_audio.store(table(spark, sf_dir, "documents")), keep=("n_bytes",))
     # stored in units of a frame's ancillary data: what a reader finds is the padded payload
+    unit = mpeg_audio.UNIT
+    whole = F.length("payload") == F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / unit)) * unit
+    lost = F.raise_error(F.concat(F.lit("payload of another length than stored: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    rows = rows.withColumn("payload", F.when(whole, F.col("payload")).otherwise(lost.cast("binary")))
     return rows.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",

@@ -259,6 +259,22 @@ def test_mpeg_audio_round_trip(size):
     assert hurt.skipped > 0 or size < 1
 
 
+@pytest.mark.parametrize("before", [74, 314])
+def test_mpeg_audio_tag_in_payload(spark, before, tmp_path):
+    text = "a" * before + "TAG"
+    payload = mpeg_audio.pad_payload(text.encode())
+    data = mpeg_audio.write_stream(payload)
+    assert data[-128:-125] == b"TAG"
+    tag = b"TAG" + b"title\xff".ljust(125, b"\0")
+    for stream, tags in ((data, ["id3v2.3"]), (data + tag, ["id3v2.3", "id3v1"])):
+        s = mpeg_audio.read_stream(stream)
+        assert b"".join(s.ancillary) == payload and (s.tags, s.skipped, s.bad_checksums, s.frames) == (tags, 0, 0, 1)
+    cut = mpeg_audio.read_stream(mpeg_audio.write_stream(mpeg_audio.pad_payload(b"z" * 1152))[:-100] + tag)
+    assert (cut.tags, cut.frames, cut.skipped) == (["id3v2.3", "id3v1"], 2, 380)
+    spark.createDataFrame([(1, text), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["payload_bytes"] for r in QUERIES["op8_mpeg_audio"](spark, str(tmp_path)).collect()) == [192, len(payload)]
+
+
 def test_mpeg_audio_columns(docs, nothing):
     rows = mpeg_audio.read(mpeg_audio.store(docs), keep=("n_bytes",)).collect()
     want = Counter((r["doc_id"], mpeg_audio.pad_payload((r["text"] or "").encode())) for r in docs.collect())
