@@ -303,6 +303,28 @@ def test_url_rules(spark):
     assert url_rules.judge(pages, labels.limit(0), STATED_RULES).filter("verdict = 'block'").count() == 4
 
 
+@pytest.mark.parametrize("rows, support", [(12, 0.002), (900, 0.002), (200, 0.02)])
+def test_url_rules_mined(spark, rows, support):
+    from itertools import combinations
+
+    rng = random.Random(rows)
+    data = []
+    for i in range(rows):
+        tokens = {"http", "#", *rng.sample("abcde", 2), *(("utm", "feed") if rng.random() < 0.3 else ())} | ({"rare", "host"} if i in (1, 2, 3) else set())
+        data.append((sorted(tokens), i in (1, 2, 3) or rng.random() < (0.7 if "a" in tokens else 0.1)))
+    least, n, b = max(1, -(-rows * support // 1)), Counter(), Counter()
+    for tokens, block in data:
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(tokens, k):
+                n[c] += 1
+                b[c] += block
+    sure = {frozenset(c): b[c] / n[c] for c in n if b[c] >= least and b[c] / n[c] >= 0.5}
+    want = {(" ".join(sorted(s)), round(p, 9), round(b[tuple(sorted(s))] / rows, 9)) for s, p in sure.items() if not any(frozenset(c) in sure and sure[frozenset(c)] >= p for k in range(1, len(s)) for c in combinations(s, k))}
+    got = url_rules.mine(spark.createDataFrame([*data, (["x"], None), ([], True)], "tokens array<string>, block boolean"), support).collect()
+    assert {(r["rule_id"], round(r["confidence"], 9), round(r["support"], 9)) for r in got} == want and len(got) == len(want)
+    assert (support > 0.01) or {"rare", "host"} <= {r["rule_id"] for r in got}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
