@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +26,12 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that a lost executor costs no lineage."""
+def materialise(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back, so that a lost executor costs no lineage; by: a column whose values have folders of their own."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def drop_table(df: DataFrame) -> None:
@@ -55,3 +58,35 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of at most `rows` rows and about `most` bytes of text; one row at least."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(batch.column(column)), 0), pa.int64())).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = max(1, min(rows, int(np.searchsorted(ends, before + most, "right")) - at))
+            yield batch.slice(at, n)
+            at += n
+
+
+def windows(text: Column, most: int, count: int = 8) -> Column:
+    """A text of at most `most` characters as it is, of a longer one `count` windows spread over it, with as many characters in all."""
+    size = most // count
+    step = (F.length(text) - size) / (count - 1)
+    parts = [F.substr(text, F.floor(step * i).cast("int") + 1, F.lit(size)) for i in range(count)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *parts))
+
+
+def in_one_task(rows: DataFrame, work: Callable[[list[dict]], object]) -> object:
+    """work(rows) in one task, its result pickled. rows are a sample with a documented bound; the driver gets the result alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_rows = [r for b in batches for r in b.to_pylist()]
+        if all_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(all_rows))], pa.binary())], names=["result"])
+
+    found = rows.repartition(1).mapInArrow(run, "result binary").first()
+    return pickle.loads(found["result"]) if found else work([])

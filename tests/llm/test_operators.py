@@ -67,8 +67,69 @@ def test_word_tokenizer_against_library():
 def test_sum_of_squares_choice():
     levels = packing.Levels(10)
     for piece, size in (("a", 6), ("b", 6), ("c", 4)):
-        levels.place(size, (piece, 0, np.zeros(size, np.uint32), size))
-    assert levels.count[6] == 1 and levels.n_open == 1  # c completes one of the two equal windows
+        levels.place(size, [(piece, 0, np.zeros(size, np.uint32), size)])
+    assert levels.count[6] == 1 and len(levels.windows()) == 1  # c completes one of the two equal windows
+
+
+def test_sum_of_squares_against_brute_force():
+    rng, size = random.Random(6), 24
+    levels, fills = packing.Levels(size), []
+    for i in range(2000):
+        s = rng.randint(1, size - 1)
+        squares = lambda f: sum(n * n for h, n in Counter(f).items() if 0 < h < size)
+        # the least sum of squares; of equal choices the fullest window
+        options = [(squares([*fills[:k], h + s, *fills[k + 1 :]] if k is not None else [*fills, s]), -h, k) for h, k in [(0, None), *((h, fills.index(h)) for h in set(fills))] if h + s <= size]
+        _, h, k = min(options, key=lambda o: o[:2])
+        if k is not None:
+            fills.pop(k)
+        full = levels.place(s, [(i, 0, np.zeros(s, np.uint32), s)])
+        assert (full is not None) == (s - h == size)
+        fills += [s - h] if s - h < size else []
+        assert sorted(fills) == sorted(sum(len(p[2]) for p in w) for w in levels.windows())
+
+
+@pytest.mark.parametrize("round_tokens", [2000, 10**6])
+def test_packing_rounds(spark, round_tokens):
+    """Open windows of many tasks meet; the query's own columns against a plain tokeniser."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["stone", "river", "of", "Light,", "x."], k=rng.randint(0, 60)))) for i in range(900)]
+    rows += [(5000, "word " * 3000), (5001, "w" * 3000), (5001, "w" * 3000)]
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(12), path, size=64, round_tokens=round_tokens).collect()
+    sequences, pieces = {}, {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["placed"]))
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+    for s in sequences.values():
+        total = sum(n for _, n, _ in s)
+        assert [o for o, _, _ in sorted(s)] == [sum(n for _, n, _ in sorted(s)[:i]) for i in range(len(s))]
+        assert total == 64 or (total & (total - 1) == 0 and not any(p for *_, p in s))
+    for i, t in dict(rows).items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert sorted(b"".join(x for _, x in sorted(pieces[i])) if i != 5001 else ids) == sorted(ids) and len(b"".join(x for _, x in pieces[i])) == len(ids) * (2 if i == 5001 else 1)
+    closed = sum(s[0][2] for s in sequences.values()) / len(sequences)
+    assert closed > 0.6
+
+
+def test_packing_of_equal_lengths(spark):
+    """No two of them fit together: every window stays open, and is cut at the end."""
+    docs = spark.createDataFrame([(i, "of " * 32) for i in range(300)], "doc_id long, text string").repartition(6)
+    got = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), size=64, round_tokens=1000).collect()
+    assert sum(r["length"] for r in got) == 300 * 33 and not any(r["placed"] for r in got)
+
+
+def test_tokenizer_of_another_kind(tmp_path):
+    import pyarrow as pa
+
+    w = packing.WordTokenizer(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["A b  c, d.", "", "héllo\n\nx"]
+    assert not w.by_word and [x.tolist() for x in w.texts(pa.array(texts))] == [e.ids for e in w.library.encode_batch(texts, add_special_tokens=False)]
+    w = packing.WordTokenizer(tokenizer_path("word_bpe_49k.json"))
+    long = "Some words, and\tmore. " * 2000
+    assert w.texts(pa.array([long, "a"]), longest=5000)[0].tolist() == w.library.encode(long, add_special_tokens=False).ids
 
 
 def test_sentencepiece(docs, nothing):
@@ -104,6 +165,51 @@ def test_suffix_dedup(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing, length).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_suffix_dedup_hashes_keep_doubled_strings_apart(spark):
+    """Sums of powers modulo 2 ** 64 meet in a doubled string and its complement."""
+    one = thue_morse(4096)
+    other = one.translate(str.maketrans("ab", "ba"))
+    for width, data in ((1, [x[:2048].encode() for x in (one, other)]), (8, [suffix_dedup.word_symbols(" ".join(x[:2048]).encode()) for x in (one, other)])):
+        a, b = (suffix_dedup.Hashes(d, width) for d in data)
+        at = np.array([0])
+        for n in (512, 1024, 2000):
+            assert a.of(at, at + n)[0] != b.of(at, at + n)[0]
+    docs = spark.createDataFrame([(1, one[:1024]), (2, other[:1024])], "doc_id long, text string")
+    assert {r["n_removed"] for r in suffix_dedup.remove_repeats(docs, 1024).collect()} == {0}
+
+
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    """At 400 bytes, with texts of many pieces, a hot passage and doubled strings, against brute force."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)  # this process's; tasks keep theirs
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    hot, long = noise(500), noise(30_000)
+    rows = [noise(rng.randint(0, 700)) + hot + noise(rng.randint(0, 700)) for _ in range(40)]
+    rows += [long[:9000] + noise(50) + long[20_000:], noise(333) + long[4000:26_000], "x" * 3000, "x" * 399, "x" * 400, thue_morse(1024) + noise(9), thue_morse(900), long[100:499], long[100:500]]
+    texts, length = [r.encode() for r in rows], 400
+    count = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    want = {}
+    for k, b in enumerate(texts):
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        want[k] = bytes(x for x, g in zip(b, gone) if not g)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs, length).collect()} == want
+    for width, data in ((1, texts[41]), (8, suffix_dedup.word_symbols(rows[41].encode()))):
+        cut = [x.tolist() for x in suffix_dedup.anchors(data, 100, width)]
+        monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 20)
+        whole = [x.tolist() for x in suffix_dedup.anchors(data, 100, width)]
+        monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+        starts = lambda rows: sorted((p - d, p) for p, low, high in zip(*rows[2:]) for d in range(low, high + 1))
+        assert starts(cut) == starts(whole)
+
+
 def test_suffix_dedup_by_words(docs):
     words, length = 9, 60
     rows = docs.collect()
@@ -293,6 +399,46 @@ def test_quality(spark, docs, nothing):
     assert weak_quality.classify(nothing, weak_quality.fit(nothing)).count() == 0
 
 
+def test_quality_of_long_texts(spark):
+    """Texts of any length train; without any sample the label model decides."""
+    good = lambda i: " ".join(f"Word{(i * j) % 89} follows the river and light number {j}." for j in range(400))
+    rows = [(i, good(i)) for i in range(30)] + [(100 + i, " ".join("# @@ %%% $$ &" for _ in range(1500 + i))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit("mine")).withColumn("votes", F.lit(1))
+    models = weak_quality.fit(docs)
+    assert models[1].trained > 0
+    for m in (models, (models[0], weak_quality.fit_scorer([], []))):
+        got = {r["doc_id"]: r["accepted"] for r in weak_quality.classify(docs, m, keep=("doc_id", "quality")).collect()}
+        assert all(got[i] == (i < 100) for i, _ in rows)
+    again = weak_quality.fit_scorer(["a b c", "a b c"], [0.5, 0.5])  # ties say nothing
+    assert 0 < again.score("a b c") < 1
+
+
+def test_language_of_long_texts(spark):
+    english, french = "the river and the stone were there when we came to the old house ", "les rivières et la pierre où nous étions près de cette maison ancienne "
+    rows = [(i, french * (200 + i), "fr") for i in range(20)] + [(100 + i, english * (1 + i % 3), "en") for i in range(60)] + [(500, "\U00030000\U00030001", "xx"), (None, english, "en"), (7, english, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("s"))
+    model = language_id.fit(docs)
+    got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs, model, keep=("doc_id", "score")).collect()}
+    assert {(i, "fr") for i in range(20) if i != 7} | {(100 + i, "en") for i in range(60)} <= got
+    assert len(language_id.ngram_buckets("\U00030000", 16)) and "xx" in model.langs
+
+
+def test_pipeline_keeps_columns(spark):
+    """Extra columns named as results are, null ids and rows that share an id stay."""
+    words = "the river stone of an old house where light came down upon every field and road until evening".split()
+    rng = random.Random(12)
+    rows = [(i if i % 9 else None, " ".join(rng.choices(words, k=60)).capitalize() + ".", "en", "s", 1, 0.5, "q", True, 3, "v") for i in range(60)]
+    rows += [(5, " ".join(rng.choices(words, k=60)).capitalize() + ".", "en", "s", 1, 0.5, "q", True, 3, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, quality string, kept boolean, first_id long, row string").repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.filter("score = 0.5 and quality = 'q' and kept and first_id = 3 and row = 'v'").count() == len(rows)
+        docs = out
+    assert docs.filter("doc_id is null").count() == 7 and docs.filter("doc_id = 5").count() == 2
+    assert corpus_pipeline.pack(spark, docs, "").count() >= len(rows)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/1?x", "HTTP://EXAMPLE.COM/en/77", "https://x.net/de/8", "https://example.net/de/81#z", "https://org/es/", "ftp://q.io", None, "no scheme", "http://spam.io/pills/1", "http://notcom/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + i, f"http://spam.io/pills/{i}" if i % 3 == 1 else f"http://fine.io/news/{i}") for i in range(60)], "page_id long, url string")
