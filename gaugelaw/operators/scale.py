@@ -1,8 +1,14 @@
-"""Structural checks of a formula on probe points inside the range of the data."""
+"""Structural checks of a formula on probe points inside the range of the data.
+
+Each check is one Column, a struct (passed, value), over a row of ranges: for each variable v the
+columns v_lo and v_hi. All checks of all formulas fit in one projection of that row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.formula import compile_formula, finite
@@ -20,65 +26,67 @@ def relative(got: Column, want: Column, size: Column | None = None) -> Column:
     return F.abs(got - want) / F.greatest(F.abs(size if size is not None else want), F.lit(TINY))
 
 
-def _base(box: DataFrame, variables: list[str], t: float = 0.5) -> dict[str, Column]:
-    """box is one row with <v>_lo and <v>_hi."""
+def at(variables: list[str], t: Column | float = 0.5) -> dict[str, Column]:
+    """Where the variables stand at a share of their ranges, by default in the middle."""
     return {v: inside(F.col(f"{v}_lo"), F.col(f"{v}_hi"), t) for v in variables}
 
 
-def scaling(box: DataFrame, formula: str, variables: list[str], scaled: list[str], factor: float, exponent: float, tolerance: float = 1e-4) -> DataFrame:
+def outcome(passed: Column, value: Column) -> Column:
+    return F.struct(F.coalesce(passed, F.lit(False)).alias("passed"), value.cast("double").alias("value"))
+
+
+def scaling(formula: str, variables: list[str], scaled: list[str], factor: float, exponent: float, tolerance: float = 1e-4) -> Column:
     """Multiplying the scaled variables by factor multiplies y by factor ** exponent (exponent 0: invariance)."""
-    base = _base(box, variables)
+    base = at(variables)
     y0, y1 = compile_formula(formula, base), compile_formula(formula, base | {v: base[v] * factor for v in scaled})
-    want = factor**exponent
     ratio = y1 / y0
-    good = finite(y0) & finite(y1) & (y0 != 0) & (F.signum(y0) == F.signum(y1)) & (relative(ratio, F.lit(want)) <= tolerance)
-    return box.select(F.coalesce(good, F.lit(False)).alias("passed"), ratio.alias("value"))
+    good = finite(y0) & finite(y1) & (y0 != 0) & (F.signum(y0) == F.signum(y1)) & (relative(ratio, F.lit(factor**exponent)) <= tolerance)
+    return outcome(good, ratio)
 
 
-def limit(box: DataFrame, formula: str, target: str, variables: list[str], var: str, to: float = 0.0, tolerance: float = 1e-3) -> DataFrame:
+def limit(formula: str, target: str, variables: list[str], var: str, to: float = 0.0, tolerance: float = 1e-3) -> Column:
     """As var goes to a value, y goes to the target formula: the relative errors at three probes shrink, and end small or fall by half each time."""
-    base = _base(box, variables)
-    step = base[var] - to
+    base = at(variables)
     errors = []
     for share in (1.0, 0.25, 0.0625):
-        at = base | {var: F.lit(to) + step * share}
-        errors.append(relative(compile_formula(formula, at), compile_formula(target, at)))
+        point = base | {var: F.lit(to) + (base[var] - to) * share}
+        errors.append(relative(compile_formula(formula, point), compile_formula(target, point)))
     down = (errors[1] <= errors[0]) & (errors[2] <= errors[1])
     small = (F.least(*errors) <= tolerance) | ((errors[1] <= errors[0] / 2) & (errors[2] <= errors[1] / 2))
-    return box.select(F.coalesce(down & small, F.lit(False)).alias("passed"), errors[2].alias("value"))
-
-
-def monotonic(box: DataFrame, formula: str, variables: list[str], var: str, increasing: bool = True, samples: int = 9, least: float = 1e-6) -> DataFrame:
-    """y only rises (falls) over samples of var: the sign of each step of the ordered probes, and the whole change."""
-    grid = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    t = F.col("i") / F.lit(float(samples - 1))
-    lo, hi = F.col(f"{var}_lo"), F.col(f"{var}_hi")
-    x = F.when((lo > 0) & (hi / lo >= 10), lo * F.pow(hi / lo, t)).otherwise(lo + (hi - lo) * t)
-    probes = grid.select("i", compile_formula(formula, _base(box, variables) | {var: x}).alias("y"))
-    order = Window.partitionBy(F.lit(1)).orderBy("i")  # a handful of probe rows
-    steps = probes.withColumn("d", (F.col("y") - F.lag("y").over(order)) * (1 if increasing else -1))
-    whole = F.abs(F.max_by("y", "i") - F.min_by("y", "i")) / F.greatest(F.max(F.abs("y")), F.lit(TINY))
-    return steps.agg((F.coalesce(F.bool_and(F.col("d") > 1e-12 * F.abs("y")), F.lit(False)) & (whole >= least)).alias("passed"), whole.alias("value"))
-
-
-def sign(box: DataFrame, formula: str, variables: list[str], expected: str = "positive", levels: int = 4, most: int = 512, tolerance: float = 0.0) -> DataFrame:
-    """The share of finite points of a grid over all variables where y has the expected sign."""
-    grid = box
-    for v in variables:
-        grid = grid.withColumn(f"__{v}", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    at = {v: inside(F.col(f"{v}_lo"), F.col(f"{v}_hi"), F.col(f"__{v}") / F.lit(float(levels - 1))) for v in variables}
-    y = F.col("y")
-    probes = grid.limit(most).select(compile_formula(formula, at).alias("y")).filter(finite(y))
-    hit = {"positive": y > 0, "negative": y < 0, "nonzero": y != 0}[expected]
-    share = F.count_if(hit) / F.count(F.lit(1))
-    return probes.agg((share >= 1 - tolerance).alias("passed"), share.alias("value"))
-
-
-def symmetry(box: DataFrame, formula: str, variables: list[str], one: str, other: str, tolerance: float = 1e-4) -> DataFrame:
+    return outcome(down & small, errors[2])
+
+
+def monotonic(formula: str, variables: list[str], var: str, increasing: bool = True, samples: int = 9, least: float = 1e-6) -> Column:
+    """y only rises (falls) over samples of var: the sign of each step of the probes, and the whole change."""
+    lo, hi, base = F.col(f"{var}_lo"), F.col(f"{var}_hi"), at(variables)
+    ys = []
+    for i in range(samples):
+        t = i / (samples - 1)
+        x = F.when((lo > 0) & (hi / lo >= 10), lo * F.pow(hi / lo, F.lit(t))).otherwise(lo + (hi - lo) * t)
+        ys.append(compile_formula(formula, base | {var: x}))
+    steps = [((b - a) if increasing else (a - b)) > 1e-12 * F.abs(b) for a, b in zip(ys, ys[1:])]
+    whole = F.abs(ys[-1] - ys[0]) / F.greatest(*(F.abs(y) for y in ys), F.lit(TINY))
+    return outcome(reduce(Column.__and__, steps) & (whole >= least), whole)
+
+
+def sign(formula: str, variables: list[str], expected: str = "positive", levels: int = 4, most: int = 512, tolerance: float = 0.0) -> Column:
+    """The share of finite points of a grid over all variables, of at most `most` points, where y has the expected sign."""
+
+    def y(number: Column) -> Column:
+        digit = {v: F.pmod(F.floor(number / levels**i), F.lit(levels)) / (levels - 1) for i, v in enumerate(reversed(variables))}
+        return compile_formula(formula, {v: inside(F.col(f"{v}_lo"), F.col(f"{v}_hi"), digit[v]) for v in variables})
+
+    probes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(min(most, levels ** len(variables)) - 1)), y), finite)
+    hit = {"positive": lambda x: x > 0, "negative": lambda x: x < 0, "nonzero": lambda x: x != 0}[expected]
+    share = F.try_divide(F.size(F.filter(probes, hit)), F.size(probes))
+    return outcome(share >= 1 - tolerance, share)
+
+
+def symmetry(formula: str, variables: list[str], one: str, other: str, tolerance: float = 1e-4) -> Column:
     """Swapping two variables at a quarter and three quarters of their common range leaves y as it is."""
-    base = _base(box, variables)
+    base = at(variables)
     lo, hi = F.greatest(F.col(f"{one}_lo"), F.col(f"{other}_lo")), F.least(F.col(f"{one}_hi"), F.col(f"{other}_hi"))
     p, q = inside(lo, hi, 0.25), inside(lo, hi, 0.75)
     a, b = compile_formula(formula, base | {one: p, other: q}), compile_formula(formula, base | {one: q, other: p})
     error = F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(TINY))
-    return box.select(F.coalesce((lo < hi) & (error <= tolerance), F.lit(False)).alias("passed"), error.alias("value"))
+    return outcome((lo < hi) & (error <= tolerance), error)

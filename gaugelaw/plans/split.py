@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_rank, hash_rank
+from .ranking import Cut, cuts, hash_number, number
 
 
 def ranges(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -26,19 +26,48 @@ def sizes(n: int, extrapolation: float = 0.15, holdout: float = 0.2) -> tuple[in
     return tail, max(0, min(round(holdout * n), n - 2 * tail - 10))
 
 
+def draw_key(tie: Column, seed: int) -> Column:
+    """The place of a row in the draw of a seed: an evenly spread hash, and then the row's own tie."""
+    return F.concat(F.md5(F.concat(tie, F.lit(f"#{seed}"))), tie)
+
+
+def tails(df: DataFrame, axis: str, tie: Column, extrapolation: float = 0.15, holdout: float = 0.2) -> tuple[Column, int, int]:
+    """(whether a row lies in one of the two tails of the axis, rows between them, rows of these to hold out)."""
+    n = df.count()
+    tail, held = sizes(n, extrapolation, holdout)
+    x = number(F.col(axis))
+    low, high = cuts(df, x, tie, [min(tail, n), max(0, n - tail)])
+    return low.upto(x, tie) | ~high.upto(x, tie), max(0, n - 2 * tail), held
+
+
+def held_out(middle: DataFrame, n: int, held: int, tie: Column, seed: int) -> Cut:
+    """The last held-out row of the draw among n rows; the hash is even, so that its place is known nearly."""
+    key = draw_key(tie, seed)
+    if not n or not held:
+        return Cut(None)
+    middle_at, wide = held / n * 16**12, 8 * 16**12 * (held / n * (1 - held / n) / n) ** 0.5 + 1
+    return cuts(middle, hash_number(key), key, [held], [(middle_at - wide, middle_at + wide)])[0]
+
+
 def three_way(df: DataFrame, axis: str, tie: Column, seed: int, extrapolation: float = 0.15, holdout: float = 0.2) -> DataFrame:
     """df with a column segment: train, holdout or extrapolation.
 
-    Ties on the axis, and the draw, are settled by tie, a column that tells rows apart; rows that it
-    doesn't tell apart are interchangeable.
+    Ties on the axis, and the draw, are settled by tie, a hexadecimal hash that tells rows apart; rows
+    that it doesn't tell apart fall on one side together. Nothing is shuffled: each row is compared
+    with three cut-offs. Rows without an axis value come last.
     """
-    n = df.count()
-    tail, held = sizes(n, extrapolation, holdout)
-    ranked = global_rank(df.withColumn("__tie", tie), axis, "__tie", "__rank")
-    outside = (F.col("__rank") <= tail) | (F.col("__rank") > n - tail)
-    middle = hash_rank(ranked.filter(~outside), F.md5(F.concat("__tie", F.lit(f"#{seed}"))), "__tie", "__draw")
-    middle = middle.withColumn("segment", F.when(F.col("__draw") <= held, "holdout").otherwise("train")).drop("__draw")
-    return middle.unionByName(ranked.filter(outside).withColumn("segment", F.lit("extrapolation"))).drop("__rank", "__tie")
+    return seeded(df, axis, tie, [seed], "segment", extrapolation, holdout)
+
+
+def seeded(df: DataFrame, axis: str, tie: Column, seeds: list[int], name: str = "segment", extrapolation: float = 0.15, holdout: float = 0.2) -> DataFrame:
+    """df with a segment column for each seed: name if there is one, else name_<seed>; the tails are found once."""
+    outside, n, held = tails(df, axis, tie, extrapolation, holdout)
+    middle, new = df.filter(~outside), {}
+    for seed in seeds:
+        key = draw_key(tie, seed)
+        drawn = held_out(middle, n, held, tie, seed).upto(hash_number(key), key)
+        new[name if len(seeds) == 1 else f"{name}_{seed}"] = F.when(outside, "extrapolation").when(drawn, "holdout").otherwise("train")
+    return df.withColumns(new)
 
 
 def support(df: DataFrame, variables: list[str]) -> DataFrame:

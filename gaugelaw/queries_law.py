@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,11 +87,9 @@ def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the law and a mutant under several draws of the held-out rows."""
-    base = laws(spark, sf_dir)
-    parts = None
-    for seed in SEEDS:
-        seg = split.three_way(base, "p", F.col("tie"), seed).withColumn("seed", F.lit(seed))
-        parts = seg if parts is None else parts.unionByName(seg)
+    base = split.seeded(laws(spark, sf_dir), "p", F.col("tie"), list(SEEDS))
+    each = F.array(*(F.struct(F.lit(s).alias("seed"), F.col(f"segment_{s}").alias("segment")) for s in SEEDS))
+    parts = base.select("p", "d", "t", "y", F.inline(each))
     rows = metrics.predictions(parts, {k: CANDIDATES[k] for k in ("law", "no_tax")}, columns("pdt"), ["seed", "segment"])
     v = metrics.verdicts(metrics.checks(metrics.error_metrics(rows, ["seed", "candidate", "segment"]), ["seed", "candidate"]), ["seed", "candidate"])
     return v.groupBy("candidate").agg(F.count_distinct("verdict").alias("n_verdicts"), F.min("verdict").alias("verdict"))
@@ -157,31 +157,79 @@ def _box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laws(spark, sf_dir).agg(*(f(v).alias(f"{v}_{n}") for v in "pdtq" for n, f in (("lo", F.min), ("hi", F.max))))
 
 
-SCALE_CHECKS = {
-    "scaling_price": lambda b: scale.scaling(b, LAW, list("pdt"), ["p"], 2.0, 1.0),
-    "scaling_wrong": lambda b: scale.scaling(b, LAW, list("pdt"), ["p"], 2.0, 2.0),
-    "invariance": lambda b: scale.scaling(b, "p/q*(1-d)", list("pdq"), ["p", "q"], 3.0, 0.0),
-    "limit_no_discount": lambda b: scale.limit(b, LAW, "p*(1+t)", list("pdt"), "d"),
-    "limit_wrong": lambda b: scale.limit(b, LAW, "p", list("pdt"), "d"),
-    "monotonic_price": lambda b: scale.monotonic(b, LAW, list("pdt"), "p"),
-    "monotonic_discount": lambda b: scale.monotonic(b, LAW, list("pdt"), "d", increasing=False),
-    "sign_positive": lambda b: scale.sign(b, LAW, list("pdt")),
-    "sign_negative": lambda b: scale.sign(b, LAW, list("pdt"), "negative"),
-    "symmetry": lambda b: scale.symmetry(b, "d*t", list("dt"), "d", "t"),
-    "symmetry_wrong": lambda b: scale.symmetry(b, "d/(1+t)", list("dt"), "d", "t"),
+SCALE_CHECKS = lambda: {
+    "scaling_price": scale.scaling(LAW, list("pdt"), ["p"], 2.0, 1.0),
+    "scaling_wrong": scale.scaling(LAW, list("pdt"), ["p"], 2.0, 2.0),
+    "invariance": scale.scaling("p/q*(1-d)", list("pdq"), ["p", "q"], 3.0, 0.0),
+    "limit_no_discount": scale.limit(LAW, "p*(1+t)", list("pdt"), "d"),
+    "limit_wrong": scale.limit(LAW, "p", list("pdt"), "d"),
+    "monotonic_price": scale.monotonic(LAW, list("pdt"), "p"),
+    "monotonic_discount": scale.monotonic(LAW, list("pdt"), "d", increasing=False),
+    "monotonic_wrong": scale.monotonic("(d-0.04)**2", ["d"], "d"),
+    "sign_positive": scale.sign(LAW, list("pdt")),
+    "sign_negative": scale.sign(LAW, list("pdt"), "negative"),
+    "symmetry": scale.symmetry("d*t", list("dt"), "d", "t"),
+    "symmetry_wrong": scale.symmetry("d/(1+t)", list("dt"), "d", "t"),
 }
 
 
 def scale_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All structural checks, on probe points from the ranges of one scan."""
-    box = _box(spark, sf_dir)
-    row = box.first().asDict()  # eight numbers
-    box = spark.createDataFrame([tuple(map(float, row.values()))], ", ".join(f"{k} double" for k in row))
-    out = None
-    for name, check in SCALE_CHECKS.items():
-        part = check(box).select(F.lit(name).alias("name"), "passed")
-        out = part if out is None else out.union(part)
-    return out
+    """All structural checks in one projection of the ranges of one scan."""
+    made = F.array(*(F.struct(F.lit(n).alias("name"), c["passed"].alias("passed"), F.round(c["value"], 6).alias("value")) for n, c in SCALE_CHECKS().items()))
+    return _box(spark, sf_dir).select(F.inline(made))
+
+
+def _sql(formula: str, **places: str) -> str:
+    """A formula as SQL, with a place for each variable."""
+    return re.sub(r"\b([pdtqy])\b", lambda m: f"({places[m[1]]})", formula)
+
+
+def _sql_at(v: str, t: float) -> str:
+    return f"case when {v}_lo > 0 then {v}_lo * pow({v}_hi / {v}_lo, {t}) else {v}_lo + ({v}_hi - {v}_lo) * {t} end"
+
+
+def _scale_sql() -> str:
+    """The probes and their judgement as SQL over the same ranges."""
+    mid = {v: _sql_at(v, 0.5) for v in "pdtq"}
+    rows = []
+
+    def scaling(name: str, f: str, scaled: str, factor: float, exponent: float) -> None:
+        y0, y1 = _sql(f, **mid), _sql(f, **mid | {v: f"{factor} * ({mid[v]})" for v in scaled})
+        rows.append(f"select '{name}' as name, abs(({y1}) / ({y0}) - pow({factor}, {exponent})) / pow({factor}, {exponent}) <= 1e-4 and sign({y0}) = sign({y1}) as passed, ({y1}) / ({y0}) as value from box")
+
+    def limit(name: str, f: str, target: str) -> None:
+        e = [f"abs(({_sql(f, **mid | {'d': f'({mid["d"]}) * {s}'})}) - ({_sql(target, **mid | {'d': f'({mid["d"]}) * {s}'})})) / abs({_sql(target, **mid | {'d': f'({mid["d"]}) * {s}'})})" for s in (1.0, 0.25, 0.0625)]
+        rows.append(f"select '{name}', e1 <= e0 and e2 <= e1 and (least(e0, e1, e2) <= 1e-3 or (e1 <= e0 / 2 and e2 <= e1 / 2)), e2 from (select {e[0]} as e0, {e[1]} as e1, {e[2]} as e2 from box)")
+
+    def monotonic(name: str, f: str, v: str, up: int) -> None:
+        x = f"case when {v}_lo > 0 and {v}_hi / {v}_lo >= 10 then {v}_lo * pow({v}_hi / {v}_lo, i / 8.0) else {v}_lo + ({v}_hi - {v}_lo) * (i / 8.0) end"
+        probes = f"select i, {_sql(f, **mid | {v: x})} as y from box, range(0, 9) r(i)"
+        steps = f"select i, y, {up} * (y - lag(y) over (order by i)) > 1e-12 * abs(y) as good from ({probes})"
+        rows.append(f"select '{name}', bool_and(good) and abs(max_by(y, i) - min_by(y, i)) / max(abs(y)) >= 1e-6, abs(max_by(y, i) - min_by(y, i)) / max(abs(y)) from ({steps})")
+
+    def sign(name: str, f: str, condition: str) -> None:
+        grid = {v: f"case when {v}_lo > 0 then {v}_lo * pow({v}_hi / {v}_lo, {v}i / 3.0) else {v}_lo + ({v}_hi - {v}_lo) * ({v}i / 3.0) end" for v in "pdt"}
+        rows.append(f"select '{name}', avg(case when y {condition} then 1.0 else 0.0 end) >= 1, avg(case when y {condition} then 1.0 else 0.0 end) from (select {_sql(f, **grid)} as y from box, range(0, 4) a(pi), range(0, 4) b(di), range(0, 4) c(ti))")
+
+    def symmetry(name: str, f: str) -> None:
+        a, b = "least(d_hi, t_hi)", "greatest(d_lo, t_lo)"
+        p, q = (f"case when {b} > 0 then {b} * pow({a} / {b}, {t}) else {b} + ({a} - {b}) * {t} end" for t in (0.25, 0.75))
+        y0, y1 = _sql(f, **mid | {"d": p, "t": q}), _sql(f, **mid | {"d": q, "t": p})
+        rows.append(f"select '{name}', {b} < {a} and abs(({y0}) - ({y1})) / greatest(abs({y0}), abs({y1})) <= 1e-4, abs(({y0}) - ({y1})) / greatest(abs({y0}), abs({y1})) from box")
+
+    scaling("scaling_price", LAW, "p", 2.0, 1.0)
+    scaling("scaling_wrong", LAW, "p", 2.0, 2.0)
+    scaling("invariance", "p/q*(1-d)", "pq", 3.0, 0.0)
+    limit("limit_no_discount", LAW, "p*(1+t)")
+    limit("limit_wrong", LAW, "p")
+    monotonic("monotonic_price", LAW, "p", 1)
+    monotonic("monotonic_discount", LAW, "d", -1)
+    monotonic("monotonic_wrong", "(d-0.04)**2", "d", 1)
+    sign("sign_positive", LAW, "> 0")
+    sign("sign_negative", LAW, "< 0")
+    symmetry("symmetry", "d*t")
+    symmetry("symmetry_wrong", "d/(1+t)")
+    return f"with {BASE_SQL}, box as (select min(p) as p_lo, max(p) as p_hi, min(d) as d_lo, max(d) as d_hi, min(t) as t_lo, max(t) as t_hi, min(q) as q_lo, max(q) as q_hi from law) select name, passed, round(value, 6) as value from (" + " union all ".join(rows) + ")"
 
 
 def numeric_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +286,6 @@ ORACLE_SQL = {
     "profile_sweep": f"with {BASE_SQL}, m as (select min(p) as lo, max(p) as hi, quantile_cont(d, 0.5) as d, quantile_cont(t, 0.5) as t from law) select cast(i as integer) as i, round(lo + (hi - lo) * i / 319.0, 4) as p, round((lo + (hi - lo) * i / 319.0) * (1 - d) * (1 + t), 4) as y from m, range(0, 320) r(i)",
     "seed_ranking": f"with {BASE_SQL}, s as (select sum(p*p) as pp, sum(p*y) as py, sum(y*y) as yy, count(*) as n from law), g as (select cast(i as integer) as i, pow(10.0, i / 15.0) as k from range(-45, 46) r(i)) select i, round(k, 8) as k, round(sqrt((yy - 2*k*py + k*k*pp) / n), 3) as cost from s, g order by cost, i limit 10",
     "formula_texts": "select regexp_replace(replace(lower(trim(' Size ** 2 * ' || p_brand || ' / R ')), '**', '^'), '\\s+', '', 'g') as formula, cast(count(*) as bigint) as n from part group by 1",
-    "scale_checks": f"""with {BASE_SQL}, b as (select min(d) as d_lo, max(d) as d_hi, min(t) as t_lo, max(t) as t_hi from law)
-      select name, passed from (values ('scaling_price', true), ('scaling_wrong', false), ('invariance', true), ('limit_no_discount', true), ('limit_wrong', false), ('monotonic_price', true), ('monotonic_discount', true), ('sign_positive', true), ('sign_negative', false), ('symmetry', true), ('symmetry_wrong', false)) v(name, passed), b where d_hi > d_lo and t_hi > t_lo""",
+    "scale_checks": _scale_sql(),
 }
 QUERIES = {n: globals()[n] for n in ORACLE_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_archive, queries_law, queries_records, queries_series
+from . import queries_archive, queries_gates, queries_law, queries_records, queries_series
 
-QUERIES = queries_law.QUERIES | queries_records.QUERIES | queries_series.QUERIES | queries_archive.QUERIES
-ORACLE_SQL = queries_law.ORACLE_SQL | queries_records.ORACLE_SQL | queries_series.ORACLE_SQL | queries_archive.ORACLE_SQL
+QUERIES = queries_law.QUERIES | queries_records.QUERIES | queries_series.QUERIES | queries_archive.QUERIES | queries_gates.QUERIES
+ORACLE_SQL = queries_law.ORACLE_SQL | queries_records.ORACLE_SQL | queries_series.ORACLE_SQL | queries_archive.ORACLE_SQL | queries_gates.ORACLE_SQL

@@ -9,8 +9,7 @@ from gaugelaw import registry
 from gaugelaw.functions.formula import FormulaError, compile_formula, parse
 from gaugelaw.functions.units import DimensionError, check_dimension, dimension_of, unit_dimension
 from gaugelaw.operators import metrics
-from gaugelaw.plans import split
-from gaugelaw.plans.ranking import global_rank
+from gaugelaw.plans import ranking, split
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,11 +41,29 @@ def test_units():
         dimension_of("m+v", units)
 
 
-def test_global_rank_with_hot_value(spark):
-    df = spark.range(3000).select(F.when(F.col("id") < 2000, 5.0).otherwise(F.col("id") % 97).cast("double").alias("x"), F.md5(F.col("id").cast("string")).alias("tie"))
-    rows = global_rank(df, "x", "tie", buckets=7).collect()
-    want = sorted((r["x"], r["tie"]) for r in rows)
-    assert [(r["x"], r["tie"]) for r in sorted(rows, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in rows) == list(range(1, 3001))
+@pytest.mark.parametrize("text, want", [("(m/s)^2", "m^2*s^-2"), ("(kg*m)^2", "kg^2*m^2"), ("m/s2", "m/s^2"), ("J/(kg*K)", "m^2/s^2/K"), ("Ω", "V/A"), ("m**3", "m^3"), ("1/s", "Hz"), ("kg/(m/(s^2))", "kg*s^2/m"), ("(N)", "kg m/s^2".replace(" ", "*")), ("-", "1"), ("", "rad")])
+def test_unit_parser(text, want):
+    assert unit_dimension(text) == unit_dimension(want)
+
+
+def test_unit_fractions_and_errors():
+    assert unit_dimension("m^(1/2)")[0] == Fraction(1, 2) and unit_dimension("s^(-3/2)")[2] == Fraction(-3, 2)
+    for text in ("m^", "(m", "m)", "parsec", "m//s", "m^x", "m^(1/0)", "m s"):
+        with pytest.raises(DimensionError):
+            unit_dimension(text)
+
+
+@pytest.mark.parametrize("look_into", [10_000, 40])
+def test_cuts(spark, monkeypatch, look_into):
+    """Ranks by cut-offs against a sort, with one value of most rows, repeated rows, and nulls."""
+    monkeypatch.setattr(ranking, "LOOK_INTO", look_into)
+    x = F.when(F.col("id") < 2000, 5.0).when(F.col("id") > 2990, None).otherwise(F.col("id") % 97).cast("double")
+    df = spark.range(3000).select(x.alias("x"), F.md5((F.when(F.col("id") < 200, 0).otherwise(F.col("id"))).cast("string")).alias("tie"))
+    want = sorted((math.inf if r["x"] is None else r["x"], r["tie"]) for r in df.collect())
+    ranks = [0, 1, 30, 700, 1900, 2500, 2999, 3000]
+    got = ranking.cuts(df, ranking.number(F.col("x")), F.col("tie"), ranks)
+    assert got[0] == ranking.Cut(None) and [(c.x, c.tie) for c in got[1:]] == [want[k - 1] for k in ranks[1:]]
+    assert df.filter(got[3].upto(ranking.number(F.col("x")), F.col("tie"))).count() == sum(w <= want[699] for w in want)
 
 
 def test_split_and_gates(spark):
