@@ -4,7 +4,7 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 both exact, come before the suffix array, so that it runs over the few strings whose repetition is
 still open, and they are short:
 
-1. Anchors. Of the grams (half as long as the string) in a string, the one with the least hash is
+1. Anchors. Of the grams (a quarter as long as the string) in a string, the one with the least hash is
    its anchor, so equal strings have equal anchors at equal offsets, as a difference cover gives
    two suffixes a common sampled offset. An anchor stands for a run of string starts. Runs whose anchor
    gram occurs once cannot repeat; runs that occur twice as a whole repeat as a whole.
@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, release, slices, text_or_empty
+from ._common import drop_table, materialise, release, slices, text_or_empty
 from .suffix_array import equal_prefixes
 
 CELL = 8
+#: Starts of strings in a piece of a long text: what a task holds of one text at a time.
+PIECE = 1 << 20
+#: Neighbouring symbols in each summand of a hash, by the symbols' width.
+REACH = {1: 8, 8: 2}
 MULTIPLIER = 0x9E3779B97F4A7C15
-_rng = np.random.default_rng(11)
-_byte_value = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _words: dict[bytes, int] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -89,43 +91,69 @@ def has_few_words(data: bytes, length: int, words: int) -> bool:
 
 
 class Hashes:
-    """Hashes of any substring of a text's symbols, of width bytes each (1: bytes, 8: words)."""
+    """Hashes of any substring of a text's symbols, of width bytes each (1: bytes, 8: words).
+
+    Sums of powers modulo 2 ** 64 alone meet in strings that are built by doubling (of two symbols,
+    1,024 long). So what is summed are not symbols but mixed hashes of REACH neighbouring symbols, which
+    no doubling keeps apart from their surroundings. Substrings under REACH symbols are no input.
+    """
 
     def __init__(self, data: bytes, width: int = 1):
-        raw = np.frombuffer(data, "<u8").astype(np.uint64) if width == 8 else _byte_value[np.frombuffer(data, np.uint8)]
-        up, self.down = powers(len(raw) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[:-1], dtype=np.uint64)))
+        if width == 8:
+            raw = np.frombuffer(data, "<u8").astype(np.uint64)
+            raw = np.concatenate((raw[:-1] * np.uint64(MULTIPLIER) + (raw[1:] >> np.uint64(1)), np.zeros(0, np.uint64)))
+        else:
+            raw = _windows(np.frombuffer(data, np.uint8), REACH[1]).copy().view("<u8").ravel()
+        self.reach = REACH[width]
+        up, self.down = powers(len(raw) + self.reach + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(raw + np.uint64(MULTIPLIER)) * up[: len(raw)], dtype=np.uint64)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return mixed((self.sums[end - self.reach + 1] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def grams(self, n: int) -> np.ndarray:
+        """Of the n symbols from each place on."""
+        far = self.sums[n - self.reach + 1 :]
+        return mixed((far - self.sums[: len(far)]) * self.down[: len(far)] + np.uint64(n))
+
+
+def _windows(raw: np.ndarray, n: int) -> np.ndarray:
+    """The n values from each place on."""
+    return np.lib.stride_tricks.sliding_window_view(raw, n) if len(raw) >= n else np.zeros((0, n), raw.dtype)
 
 
 def least_in_windows(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of width values, the place of the leftmost least one."""
-    value, place, size = h, np.arange(len(h)), 1
-    while size < width:
-        step = min(size, width - size)
-        later = value[step:] < value[: len(value) - step]
-        place = np.where(later, place[step:], place[: len(place) - step])
-        value = np.where(later, value[step:], value[: len(value) - step])
-        size += step
-    return place
-
-
-def anchors(data: bytes, length: int, width: int = 1) -> tuple[Hashes | None, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, anchor places, and for each its least and most offset from a string start)."""
-    none = np.zeros(0, np.int64)
-    size = len(data) // width
-    if size < length:
-        return None, none, none, none
-    gram = length // 2
-    hashes = Hashes(data, width)
-    at = np.arange(size - gram + 1)
-    place = least_in_windows(hashes.of(at, at + gram), length - gram + 1)
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    last = np.append(first[1:], len(place)) - 1
-    p = place[first]
-    return hashes, p, p - last, p - first
+    """For each window of width values, the place of the leftmost least one, by the values' upper 40 bits; for up to 2 ** 24 values."""
+    n = len(h)
+    low = np.uint64(2**24 - 1)
+    v = np.full(-(-n // width) * width, 2**64 - 1, np.uint64)
+    v[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
+    v = v.reshape(-1, width)
+    ahead = np.minimum.accumulate(v, 1).ravel()  # from the block's begin to a place, and from a place to the block's end
+    behind = np.minimum.accumulate(v[:, ::-1], 1)[:, ::-1].ravel()
+    return (np.minimum(behind[: n - width + 1], ahead[width - 1 : n]) & low).astype(np.int64)
+
+
+def gram_size(length: int, width: int) -> int:
+    """A quarter of the string: long enough to be rare, and short enough that one anchor stands for most starts of a string's length."""
+    return max(REACH[width], length // 4)
+
+
+def anchors(data: bytes, length: int, width: int = 1) -> tuple[np.ndarray, ...]:
+    """(gram hash, run hash, anchor place, least and most offset of the place from a string start) for each anchor of a text, cut in pieces of PIECE starts."""
+    size, gram = len(data) // width, gram_size(length, width)
+    out = []
+    for base in range(0, size - length + 1, PIECE):
+        hashes = Hashes(data[base * width : (base + PIECE + length - 1) * width], width)
+        h = hashes.grams(gram)
+        place = least_in_windows(h, length - gram + 1)[: min(PIECE, size - length + 1 - base)]
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        last = np.append(first[1:], len(place)) - 1
+        p = place[first]
+        low, high = p - last, p - first
+        whole = mixed(hashes.of(first, last + length) + low.astype(np.uint64) * np.uint64(1 << 20) + high.astype(np.uint64))
+        out.append((h[p], whole, p + base, low, high))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
 
 
 def _anchor_rows(texts: DataFrame, length: int, width: int, words: int | None) -> DataFrame:
@@ -138,11 +166,8 @@ def _anchor_rows(texts: DataFrame, length: int, width: int, words: int | None) -
                 data = text.encode()
                 if words and not has_few_words(data, length, words):
                     continue
-                hashes, p, low, high = anchors(word_symbols(data) if width == 8 else data, length, width)
-                if hashes is not None:
-                    whole = hashes.of(p - high, p - low + length)
-                    whole = mixed(whole + low.astype(np.uint64) * np.uint64(1 << 20) + high.astype(np.uint64))
-                    out.append([hashes.of(p, p + length // 2), whole, np.full(len(p), i), p, low, high])
+                g, whole, p, low, high = anchors(word_symbols(data) if width == 8 else data, length, width)
+                out.append([g, whole, np.full(len(p), i), p, low, high])
             if out:
                 g, r, i, p, low, high = (np.concatenate(x) for x in zip(*out))
                 owner = pa.array(i)
@@ -154,25 +179,49 @@ def _anchor_rows(texts: DataFrame, length: int, width: int, words: int | None) -
     return texts.mapInArrow(run, "gram long, run long, h1 long, h2 long, place int, low int, high int")
 
 
+def _cut(symbols: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The binary strings symbols[first : end], of CELL - 1 rows of symbols at most, as an Arrow column."""
+    n = CELL - 1
+    at = first[:, None] + np.arange(n)
+    inside = at < end[:, None]
+    flat = symbols[at[inside]].reshape(-1)
+    ends = np.cumsum(inside.sum(1) * symbols.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(flat.tobytes())])
+
+
 def _cell_rows(texts: DataFrame, length: int, width: int) -> DataFrame:
     """Rows (core, left, right, n, ref, cell) of the runs (ref, n, gram, place, low, high) listed with each text."""
 
+    def cells(data: bytes, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of runs, rows of (ref, n, gram, place, low, high), by place and a piece of the text at a time."""
+        size = len(data) // width
+        runs = runs[np.argsort(runs[:, 3], kind="stable")]
+        while len(runs):
+            base = max(0, int((runs[:, 3] - runs[:, 5]).min()) - 2 * CELL) if len(runs) and size > PIECE else 0
+            some = runs[: max(1, int(np.searchsorted(runs[:, 3], base + PIECE)))]
+            runs = runs[len(some) :]
+            stop = min(size, int((some[:, 3] - some[:, 4]).max()) + length + 2 * CELL)
+            piece = data[base * width : stop * width]
+            hashes, symbols = Hashes(piece, width), np.frombuffer(piece, np.uint8).reshape(-1, width)
+            ref, n, gram, place, low, high = some.T
+            each = high // CELL - low // CELL + 1
+            r = np.repeat(np.arange(len(some)), each)
+            cell = np.arange(len(r)) - np.repeat(np.cumsum(each) - each, each) + (low // CELL)[r]
+            q = place[r] - CELL * cell - base
+            end = q - (CELL - 1) + length
+            core = mixed(hashes.of(q, end) ^ gram[r].view(np.uint64) ^ (cell.astype(np.uint64) << np.uint64(40)))
+            left, right = _cut(symbols, np.maximum(0, q - CELL + 1), q), _cut(symbols, end, np.minimum(end + CELL - 1, len(symbols)))
+            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), left, right, pa.array(n[r]), pa.array(ref[r]), pa.array(cell.astype(np.int32))], names=["core", "left", "right", "n", "ref", "cell"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows: list[tuple] = []
-            for text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = word_symbols(text.encode()) if width == 8 else text.encode()
-                hashes = Hashes(data, width)
-                for r in runs:
-                    cell = np.arange(r["low"] // CELL, r["high"] // CELL + 1)
-                    q = r["place"] - CELL * cell
-                    end = q - (CELL - 1) + length
-                    core = mixed(hashes.of(q, end) ^ np.uint64(r["gram"] & (2**64 - 1)) ^ (cell.astype(np.uint64) << np.uint64(40)))
-                    for c, x, e, k in zip(core.view(np.int64).tolist(), q.tolist(), end.tolist(), cell.tolist()):
-                        rows.append((c, data[max(0, x - CELL + 1) * width : x * width], data[e * width : (e + CELL - 1) * width], r["n"], r["ref"], k))
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["core", "left", "right", "n", "ref", "cell"])
+            runs = b.column(1)
+            flat = np.stack([runs.flatten().field(i).to_numpy() for i in range(6)], 1).astype(np.int64)
+            edges = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+            made: list[pa.RecordBatch] = []
+            for i, text in enumerate(b.column(0).to_pylist()):
+                made += cells(word_symbols(text.encode()) if width == 8 else text.encode(), flat[edges[i] : edges[i + 1]])
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
 
     return texts.mapInArrow(run, "core long, left binary, right binary, n long, ref long, cell int")
 
@@ -218,18 +267,19 @@ def repeated_starts(docs: DataFrame, length: int, text_col: str, width: int = 1,
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     texts = docs.select(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.alias("text")).filter(F.octet_length("text") >= (length if width == 1 else 2 * length - 1))
-    found = _anchor_rows(texts, length, width, words)
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("grams")).filter("grams > 1").select("gram")
-    found = materialise(found.join(often, "gram"), "anchors")
+    every = materialise(_anchor_rows(texts, length, width, words), "anchors")
+    # a table of its own, so that a gram with very many anchors can be split in the join
+    often = materialise(every.groupBy("gram").agg(F.count(F.lit(1)).alias("grams"), (F.min("run") < F.max("run")).alias("several")).filter("grams > 1").select("gram", "several"), "grams")
+    found = materialise(every.join(often, "gram"), "anchors")
+    drop_table(every)
     release(spark)
-    runs = found.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2", "place", "low", "high")).alias("r"))
-    runs = materialise(runs.select("gram", "run", "n", "r.*").withColumn("ref", F.monotonically_increasing_id()), "runs")
+    runs = found.groupBy("gram", "run", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2", "place", "low", "high")).alias("r"))
+    runs = materialise(runs.select("gram", "run", "several", "n", "r.*").withColumn("ref", F.monotonically_increasing_id()), "runs")
     twice = runs.filter("n > 1").select("gram", "run")
     whole = found.join(twice, ["gram", "run"]).select("h1", "h2", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last"))
 
-    several = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram")
-    open_runs = runs.join(several, "gram")
-    listed = open_runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("ref", "n", "gram", "place", "low", "high")).alias("runs"))
+    open_runs = runs.filter("several")
+    listed = open_runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("ref", "n", "gram", F.col("place").cast("long").alias("place"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))).alias("runs"))
     # one copy of each text, combined before the shuffle
     single = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     cells = materialise(_cell_rows(single.join(listed, ["h1", "h2"]).select("text", "runs"), length, width), "cells")
@@ -261,11 +311,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     spans: removed byte ranges (start, end), as long as possible; kept: the other bytes in order,
     which may cut a character (as_text: a string without what is left of characters that were cut). A null text counts as empty; texts under length bytes lose nothing;
     each of two equal texts of at least length bytes loses everything; repeated rows count as copies.
+    length is 16 at least. Very long texts are hashed in pieces of PIECE bytes; the text itself and its spans are held whole.
     words: strings of so many words go too, from the first byte of the first word to the last one
     of the last word, whatever white space lies between them; strings of length bytes that have so
     many words inside are left to this rule, which cuts no word. Null ids stay; an empty table
     gives no rows; columns not in keep are left out.
     """
+    if length < 16 or words is not None and words < 4:
+        raise ValueError("length has to be 16 at least, words 4")
     columns = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     starts = repeated_starts(docs, length, text_col, words=words).withColumn("by_words", F.lit(False))
