@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import in_one_task, slices, windows
 
 UND = "und"
 
@@ -26,13 +26,13 @@ UND = "und"
 @cache
 def _letters() -> np.ndarray:
     """True for each code point that is a letter."""
-    return np.array([chr(i).isalpha() for i in range(0x30000)], bool)
+    return np.array([chr(i).isalpha() for i in range(0x110000)], bool)
 
 
 def ngram_buckets(text: str, bits: int) -> np.ndarray:
     """Buckets of the n-grams of a whole text; none if it has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = _letters()[np.minimum(points, 0x2FFFF)]
+    letter = _letters()[points]
     if not letter.any():
         return np.zeros(0, np.int64)
     c = np.where(letter, points, 32).astype(np.uint32)
@@ -74,8 +74,8 @@ def train(
     texts: list[str], labels: list[str], bits: int = 16, width: int = 16, epochs: int = 6, rate: float = 0.5, held: float = 0.25, reject_share: float = 0.001, seed: int = 7
 ) -> Model:
     """A model from labelled texts; those without a letter don't count. reject_share: of rightly predicted held-out texts, so many at most fall under the confidence limit."""
-    bags = [(np.unique(ngram_buckets(t, bits), return_counts=True), y) for t, y in zip(texts, labels)]
-    bags = [((i, (n / n.sum()).astype(np.float32)), y) for (i, n), y in bags if len(i)]
+    bags = ((np.unique(ngram_buckets(t, bits), return_counts=True), y) for t, y in zip(texts, labels))
+    bags = [((i.astype(np.int32), (n / n.sum()).astype(np.float32)), y) for (i, n), y in bags if len(i)]
     langs = sorted({y for _, y in bags})
     if not langs:
         return Model([], np.zeros((0, 0), np.float32), np.zeros(0), bits, 1.0, 1.0)
@@ -117,27 +117,37 @@ def train(
     return Model(langs, (E @ W).astype(np.float32), b.astype(np.float64), bits, temperature, limit)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 500, longest: int = 10_000, id_col: str = "doc_id") -> Model:
-    """Train on about per_language rows of each language, picked by a hash of id and text, of texts up to longest characters.
+def fit(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, characters: int = 6000, languages: int = 200, id_col: str = "doc_id"
+) -> Model:
+    """Train on about per_language rows of each language, picked by a hash of id and text.
 
-    The bound is per_language x languages texts of longest characters; rows with null text or
-    language don't count, and an empty table gives a model that predicts "und".
+    The bound is per_language x languages texts of `characters` characters: of longer texts, windows
+    spread over the whole text are taken. The most frequent `languages` languages are learned. One
+    task holds the sample and trains; the driver gets the model alone. Rows with null text or
+    language don't count, of repeated rows all or none are picked, ties in the hash go by text, and
+    an empty table gives a model that predicts "und".
     """
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
-    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0)
-    for lang, n in count.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(1e6 * min(1.0, per_language / n)))).otherwise(share)
-    picked = rows.filter(F.pmod("h", F.lit(1_000_000)) < share).orderBy("h").limit(2 * per_language * max(1, len(count))).collect() if count else []
-    return train([r["text"] for r in picked], [r["lang"] for r in picked])
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
+    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not count:
+        return train([], [])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(1e6 * min(1.0, per_language / r["n"]))) for r in count], "lang string, share int")
+    picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share"))  # at most `languages` rows on the other side
+    picked = picked.select(windows(F.col("text"), characters).alias("text"), "lang", "h").orderBy("h", "text").limit(2 * per_language * len(count))
+    return in_one_task(picked, lambda sample: train([r["text"] for r in sample], [r["lang"] for r in sample]))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows (keep..., lang_pred, score, accepted), one for each row of docs.
 
-    "und", score 0 and not accepted for a null text or one without a letter. Repeated rows and null
-    ids stay as they are; whole texts are read; columns not in keep are left out.
+    "und", score 0 and not accepted for a null or empty text or one without a letter; of equally
+    likely languages the first by name. Repeated rows and null ids stay as they are; whole texts are
+    read, however long, one at a time; columns not in keep are left out, and so is one in keep that
+    has the name of a result. An empty table gives no rows.
     """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "accepted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(keep) if text_col in keep else [*keep, text_col]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -2,7 +2,8 @@
 
 Heuristic labellers vote good, bad or nothing on each whole text. Spark counts the vote patterns of
 all documents, of which there are at most 3 to the number of labellers; expectation-maximisation
-over the counted patterns estimates each labeller's accuracy and a posterior for each pattern.
+over the counted patterns estimates how often each labeller is right on good and on bad texts, and a
+posterior for each pattern.
 Posterior labels of a bounded sample train a hashed linear scorer, which then scores every text.
 """
 
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, text_or_empty
+from ._common import in_one_task, slices, text_or_empty, windows
 
 LINE = re.compile(r"[\n.]+")
+#: Words among which distinct ones are counted.
+BLOCK = 256
 _upper, _lower = range(65, 91), range(97, 123)
 _symbols = [c for c in b"!#$%&*+/<=>@[\\]^_`{|}~"]
 
@@ -46,16 +49,17 @@ def votes(text: str) -> str:
     odd_ends = sum(not w[-1].isalnum() and w[-1] not in ".,;:?)'\"" for w in words) / n
     lines = [x for x in LINE.split(text) if x.strip()]
     repeated = 1 - len(set(lines)) / max(1, len(lines))
-    distinct = len(set(words)) / n
+    # by blocks, as longer texts repeat more of their words
+    distinct = sum(len(set(words[at : at + BLOCK])) for at in range(0, n, BLOCK)) / n
     twice = sum(map(eq, words, words[1:])) / n
     out = [
-        _judge(symbols, False, symbols > 0.08),
-        _judge(shouting, False, shouting > 0.5 and letters >= 10),
-        _judge(bare, False, bare > 0.15),
-        _judge(short, False, short < 0.1 and n >= 20),
-        _judge(odd_ends, False, odd_ends > 0.3),
-        _judge(repeated, False, repeated > 0.5 and len(lines) >= 4),
-        _judge(distinct, False, distinct < 0.15 and 20 <= n),
+        _judge(symbols, symbols < 0.02, symbols > 0.08),
+        _judge(shouting, shouting < 0.2 and letters >= 10, shouting > 0.5 and letters >= 10),
+        _judge(bare, bare < 0.03, bare > 0.15),
+        _judge(short, 0.2 < short < 0.8 and n >= 20, short < 0.1 and n >= 20),
+        _judge(odd_ends, odd_ends < 0.05, odd_ends > 0.3),
+        _judge(repeated, repeated < 0.2 and len(lines) >= 4, repeated > 0.5 and len(lines) >= 4),
+        _judge(distinct, distinct > 0.4 and n >= 20, distinct < 0.2 and n >= 20),
         _judge(twice, twice < 0.05 and n >= 10, twice > 0.2),
     ]
     return "".join(out)
@@ -67,31 +71,44 @@ LABELLERS = ("symbols", "capitals", "bare symbols as words", "short words", "wor
 
 @dataclass
 class LabelModel:
-    """prior: share of good; accuracy: of each labeller's votes, the share that is right. No vote says nothing."""
+    """prior: share of good; bad_of_good, bad_of_bad: of each labeller's votes on good and on bad texts, the share that says bad. No vote says nothing."""
 
     prior: float
-    accuracy: np.ndarray
+    bad_of_good: np.ndarray
+    bad_of_bad: np.ndarray
     posterior: dict[str, float] = field(default_factory=dict)
 
     def of(self, pattern: str) -> float:
         """Chance that a text with these votes is good."""
-        sign = np.array(["0-1".index(c) - 1 for c in pattern])
-        z = np.log(self.prior / (1 - self.prior)) + (sign * np.log(self.accuracy / (1 - self.accuracy))).sum()
+        v = np.frombuffer(pattern.encode(), np.uint8)
+        z = np.log(self.prior / (1 - self.prior))
+        z += np.log(self.bad_of_good / self.bad_of_bad)[v == ord("0")].sum() + np.log((1 - self.bad_of_good) / (1 - self.bad_of_bad))[v == ord("1")].sum()
         return float(1 / (1 + np.exp(np.clip(-z, -500, 500))))
 
+    @property
+    def accuracy(self) -> np.ndarray:
+        """The share of each labeller's votes that is right, with votes on texts of both kinds in proportion."""
+        return self.prior * (1 - self.bad_of_good) + (1 - self.prior) * self.bad_of_bad
 
-def fit_labels(patterns: dict[str, int], rounds: int = 100, prior: float = 0.85, start: float = 0.9) -> LabelModel:
-    """Expectation-maximisation over counted vote patterns; labellers start as right in a share `start` of their votes."""
-    m = LabelModel(prior, np.full(len(LABELLERS), start))
+
+def fit_labels(patterns: dict[str, int], rounds: int = 200, prior: float = 0.85, start: tuple[float, float] = (0.03, 0.5)) -> LabelModel:
+    """Expectation-maximisation over counted vote patterns.
+
+    start: the shares of votes on good and on bad texts that say bad, before any text is seen; they
+    weigh as much as ten votes. A labeller never says bad more often of good texts than of bad ones.
+    """
+    k = len(LABELLERS)
+    m = LabelModel(prior, np.full(k, start[0]), np.full(k, start[1]))
     keys, n = list(patterns), np.array(list(patterns.values()), float)
-    sign = np.array([["0-1".index(c) - 1 for c in p] for p in keys]).reshape(len(keys), len(LABELLERS))
+    votes = np.array([list(p.encode()) for p in keys]).reshape(len(keys), k)
     for _ in range(rounds if len(keys) else 0):
         q = np.array([m.of(p) for p in keys])
-        right = np.where(sign > 0, q[:, None], np.where(sign < 0, 1 - q[:, None], 0))
-        # ten votes' worth of the start value; none is taken for infallible or for worse than a coin
-        accuracy = (n @ right + 10 * start) / (n @ (sign != 0) + 10)
-        new = LabelModel(float(np.clip((n @ q + 1) / (n.sum() + 2), 0.01, 0.99)), np.clip(accuracy, 0.51, 0.99))
-        done = np.abs(new.accuracy - m.accuracy).max() < 1e-6
+        share = []
+        for weight, s in ((n * q, start[0]), (n * (1 - q), start[1])):
+            bad, cast = weight @ (votes == ord("0")), weight @ (votes != ord("-"))
+            share.append(np.clip((bad + 10 * s) / (cast + 10), 1e-4, 0.999))
+        new = LabelModel(float(np.clip((n @ q + 1) / (n.sum() + 2), 0.01, 0.99)), np.minimum(*share), share[1])
+        done = max(np.abs(new.bad_of_good - m.bad_of_good).max(), np.abs(new.bad_of_bad - m.bad_of_bad).max()) < 1e-6
         m = new
         if done:
             break
@@ -118,11 +135,12 @@ def shape_buckets(text: str, bits: int) -> np.ndarray:
 
 @dataclass
 class Scorer:
-    """A linear score over the mean of hashed features; the shares of words said twice and of repeated sentences count too."""
+    """A linear score over the mean of hashed features; the shares of words said twice and of repeated sentences count too. trained: on how many texts."""
 
     weights: np.ndarray
     extra: np.ndarray
     bits: int
+    trained: int = 0
 
     @staticmethod
     def shares(text: str) -> np.ndarray | None:
@@ -145,7 +163,8 @@ def fit_scorer(texts: list[str], goodness: list[float], bits: int = 16, epochs:
     for t, y in zip(texts, goodness):
         if (extra := s.shares(t)) is not None:
             i, n = np.unique(shape_buckets(t, bits), return_counts=True)
-            rows.append((i, n / n.sum(), extra, y))
+            rows.append((i.astype(np.int32), (n / n.sum()).astype(np.float32), extra, y))
+    s.trained = len(rows)
     bad = sum(1 - r[3] for r in rows)
     weigh = min(max((len(rows) - bad) / bad, 0.1), 20.0) if bad > 0 else 1.0
     rng = np.random.default_rng(seed)
@@ -172,26 +191,34 @@ def vote(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) ->
     return docs.select(text_or_empty(text_col).alias("__text"), *keep).mapInArrow(run, f"{kinds}votes string")
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 1500, longest: int = 10_000) -> tuple[LabelModel, Scorer]:
-    """The label model over all documents' votes, and a scorer from about sample texts of up to longest characters, picked by a hash of id and text.
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 4000, characters: int = 6000) -> tuple[LabelModel, Scorer]:
+    """The label model over all documents' votes, and a scorer from about `sample` texts, picked by a hash of id and text.
 
-    An empty table gives the labellers' start values and a scorer whose every score is one half.
+    The bound is 2 x sample texts of `characters` characters: of longer texts, windows spread over
+    the whole text train the scorer, while their votes are those of the whole text. One task holds
+    the sample and trains; the driver gets the models and the counted vote patterns, at most 3 to
+    the number of labellers. Of repeated rows all or none are picked; ties in the hash go by text.
+    Without a text that has words, scores are the label model's posteriors; an empty table gives
+    the labellers' start values.
     """
-    patterns = {r["votes"]: r["n"] for r in vote(docs, text_col).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 3 ** labellers rows
+    patterns = {r["votes"]: r["n"] for r in vote(docs, text_col).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = fit_labels(patterns)
     n = max(1, sum(patterns.values()))
-    rows = docs.filter(F.length(text_col).between(1, longest)).select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    picked = rows.filter(F.pmod("h", F.lit(1_000_000)) < int(1e6 * min(1.0, sample / n))).orderBy("h").limit(2 * sample).collect()
-    texts = [r["text"] for r in picked]
-    return model, fit_scorer(texts, [model.of(votes(t)) for t in texts])
+    rows = docs.select(text_or_empty(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).filter(F.pmod("h", F.lit(1_000_000)) < int(1e6 * min(1.0, sample / n)))
+    voted = vote(rows.select(windows(F.col("text"), characters).alias("part"), "text", "h"), "text", keep=("part", "h"))
+    picked = voted.filter("part <> ''").orderBy("h", "part").limit(2 * sample)
+    return model, in_one_task(picked, lambda found: fit_scorer([r["part"] for r in found], [model.of(r["votes"]) for r in found]))
 
 
 def classify(docs: DataFrame, models: tuple[LabelModel, Scorer], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
     """Rows (keep..., votes, posterior, quality, accepted), one for each row of docs.
 
-    quality is the scorer's; accepted means that it is at least `least`. A null text, or one without
-    words, gets no votes, quality 0 and is not accepted. Repeated rows and null ids stay.
+    quality is the scorer's; accepted means that it is at least `least` (a tie is accepted). A null
+    or empty text, or one without words, gets no votes, quality 0 and is not accepted. Repeated rows
+    and null ids stay; whole texts are read, however long, one at a time; columns not in keep are
+    left out, and so is one in keep that has the name of a result. An empty table gives no rows.
     """
+    keep = tuple(c for c in keep if c not in ("votes", "posterior", "quality", "accepted"))
     shared = docs.sparkSession.sparkContext.broadcast(models)
     columns = list(keep) if text_col in keep else [*keep, text_col]
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
@@ -204,7 +231,10 @@ def classify(docs: DataFrame, models: tuple[LabelModel, Scorer], text_col: str =
             given = [votes(t) for t in texts]
             for p in set(given) - known.keys():
                 known[p] = labels.of(p)
-            quality = [scorer.score(t) for t in texts]
+            if scorer.trained:
+                quality = [scorer.score(t) for t in texts]
+            else:
+                quality = [known[p] if t.split() else 0.0 for t, p in zip(texts, given)]
             yield pa.RecordBatch.from_arrays(
                 [*(b[c] for c in keep), pa.array(given, pa.string()), pa.array([known[p] for p in given], pa.float64()), pa.array(quality, pa.float64()), pa.array([q > 0 and q >= least for q in quality], pa.bool_())],
                 names=[*keep, "votes", "posterior", "quality", "accepted"],
