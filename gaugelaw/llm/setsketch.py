@@ -9,7 +9,8 @@ verified on the full sets.
 Documents with equal sets form a class first, and only classes are compared. In each band bucket all
 classes are compared with one pivot, the one that meets most others over all buckets, which links a
 group of copies in work linear in its size. Only buckets whose members then still lie in several
-components have their remaining pairs compared, in blocks, where only links become rows.
+components have the members outside the commonest one compared with the others, in blocks, where only
+links that join components become rows.
 """
 
 from __future__ import annotations
@@ -191,39 +192,49 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("both") >= percent * (F.size("ma") + F.size("mb") - F.col("both"))).select("a", "b")
 
 
-def block_links(members: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Linked pairs (a, b) of members (bucket, size, cls, label, members) that share a bucket and differ in label.
+def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Linked pairs (a, b) of members (bucket, size, cls, label) with sets (cls, members) that share a bucket and differ in label, as many as connect what they connect.
 
-    A bucket is cut into blocks, and each two of its blocks meet in one group. There the members
-    outside the commonest label are compared on full sets with all of other labels; only links
-    become rows, however many pairs a bucket has.
+    Of two members of different labels one at least is outside the bucket's commonest label. So all
+    members are cut into blocks, those outside the commonest label into chunks, and each block meets
+    each chunk in one group of at most about two blocks of sets: a member is copied once for each
+    chunk, which is once in all if few are outside. A group compares full sets and gives one link
+    for each two labels that it joins, however many pairs are linked.
     """
-    dealt = members.withColumns({"g": F.ceil(F.col("size") / block).cast("int")}).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cls", "label", "members")
+    counts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    common = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.max("n").alias("n"))
+    common = materialise(common, "labels")  # a table of its own, so that a crowded bucket can be split in the join
+    rows = members.join(common, "bucket").withColumns({"blocks": F.ceil(F.col("size") / block).cast("int"), "chunks": F.ceil((F.col("size") - F.col("n")) / block).cast("int")}).filter("chunks > 0")
+    place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "cls"), F.col(n)).cast("int")
+    own = rows.withColumns({"i": place(1, "blocks"), "j": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "probe": F.lit(False)})
+    few = rows.filter("label <> common").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "j": place(2, "chunks"), "probe": F.lit(True)})
+    names = ["bucket", "i", "j", "probe", "cls", "label"]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        cls, label = pdf["cls"].to_numpy(), pdf["label"].to_numpy()
-        sets = pdf["members"].tolist()
-        n = np.array([len(s) for s in sets])
-        names, counts = np.unique(label, return_counts=True)
-        few = np.flatnonzero(label != names[counts.argmax()])
-        out: list[np.ndarray] = []
-        if len(few):
-            ids = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
-            start = np.cumsum(n) - n
-            mark = np.zeros(ids.max() + 1, np.int64)
+        cls, label, probe = pdf["cls"].to_numpy(), pdf["label"].to_numpy(), pdf["probe"].to_numpy()
+        few, rest = np.flatnonzero(probe), np.flatnonzero(~probe)
+        out: list[tuple[int, int]] = []
+        if len(few) and len(rest):
+            sets = pdf["members"].tolist()
+            n = np.array([len(sets[i]) for i in rest])
+            values, ids = np.unique(np.concatenate([sets[i] for i in rest]), return_inverse=True)
+            start, mark = np.cumsum(n) - n, np.zeros(len(values), np.int64)
+            names, root = np.unique(label, return_inverse=True)
             for x in few:
-                own = ids[start[x] : start[x] + n[x]]
+                own = np.searchsorted(values, sets[x])
+                own = own[(own < len(values)) & (values[np.minimum(own, len(values) - 1)] == sets[x])]
+                if not (root[rest] != root[x]).any():
+                    continue
                 mark[own] = 1
                 both = np.add.reduceat(mark[ids], start)
                 mark[own] = 0
-                y = np.flatnonzero((label != label[x]) & (100 * both >= percent * (n + n[x] - both)))
-                out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+                for y in rest[100 * both >= percent * (n + len(sets[x]) - both)]:
+                    if root[y] != root[x]:
+                        root[root == root[y]] = root[x]
+                        out.append((min(cls[x], cls[y]), max(cls[x], cls[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long")
+    return own.select(names).union(few.select(names)).join(sets, "cls").groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,9 +244,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     shingles is at least percent times that of their union; component_id is the smallest id that a
     document can reach, and kept says that it is its own. A pair at the threshold is missed with a
     chance under 1e-8 by the bands, and under 1e-6 by the estimate. Null and empty texts have no
-    shingles and no links. Repeated rows share a component (each with the smallest id is kept); rows
-    with a null id take part and are kept only if no id is in their component. Other columns are
-    not read; an empty table gives no rows.
+    shingles and no links. Repeated rows share a component (each with the smallest id is kept, ties
+    too); rows with a null id take part and are kept only if no id is in their component. Very long
+    texts are compared whole; a group of the last comparison holds the sets of 512 classes at most.
+    Other columns, whatever their names, are not read; an empty table gives no rows.
     """
     rows = band_rows(percent)
     known = materialise(sketches(docs, width, id_col, text_col), "sketches")
@@ -274,12 +286,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     far = left.filter(F.col("size") > SMALL)
     missing = ends(near).union(far.select("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
     sets = sets.union(sets_of(missing))
-    found = materialise(verify(near, sets, percent).union(block_links(far.join(sets, "cls"), percent)).distinct(), "links")
+    found = materialise(verify(near, sets, percent).union(block_links(far, sets, percent)).distinct(), "links")
     if not found.isEmpty():
         labels = connected_components(links.union(found))
 
     owner = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("fingerprint", "id", F.coalesce("label", "cls").alias("label"))
-    least = owner.groupBy("label").agg(F.min("id").alias("component_id"))
+    # a table of its own, so that the classes of a very large component can be split in the join
+    least = materialise(owner.groupBy("label").agg(F.min("id").alias("component_id")), "components")
     owner = owner.join(least, "label").select("fingerprint", "component_id")
     out = known.join(owner, "fingerprint", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("fingerprint").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

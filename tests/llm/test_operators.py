@@ -280,6 +280,36 @@ def test_near_duplicates(spark, nothing, width, percent):
     assert setsketch.near_duplicates(nothing).count() == 0
 
 
+def test_block_links(spark):
+    """Links between labels of a crowded bucket, whatever the blocks, connect what all pairs connect."""
+    rng = random.Random(14)
+    rows, sets = [], {}
+    for g in range(6):
+        base = rng.sample(range(10**6), 40)
+        for k in range(60 if g == 0 else 12):
+            members = sorted({*rng.sample(base, 40 - k % 4), *(rng.randrange(10**6) for _ in range(k % 4))})
+            cls = len(rows)
+            sets[cls] = set(members)
+            # group 0 is one label; of the others two labels each, and all of group 4 labels of their own
+            rows.append((7, 0, cls, 0 if g == 0 else cls if g == 4 else 1000 + 10 * g + k % 2, members))
+    rows = [(b, len(rows), c, x, m) for b, _, c, x, m in rows]
+    label = {c: x for _, _, c, x, _ in rows}
+    df = spark.createDataFrame(rows, "bucket long, size long, cls long, label long, members array<long>").repartition(3)
+
+    def joined(pairs):
+        root = {x: x for x in label.values()}
+        for a, b in pairs:
+            old, new = root[label[a]], root[label[b]]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
+
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    want = joined([(a, b) for a in sets for b in sets if a < b and label[a] != label[b] and linked(a, b)])
+    for block in (16, 256):
+        found = [(r["a"], r["b"]) for r in setsketch.block_links(df.drop("members"), df.select("cls", "members"), 80, block).collect()]
+        assert all(linked(a, b) and label[a] != label[b] for a, b in found) and joined(found) == want
+
+
 def test_near_duplicates_without_ids(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randint(0, 9999)}" for _ in range(150)] for _ in range(4)]
