@@ -103,7 +103,7 @@ def discrimination(checks: DataFrame, role: str = "role", case: str = "candidate
     scale = F.col("name").startswith("scale-")
     single = checks.groupBy(kind.alias("judge"), role, case).agg(F.bool_and("passed").alias("ok"))
     each = checks.groupBy(role, case).agg(F.bool_and("passed").alias("all"), F.coalesce(F.bool_and(F.when(~scale, F.col("passed"))), F.lit(True)).alias("numeric"))
-    whole = each.select(role, case, F.inline(F.array(F.struct(F.lit("(all gates)").alias("judge"), F.col("all").alias("ok")), F.struct(F.lit("(numeric gates)"), F.col("numeric")), F.struct(F.lit("(scale gates alone)"), ~(F.col("numeric") & ~F.col("all"))))))
+    whole = each.select(role, case, F.inline(F.array(F.struct(F.lit("(all gates)").alias("judge"), F.col("all").alias("ok")), F.struct(F.lit("(numeric gates)").alias("judge"), F.col("numeric").alias("ok")), F.struct(F.lit("(scale gates alone)").alias("judge"), (~(F.col("numeric") & ~F.col("all"))).alias("ok")))))
     rows = single.select("judge", role, "ok").union(whole.select("judge", role, "ok"))
     ref, wrong = F.col(role) == "reference", F.col(role) == "wrong"
     return rows.groupBy("judge").agg(F.count_if(ref).alias("n_reference"), F.count_if(ref & F.col("ok")).alias("passed_reference"), F.count_if(wrong).alias("n_wrong"), F.count_if(wrong & ~F.col("ok")).alias("failed_wrong"))

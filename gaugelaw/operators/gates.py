@@ -8,10 +8,12 @@ that failed, with the reason; later gates of a candidate without an expression o
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,30 @@ def metadata_checks(spark: SparkSession, candidates: Mapping[str, Candidate], va
     return spark.createDataFrame(rows, CHECK), sound
 
 
+def dimension_gate(tasks: DataFrame) -> DataFrame:
+    """Rows (formula, units, free, n, mode, passed) of tasks (formula, units map, free array of parameters).
+
+    Formulas with equal units are judged once, whatever the number of tasks n. mode is strict,
+    structural (a parameter without a unit may have any) or skipped (the target y has no unit).
+    """
+    told = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("units", F.create_map().cast("map<string,string>"))))))
+    kinds = tasks.select("formula", told.alias("units"), F.array_join(F.coalesce("free", F.array().cast("array<string>")), ",").alias("free")).groupBy("formula", "units", "free").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            modes, passed = [], []
+            for formula, units, free in zip(*(b.column(i).to_pylist() for i in range(3))):
+                try:
+                    mode, ok, _ = check_dimension(formula or "", json.loads(units), frozenset(free.split(",")) - {""})
+                except (FormulaError, DimensionError):
+                    mode, ok = "strict", False
+                modes.append(mode)
+                passed.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(modes, pa.string()), pa.array(passed, pa.bool_())], names=[*b.schema.names, "mode", "passed"])
+
+    return kinds.mapInArrow(run, "formula string, units string, free string, n long, mode string, passed boolean")
+
+
 def fitted(train: DataFrame, candidates: Mapping[str, Candidate], columns: Mapping[str, Column], target: str, limit: float = 0.5) -> DataFrame:
     """Rows (candidate, k, passed, value) of the free scales, from one scan of the training rows; a formula without a scale has k = 1 and no row."""
     free = {n: c for n, c in candidates.items() if c.scale}

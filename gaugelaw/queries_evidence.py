@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from . import queries_gates
 from .operators import evidence, gates
-from .queries_gates import CANDIDATES, UNITS
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,24 +148,15 @@ def failed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("candidate", F.coalesce("place", F.lit(0)).alias("place"), "failed", F.when(F.col("failed").isNull(), "no such failure").otherwise(F.coalesce("note", F.lit("no note"))).alias("note"))
 
 
-def dimension_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dimension gate by mode and outcome; after each variable's unit is spoilt, how many candidates it catches, misses or cannot judge; degraded candidates without scale checks."""
-    rows = []
-    for name, c in CANDIDATES.items():
-        if name in ("cut_off", "unknown_name", "undefined_root"):
-            continue
-        one = {name: c}
-        mode, passed = gates.metadata_checks(spark, one, list("pdtq"), UNITS)[0].filter("name = 'dimension'").select("mode", "passed").first()
-        rows.append((f"gate {mode}", "passed" if passed else "failed"))
-        if mode != "strict":
-            rows.append(("degraded", "covered" if queries_gates._specs().get(name) else "uncovered"))
-        for v in "pdtq":
-            spoilt = dict(UNITS) | {v: f"({UNITS[v]})*m"}
-            mode2, passed2 = gates.metadata_checks(spark, one, list("pdtq"), spoilt)[0].filter("name = 'dimension'").select("mode", "passed").first()
-            rows.append(("spoilt", "no answer" if not passed or mode2 != "strict" else "missed" if passed2 else "caught"))
-    found = spark.createDataFrame(rows, "kind string, outcome string").groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
-    lines = _t(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("rows_judged"))
-    return found.join(F.broadcast(lines))  # one row
+def dimension_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tasks with a formula and units each: how many the dimension gate passes, fails and skips, by mode, and how many formulas these are."""
+    formula = F.element_at(F.array(*map(F.lit, ("x/z", "x*z", "x + z", "k*x", "sqrt(x*x)"))), (F.substring("p_brand", 7, 1).cast("int") % 5 + 1))
+    x = F.element_at(F.array(*map(F.lit, ("m", "kg*m/s^2", "s"))), (F.col("p_size") % 3 + 1).cast("int"))
+    y = F.element_at(F.array(F.lit("m/s"), F.lit("m*s"), F.lit(None), F.lit("m")), (F.col("p_size") % 4 + 1).cast("int"))
+    units = F.map_filter(F.create_map(F.lit("x"), x, F.lit("z"), F.lit("s"), F.lit("y"), y), lambda k, v: v.isNotNull())
+    tasks = _t(spark, sf_dir, "part").select(formula.alias("formula"), units.alias("units"), F.array(F.lit("k")).alias("free"))
+    tasks = tasks.withColumn("free", F.when(F.col("formula").startswith("k"), F.col("free")))
+    return gates.dimension_gate(tasks).groupBy("mode", "passed").agg(F.sum("n").alias("tasks"), F.count(F.lit(1)).alias("formulas"))
 
 
 def set_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,17 +203,10 @@ ORACLE_SQL = {
     "set_layers": """with per as (select l_orderkey, count(*) as c from lineitem group by l_orderkey), j as (select o_orderpriority as layer, coalesce(c, 0) as c from orders left join per on o_orderkey = l_orderkey),
       ids as (select o_orderpriority as layer, concat(case when o_orderstatus = 'F' then 'T' else 't' end, o_orderkey // 64) as id from orders), alike as (select layer, count(*) as alike from (select layer, lower(id) as k from ids group by all having count(distinct id) > 1) group by layer)
       select layer, cast(count(*) as bigint) as tasks, cast(sum(c) as bigint) as checks, round(avg(c), 6) as mean_checks, cast(coalesce(any_value(alike), 0) as bigint) as alike from j left join alike using (layer) group by layer""",
-    # a candidate's terms: which variables stand in a product with which exponent, and which inside a sum or a function, where they may have no dimension
-    "dimension_acceptance": """with c(candidate, free, scale_specs) as (values ('law', false, true), ('scaled', true, false), ('scaled_with_unit', false, false), ('scale_of_wrong_unit', false, false), ('adds_a_length', false, true), ('no_discount', false, true), ('unrelated', true, false)),
-      term(candidate, term, v, n) as (values ('law', 1, 'p', 1.0), ('scaled', 1, 'p', 1.0), ('scaled_with_unit', 1, 'p', 1.0), ('scale_of_wrong_unit', 1, 'p', 1.0), ('scale_of_wrong_unit', 1, 'k', 0.5), ('adds_a_length', 1, 'p', 1.0), ('adds_a_length', 2, 'q', 1.0), ('no_discount', 1, 'p', 1.0), ('unrelated', 1, 't', 1.0)),
-      inner_v(candidate, v) as (values ('law', 'd'), ('law', 't'), ('scaled', 'd'), ('scaled', 't'), ('scaled_with_unit', 'd'), ('scaled_with_unit', 't'), ('scale_of_wrong_unit', 'd'), ('scale_of_wrong_unit', 't'), ('adds_a_length', 'd'), ('adds_a_length', 't'), ('no_discount', 't')),
-      unit(v, m, kg, s) as (values ('p', 1.0, 1.0, -2.0), ('d', 0.0, 0.0, 0.0), ('t', 0.0, 0.0, 0.0), ('q', 1.0, 0.0, 0.0), ('k', 1.0, 0.0, 0.0)), spoilt(w) as (values (null), ('p'), ('d'), ('t'), ('q')),
-      dims as (select t.candidate, w, term, sum(n * (m + case when t.v = w then 1 else 0 end)) as m, sum(n * kg) as kg, sum(n * s) as s from term t join unit u on u.v = t.v, spoilt group by all),
-      ok as (select c.candidate, free, scale_specs, d.w, case when exists (select 1 from inner_v i where i.candidate = c.candidate and i.v = d.w) then false when free then count(distinct (d.m, d.kg, d.s)) = 1 else bool_and(d.m = 1 and d.kg = 1 and d.s = -2) end as passed from c join dims d using (candidate) group by all),
-      base as (select candidate, passed from ok where w is null),
-      x as (select case when free then 'gate structural' else 'gate strict' end as kind, case when passed then 'passed' else 'failed' end as outcome from ok where w is null
-        union all select 'degraded', case when scale_specs then 'covered' else 'uncovered' end from ok where w is null and free
-        union all select 'spoilt', case when not base.passed or ok.free and ok.passed then 'no answer' when ok.free then 'no answer' when ok.passed then 'missed' else 'caught' end from ok join base using (candidate) where w is not null)
-      select kind, outcome, cast(count(*) as bigint) as n, (select count(*) from lineitem) as rows_judged from x group by all""",
+    "dimension_gate": """with t as (select cast(substr(p_brand, 7, 1) as int) % 5 + 1 as f, p_size % 3 as x, p_size % 4 as y from part),
+      xs(x, m, kg, s) as (values (0, 1, 0, 0), (1, 1, 1, -2), (2, 0, 0, 1)), ys(y, ym, ykg, ys) as (values (0, 1, 0, -1), (1, 1, 0, 1), (3, 1, 0, 0)),
+      d as (select f, t.x, t.y, m, kg, s + case f when 1 then -1 when 2 then 1 else 0 end as s, f <> 3 or (m = 0 and kg = 0 and s = 1) as adds, ym, ykg, ys from t join xs on xs.x = t.x left join ys on ys.y = t.y),
+      j as (select f, x, y, case when ym is null then 'skipped' when f = 4 then 'structural' else 'strict' end as mode, ym is null or f = 4 or (adds and m = ym and kg = ykg and s = ys) as passed from d)
+      select mode, passed, cast(count(*) as bigint) as tasks, cast(count(distinct (f, x, y)) as bigint) as formulas from j group by mode, passed""",
 }
 QUERIES = {n: globals()[n] for n in ORACLE_SQL}

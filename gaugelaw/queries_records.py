@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEAK = r"(?i)(answer|solution|reference|truth|sealed)"
@@ -12,36 +12,47 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _finding(df: DataFrame, table: str, severity: str, code: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), "n").filter("n > 0")
+def _counted(df: DataFrame, table: str, conditions: dict[tuple[str, str], Column]) -> DataFrame:
+    """Rows (table_name, severity, code, n) of all conditions of a table from one scan."""
+    one = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(code) for (_, code), c in conditions.items()))
+    rows = F.array(*(F.struct(F.lit(table).alias("table_name"), F.lit(s).alias("severity"), F.lit(code).alias("code"), F.col(code).alias("n")) for s, code in conditions))
+    return one.select(F.inline(rows))
+
+
+def _sides(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows (k, n_left, n_right): how many rows of either table have each key, from one grouped union."""
+    both = left.select(F.col(key).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(F.col(other), F.lit(0), F.lit(1)))
+    return both.groupBy("k").agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (table_name, severity, code, n): constraint queries over the tables, those that found something."""
+    """Rows (table_name, severity, code, n): constraint queries over the tables, those that found something. A scan for each table, and one for each pair of keys."""
     li, orders, docs, labels = (_t(spark, sf_dir, n) for n in ("lineitem", "orders", "documents", "labels"))
     cust, part = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "part")
-    cells = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     bad = F.lit(False)
-    for c in cells:
+    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"):
         bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    keys = li.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    keys = li.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("k"))
+    left, right = F.col("n_left"), F.col("n_right")
+    named = lambda df, **k: df.agg(*(F.sum(F.when(c, n)).alias(x) for x, (c, n) in k.items()))
+
+    def pairs(a: DataFrame, ka: str, b: DataFrame, kb: str, rows: list[tuple[str, str, str, Column, Column]]) -> DataFrame:
+        one = named(_sides(a, ka, b, kb), **{f"c{i}": (hit, n) for i, (_, _, _, hit, n) in enumerate(rows)})
+        return one.select(F.inline(F.array(*(F.struct(F.lit(t).alias("table_name"), F.lit(s).alias("severity"), F.lit(code).alias("code"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("n")) for i, (t, s, code, _, _) in enumerate(rows)))))
+
     found = [
-        _finding(li.filter(bad), "lineitem", "error", "CSV_NONFINITE"),
-        _finding(keys, "lineitem", "error", "DUP_KEY"),
-        _finding(li.filter("l_discount not between 0 and 0.1 or l_tax not between 0 and 0.08"), "lineitem", "warn", "SAMPLING_MISMATCH"),
-        _finding(orders.join(li, orders.o_orderkey == li.l_orderkey, "left_anti"), "orders", "warn", "MISSING_REFERENCE"),
-        _finding(li.join(orders, orders.o_orderkey == li.l_orderkey, "left_anti"), "lineitem", "error", "ORPHAN_REFERENCE"),
-        _finding(orders.join(cust, orders.o_custkey == cust.c_custkey, "left_anti"), "orders", "error", "ORPHAN_REFERENCE"),
-        _finding(li.join(part, li.l_partkey == part.p_partkey, "left_anti"), "lineitem", "error", "ORPHAN_PART"),
-        _finding(labels.join(docs, "doc_id", "left_anti"), "labels", "error", "ORPHAN_REFERENCE"),
-        _finding(docs.join(labels, "doc_id", "left_anti"), "documents", "warn", "MISSING_LABEL"),
-        _finding(docs.filter("text is null or trim(text) = ''"), "documents", "error", "EMPTY_SOURCE"),
-        _finding(docs.filter(F.length("text") != F.col("n_chars")), "documents", "error", "SAMPLE_COUNT_MISMATCH"),
+        _counted(li, "lineitem", {("error", "CSV_NONFINITE"): bad, ("warn", "SAMPLING_MISMATCH"): F.expr("l_discount not between 0 and 0.1 or l_tax not between 0 and 0.08")}),
+        _counted(keys, "lineitem", {("error", "DUP_KEY"): F.col("k") > 1}),
+        _counted(docs, "documents", {("error", "EMPTY_SOURCE"): F.expr("text is null or trim(text) = ''"), ("error", "SAMPLE_COUNT_MISMATCH"): F.length("text") != F.col("n_chars")}),
+        pairs(orders, "o_orderkey", li, "l_orderkey", [("orders", "warn", "MISSING_REFERENCE", right == 0, left), ("lineitem", "error", "ORPHAN_REFERENCE", left == 0, right)]),
+        pairs(orders, "o_custkey", cust, "c_custkey", [("orders", "error", "ORPHAN_REFERENCE", right == 0, left)]),
+        pairs(li, "l_partkey", part, "p_partkey", [("lineitem", "error", "ORPHAN_PART", right == 0, left)]),
+        pairs(labels, "doc_id", docs, "doc_id", [("labels", "error", "ORPHAN_REFERENCE", right == 0, left), ("documents", "warn", "MISSING_LABEL", left == 0, right)]),
     ]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out.filter("n > 0")
 
 
 _FINDINGS_SQL = """f as (
@@ -73,9 +84,9 @@ def sampling_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids on one side only, of orders and customers, in both directions."""
-    o, c = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct(), _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return o.join(c, "id", "left_anti").select(F.lit("orphan_order").alias("kind"), "id").union(c.join(o, "id", "left_anti").select(F.lit("customer_without_order"), "id"))
+    """Ids on one side only, of labels and pages, in both directions."""
+    l, p = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct(), _t(spark, sf_dir, "pages").select(F.col("page_id").alias("id")).distinct()
+    return l.join(p, "id", "left_anti").select(F.lit("label_without_page").alias("kind"), "id").union(p.join(l, "id", "left_anti").select(F.lit("page_without_label"), "id"))
 
 
 def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,10 +162,11 @@ def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest symmetric relative difference of each vector's components from its label's means, and a status."""
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = e.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    d = F.abs(F.col("x") - F.col("m")) / F.greatest(F.abs("x"), F.abs("m"), F.lit(1e-300))
-    worst = e.join(mean, ["label", "i"]).groupBy("vec_id").agg(F.max(d).alias("w"))
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    # sums of the components are combined before the shuffle; vectors themselves are joined where they lie, with one row for each label
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+    diff = F.zip_with("v", "mean", lambda x, m: F.abs(x - m) / F.greatest(F.abs(x), F.abs(m), F.lit(1e-300)))
+    worst = e.join(means, "label").select("vec_id", F.array_max(diff).alias("w"))
     return worst.select("vec_id", F.round("w", 6).alias("max_diff"), F.when(F.col("w") <= 1e-9, "deterministic").when(F.col("w") > 1e-3, "stale").otherwise("agree").alias("status"))
 
 
@@ -180,7 +192,7 @@ ORACLE_SQL = {
     "findings": f"with {_FINDINGS_SQL} select table_name, severity, code, cast(n as bigint) as n from f where n > 0",
     "findings_rollup": f"with {_FINDINGS_SQL} select table_name, cast(coalesce(sum(n) filter (severity = 'error'), 0) as bigint) as error, cast(coalesce(sum(n) filter (severity = 'warn'), 0) as bigint) as warn from f where n > 0 group by table_name",
     "sampling_ranges": "with l as (select unnest(['l_quantity','l_extendedprice','l_discount','l_tax']) as name, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as v from lineitem), s as (select name, min(v) as lo, max(v) as hi, avg(v) as m, stddev_pop(v) as sd from l group by name) select name, any_value(lo) as lo, any_value(hi) as hi, any_value(lo) = any_value(hi) as constant, cast(count(*) filter (abs(v - m) > 4 * sd) as bigint) as outliers from l join s using (name) group by name",
-    "orphans": "select 'orphan_order' as kind, o_custkey as id from (select distinct o_custkey from orders) where o_custkey not in (select c_custkey from customer) union all select 'customer_without_order', c_custkey from customer where c_custkey not in (select o_custkey from orders)",
+    "orphans": "select 'label_without_page' as kind, doc_id as id from (select distinct doc_id from labels) where doc_id not in (select page_id from pages) union all select 'page_without_label', page_id from pages where page_id not in (select doc_id from labels)",
     "representative": "select source, lang, doc_id, n from (select source, lang, doc_id, cast(count(*) over (partition by source, lang) as bigint) as n, row_number() over (partition by source, lang order by quality is null, coalesce(quality, 0) desc, doc_id) as k from documents left join labels using (doc_id)) where k = 1",
     "scoring_summary": "select coalesce(lang, 'overall') as lang, cast(count(*) as bigint) as n, cast(count(*) filter (quality = 1) as bigint) as good, cast(count(*) filter (toxic = 1) as bigint) as toxic, round(count(*) filter (quality = 1) / count(*), 6) as rate from labels join documents using (doc_id) group by rollup (lang)",
     "dedup_naming": "with k as (select p_partkey, regexp_replace(concat_ws('_', p_brand, p_type), '[^A-Za-z0-9_]+', '-', 'g') as name, row_number() over (partition by p_brand, p_type order by p_partkey) as k from part) select p_partkey, case when k = 1 then name else name || '-' || k end as name from k",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +61,20 @@ def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.expr(f"try_cast(trim(`{c}`) as double)") for c in columns})
 
 
-def wide_years(df: DataFrame, year: str, bands: Sequence[str]) -> DataFrame:
-    """Rows (year, band, v) of a table with a column for each band; rows without a year or with a gap are dropped."""
+class TooFewRows(ValueError):
+    """A series that is too short to be used."""
+
+
+def wide_years(df: DataFrame, year: str, bands: Sequence[str] | Mapping[str, str], least: int = 0) -> DataFrame:
+    """Rows (year, band, v) of a table with a column for each band; rows without a year or with a gap are dropped.
+
+    bands: the columns, or a name for each column. Under `least` whole years are an error.
+    """
+    names = dict(bands) if isinstance(bands, Mapping) else {b: b for b in bands}
+    df, bands = df.withColumnsRenamed(names), list(names.values())
     whole = numeric(df.filter(F.trim(year).rlike(r"^\d+$")), bands).dropna(subset=list(bands))
+    if least and (n := whole.count()) < least:
+        raise TooFewRows(f"{n} whole years, {least} are needed")
     return whole.select(F.trim(year).cast("int").alias("year"), *bands).unpivot("year", list(bands), "band", "v")
 
 
@@ -71,3 +82,57 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """The run.json of each run folder below root, with the folder's name as run_id; folders without one are skipped."""
     runs = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/*/run.json")
     return runs.withColumn("run_id", F.element_at(F.split("_metadata.file_path", "/"), -2))
+
+
+def read_zonal(spark: SparkSession, path: str, arity: int) -> DataFrame:
+    """Rows (year int, bands array<double>) of lines "year,v1,...": a line with another number of cells, or with a cell that is no number, is dropped."""
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(c).try_cast("double"))
+    rows = spark.read.text(path).select(cells.alias("c")).filter((F.size("c") == arity + 1) & ~F.exists("c", lambda x: x.isNull()))
+    return rows.select(F.element_at("c", 1).cast("int").alias("year"), F.slice("c", 2, arity).alias("bands"))
+
+
+class WrongDigest(ValueError):
+    """A file whose content is not the one that was asked for."""
+
+
+def read_fixed(spark: SparkSession, path: str, names: Sequence[str], sha256: str | None = None) -> DataFrame:
+    """Doubles of lines with exactly len(names) cells between white space; other lines are dropped. sha256: of the one file at path, which has to be its digest."""
+    if sha256:
+        found = [r["d"] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).limit(2).collect()]
+        if found != [sha256]:
+            raise WrongDigest(f"{path} has another digest: {found}")
+    cells = F.split(F.trim("value"), r"\s+")
+    values = F.transform(cells, lambda c: c.try_cast("double"))
+    rows = spark.read.text(path).filter(F.size(cells) == len(names)).select(values.alias("v")).filter(~F.exists("v", lambda x: x.isNull()))
+    return rows.select(*(F.element_at("v", i + 1).alias(n) for i, n in enumerate(names)))
+
+
+def read_task(spark: SparkSession, folder: str, data: str = "data.csv", meta: str = "meta.json") -> tuple[DataFrame, DataFrame]:
+    """(data, metadata) of a task folder; an error if either is missing. Answers, which lie elsewhere, are never read."""
+    parts = {n: f"{folder.rstrip('/')}/{n}" for n in (data, meta)}
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for name, path in parts.items():
+        p = hadoop(path)
+        if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+            raise FileNotFoundError(f"{folder} has no {name}")
+    return read_delimited(spark, parts[data], ","), spark.read.json(parts[meta], multiLine=True)
+
+
+#: Fixed value: the schema that a file of scale specs has to name.
+SPEC_SCHEMA = "scale-specs@1"
+
+
+def read_specs(spark: SparkSession, path: str, schema: str = SPEC_SCHEMA) -> DataFrame:
+    """Rows (task_id, nominal map, place, kind, spec JSON), one for each check, of lines {"schema", "task_id", "nominal_parameters", "checks"}; a line of another schema is an error."""
+    kinds = "schema string, task_id string, nominal_parameters map<string,double>, checks array<string>"
+    raw = spark.read.schema(kinds).json(path)
+    known = F.when(F.col("schema") == schema, F.col("task_id")).otherwise(F.raise_error(F.concat(F.lit("scale specs of another schema: "), F.coalesce("schema", F.lit("none")))).cast("string"))
+    rows = raw.select(known.alias("task_id"), F.col("nominal_parameters").alias("nominal"), F.posexplode("checks").alias("place", "spec"))
+    return rows.select("task_id", "nominal", "place", F.get_json_object("spec", "$.kind").alias("kind"), "spec")
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (task_id, place, formula, parameters map) of lines {"task_id", "candidates"}, each candidate a text or {"formula", "parameters"}."""
+    rows = spark.read.schema("task_id string, candidates array<string>").json(path).select("task_id", F.posexplode("candidates").alias("place", "c"))
+    whole = F.from_json("c", "formula string, parameters map<string,double>")
+    return rows.select("task_id", "place", F.when(F.col("c").startswith("{"), whole["formula"]).otherwise(F.col("c")).alias("formula"), F.when(F.col("c").startswith("{"), whole["parameters"]).alias("parameters"))
