@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, text_or_empty
+from ._common import materialise, slices, text_or_empty
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -27,18 +27,21 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", at_least: int = 100) -> DataFrame:
-    """pages with columns payload_digest, record_type and refers_to.
+    """pages with columns payload_digest, record_type and refers_to; columns of pages with these names are replaced, all others stay.
 
-    Among rows with equal bodies of at_least bytes, those with the smallest id are responses and
-    the others revisits of it (a null id counts as the largest; without any id all are responses).
-    Only digests that occur twice or more are joined back, and a skewed join splits a hot one.
+    Among rows with equal bodies of at_least bytes, those with the smallest id (ties and repeated rows
+    too) are responses and the others revisits of it; a null id counts as the largest, and without
+    any id all are responses. Null bodies are empty. Only digests that occur twice or more are
+    joined back; they are written first, so that the join can split a digest of very many rows.
     """
-    body = text_or_empty(body_col)
-    rows = pages.withColumns({"payload_digest": F.sha2(body, 256)})
-    first = rows.filter(F.octet_length(body) >= at_least).groupBy("payload_digest").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null")
-    rows = rows.join(first.select("payload_digest", "first_id"), "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first_id"))
-    return rows.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first_id"))}).drop("first_id")
+    digest, first = "__digest", "__first"
+    rows = pages.withColumn(digest, F.sha2(text_or_empty(body_col), 256))
+    several = rows.filter(F.octet_length(text_or_empty(body_col)) >= at_least).groupBy(digest).agg(F.min(id_col).alias(first), F.count(F.lit(1)).alias("n"))
+    several = materialise(several.filter(f"n > 1 and {first} is not null").select(digest, first), "digests")
+    rows = rows.join(several, digest, "left")
+    revisit = F.col(first).isNotNull() & ~F.col(id_col).eqNullSafe(F.col(first))
+    made = {"payload_digest": F.col(digest), "record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col(first))}
+    return rows.select(*(F.col(f"`{c}`") for c in pages.columns if c not in made), *(c.alias(n) for n, c in made.items()))
 
 
 def record_id(page_id: object) -> str:
@@ -88,7 +91,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
     """Rows (archive, n_records, content) of archives of about archive_bytes before compression, from rows of mark_revisits().
 
     Null bodies are empty payloads, null urls empty URIs; repeated rows become records of their own;
-    an empty table gives no archives.
+    an empty table gives no archives; other columns are not read. A body is held whole, and a record
+    may not be over 2 GiB, which is the most that a value of a table can have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +185,8 @@ def read(archives: DataFrame, name_col: str = "archive", content_col: str = "con
     """Rows (archive, offset, page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, error), one for each record.
 
     error is null for a sound record. A broken archive ends with one row that has its error; a
-    null or empty one gives no rows.
+    null or empty one gives no rows. payload_bytes and payload_digest of a revisit are what its
+    headers say, as it has no payload of its own.
     """
     number = (lambda x: None if x is None else int(x)) if id_type in ("long", "int") else (lambda x: x)
     id_arrow = {"long": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
