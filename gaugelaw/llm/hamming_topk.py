@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import materialise, slices
 
 SEGMENT = 16
 
@@ -111,16 +111,24 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, block_rows: int | N
 
     index and queries have (id, code) with codes of one length. A row with the query's own id is no
     result. Repeated index rows are results of their own; queries with equal id and code are
-    answered once. Rows with null id or code are left out. With fewer than k rows all are returned.
+    answered once. Rows with null id or code are left out. With fewer than k rows all are returned;
+    of ties at the last place the smallest ids. Index rows are copied once for each block of queries,
+    queries once for each shard; other columns, whatever their names, are not read. Rows that are equal
+    in id and code lie in one shard.
     """
-    index = index.filter("id is not null and code is not null")
-    queries = queries.filter("id is not null and code is not null").distinct()
+    spark = index.sparkSession
+    # codes are read several times: written once
+    index = materialise(index.select("id", "code").filter("id is not null and code is not null"), "codes")
+    queries = materialise(queries.select("id", "code").filter("id is not null and code is not null").distinct(), "queries")
     n, m = index.count(), queries.count()
-    block_rows = block_rows or min(1_000_000, max(20_000, n // 256))
+    # as many shards as there are cores, of a few thousand rows at least and a million at most
+    block_rows = block_rows or min(1_000_000, max(4_000, -(-n // spark.sparkContext.defaultParallelism)))
     shards, blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
     kind = index.schema["id"].dataType.simpleString()
-    own = index.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = index.withColumn("shard", F.pmod(F.xxhash64("id", "code"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("block", (F.pmod(F.xxhash64("id", "code"), F.lit(blocks))).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # a given number of partitions is left as it is, while small ones would be folded into one task
+    own, asked = (x.repartition(4 * shards * blocks, "shard", "block") for x in (own, asked))
 
     def meet(rows: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
