@@ -27,6 +27,8 @@ from ._common import slices, text_or_empty
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 NONE = np.int32(2**31 - 1)
+#: Texts that every normaliser but the identity changes: ligatures, full-width letters, marks that combine, blanks.
+PROBES = ("\ufb01 \uff21 \u00b2 e\u0301", "a  b ", "x\u3000y\tz", "\u2460 \u00c5 \u1e9b\u0323")
 
 
 class MergeVocabulary:
@@ -42,6 +44,8 @@ class MergeVocabulary:
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has the space mark after another character; chunks would not be independent")
+        if any(lib.decode(lib.encode(t)) != t for t in PROBES):
+            raise ValueError("the model changes texts before it encodes them; chunks are taken as they are")
         self.plain = [p.replace(SPACE, " ") for p in self.pieces]
         self.of_char = np.full(0x110000, -1, np.int32)
         for p, i in self.ids.items():
@@ -233,6 +237,8 @@ class Encoder:
             text, end, at = v.decode(ids), end + 4 * len(ids), end
             self.seen[c] = flat[at:end]
             if text != c:
+                if verify and v.library.decode(ids) != text:
+                    raise ValueError(f"decoding differs from the sentencepiece library at {c!r}")
                 self.odd[c] = text
 
     def batch(self, texts: list[str], bos: bool, eos: bool, verify: str) -> tuple[list[bytes], list[str]]:
@@ -262,7 +268,9 @@ def encode(
 
     A null text counts as empty: begin and end ids only, decoded to an empty text. Repeated rows
     and repeated ids stay as they are; a null id is kept; an empty table gives an empty one; other
-    columns are not read. model is the path of a merge-type model file that every executor has.
+    columns, whatever their names, are not read. Of pairs with equal scores (ties) the leftmost merges
+    first. A very long text is held whole; one without any blank is one chunk, whose heap takes a few
+    hundred bytes a character. model is the path of a merge-type model file that every executor has.
     verify: "chunks" checks each new chunk against the library, "texts" whole texts too, "none" nothing.
     """
 
