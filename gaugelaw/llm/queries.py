@@ -109,7 +109,7 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("payload", F.when(whole, F.col("payload")).otherwise(lost.cast("binary")))
     return rows.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "samples", "hz", "frame_offsets",
     )
 
 
@@ -125,6 +125,51 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), STATED_RULES)
 
 
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5 what SQL can tell: texts of plain words under single blanks come back as they are."""
+    docs = table(spark, sf_dir, "documents")
+    plain = docs.filter(F.col("text").rlike(r"^[A-Za-z.,]+( [A-Za-z.,]+)*$")).select("doc_id")
+    rows = sentencepiece_bpe.encode(docs, tokenizer_path("piece_bpe_32k.model")).join(plain, "doc_id", "left_semi")
+    return rows.select("doc_id", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def undetermined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7 what SQL can tell: which texts have no letter, by how many are held out at all."""
+    rows = op7_language_id(spark, sf_dir)
+    return rows.select("doc_id", (F.col("lang_pred") == "und").alias("undetermined"), ((F.col("score") >= 0) & (F.col("score") <= 1)).alias("in_range"))
+
+
+def stored_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8 what SQL can tell: lengths and digest of the payload that is read back."""
+    return op8_mpeg_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "samples")
+
+
+def stated_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10 what SQL can tell: host, path and the stated rule with its verdict."""
+    rows = op10_url_rules(spark, sf_dir)
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("stated"))
+
+
+PAYLOAD_SQL = """
+with t as (select doc_id, coalesce(text, '') as x, cast(strlen(coalesce(text, '')) as bigint) as n from documents),
+p as (select doc_id, x, n, greatest(1, cast(ceil(n / 192.0) as bigint)) as units from t)
+select doc_id, n as n_bytes, units * 192 as payload_bytes, sha256(x || repeat(' ', units * 192 - n)) as payload_sha256, 1152 * ((units + 1) // 2) as samples from p
+"""
+RULES_SQL = r"""
+with u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r(act, h, t) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f as (select page_id, arg_max(h || t, length(h || t)) as rule, arg_max(act, length(h || t)) as stated from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, t) group by page_id)
+select p.page_id, host, path, rule, stated from p left join f on f.page_id = p.page_id
+"""
+COMPANION_SQL = {
+    "decoded_texts": "select doc_id, sha256(text) as decoded_sha256 from documents where regexp_full_match(text, '[A-Za-z.,]+( [A-Za-z.,]+)*')",
+    "undetermined_texts": r"select doc_id, not coalesce(regexp_matches(text, '\p{L}'), false) as undetermined, true as in_range from documents",
+    "stored_payloads": PAYLOAD_SQL,
+    "stated_url_rules": RULES_SQL,
+}
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -132,6 +177,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_near_dedup, op4_warc, op5_sentencepiece, op6_hamming_topk, op7_language_id, op8_mpeg_audio, op9_quality, op10_url_rules, pipeline)
+    f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_near_dedup, op4_warc, op5_sentencepiece, op6_hamming_topk, op7_language_id, op8_mpeg_audio, op9_quality, op10_url_rules, pipeline, decoded_texts, undetermined_texts, stored_payloads, stated_url_rules)
 }
-ORACLE_SQL: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_hamming_topk": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_hamming_topk": OP6_SQL} | COMPANION_SQL

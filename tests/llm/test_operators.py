@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gaugelaw.llm import hamming_topk, language_id, mpeg_audio, packing, sentencepiece_bpe, setsketch, suffix_dedup, url_rules, warc_zstd, weak_quality
 from gaugelaw.llm.components import connected_components
-from gaugelaw.llm.queries import QUERIES, STATED_RULES, tokenizer_path
+from gaugelaw.llm.queries import ORACLE_SQL, QUERIES, STATED_RULES, tokenizer_path
 
 WORDS = "the an of river stone héllo  wor'ld 42 ßtraße 漢字 x".split(" ")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, kept string, score string"
@@ -411,6 +411,97 @@ def test_mpeg_audio_tag_in_payload(spark, before, tmp_path):
     assert sorted(r["payload_bytes"] for r in QUERIES["op8_mpeg_audio"](spark, str(tmp_path)).collect()) == [192, len(payload)]
 
 
+def bits_crc(bits):
+    """A second reading of the checksum, over a text of bits."""
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1) ^ (0x8005 if (crc >> 15) != int(b) else 0)
+        crc &= 0xFFFF
+    return crc
+
+
+def as_bits(data):
+    return "".join(f"{x:08b}" for x in data)
+
+
+@pytest.mark.parametrize("layer, mode", [(2, 0), (2, 1), (2, 3), (1, 0), (1, 1)])
+def test_mpeg_audio_layers_one_and_two(layer, mode):
+    """Protected frames by hand: MPEG-1 at 44.1 kHz, stereo, joint stereo (bound 8) and mono."""
+    rng = random.Random(layer + mode)
+    index, kbps = (10, 192) if layer == 2 else (6, 192)
+    if mode == 3 and layer == 2:
+        index, kbps = 6, 96
+    length = 144 * kbps * 1000 // 44100 if layer == 2 else 12 * kbps * 1000 // 44100 * 4
+    four = bytes([0xFF, 0xF8 | (4 - layer) << 1, index << 4, mode << 6 | 1 << 4])
+    channels, bound = (1 if mode == 3 else 2), (8 if mode == 1 else 32)
+    frames = []
+    for _ in range(4):
+        # tables of Layer II: 96 kbit/s a channel at 44.1 kHz has 30 subbands of 4, 3 and 2 bits
+        widths = ([4] * 11 + [3] * 12 + [2] * 7) if layer == 2 else [4] * 32
+        head, select = "", ""
+        for band, width in enumerate(widths):
+            for _ in range(channels if band < bound else 1):
+                value = rng.randrange(1 << width)
+                head += f"{value:0{width}b}"
+                if value and layer == 2:
+                    select += "".join(rng.choice("01") for _ in range(2 * (1 if band < bound else channels)))
+        covered = as_bits(four[2:]) + head + select
+        body = (head + select).ljust(8 * (length - 6), "0")
+        frames.append(four + bits_crc(covered).to_bytes(2, "big") + int(body, 2).to_bytes(length - 6, "big"))
+    s = mpeg_audio.read_stream(b"".join(frames))
+    assert (s.frames, s.checked, s.bad_checksums, s.skipped, s.samples) == (4, 4, 0, 0, 4 * (1152 if layer == 2 else 384))
+    assert s.offsets.tolist() == [i * length for i in range(4)]
+    hurt = bytearray(b"".join(frames))
+    hurt[2 * length + 7] ^= 16
+    assert mpeg_audio.read_stream(bytes(hurt)).bad_checksums == 1
+
+
+def frames_of(kbps, n, free=0, fill=b"\0"):
+    """Layer III frames without checksum at 44.1 kHz; of free format if a length is given."""
+    four = bytes([0xFF, 0xFB, (0 if free else mpeg_audio.KBPS[1, 3].index(kbps) + 1) << 4, 0])
+    length = free or 144 * kbps * 1000 // 44100
+    return (four + fill * (length - 4)) * n, length
+
+
+def test_mpeg_audio_tags_and_tables():
+    body, length = frames_of(128, 5)
+    title = "t" * 200
+    safe = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    text = b"\x03" + title.encode()
+    frame = b"TIT2" + safe(len(text)) + b"\0\0" + text
+    footed = b"ID3\x04\0\x10" + safe(len(frame)) + frame + b"3DI\x04\0\x10" + safe(len(frame))
+    s = mpeg_audio.read_stream(footed + body)
+    assert (s.title, s.tags, s.frames, s.skipped, s.offsets[0]) == (title, ["id3v2.4"], 5, 0, len(footed))
+    raw = b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0\xff\xe9a"  # latin-1, as it was before unsynchronisation
+    loose = raw.replace(b"\xff", b"\xff\0")
+    s = mpeg_audio.read_stream(b"ID3\x03\0\x80" + safe(len(loose)) + loose + body)
+    assert (s.title, s.frames) == ("ÿéa", 5)
+    old = b"TT2" + (4).to_bytes(3, "big") + b"\0old"
+    assert mpeg_audio.read_stream(b"ID3\x02\0\0" + safe(len(old)) + old + body).title == "old"
+    import struct
+
+    vbri = bytearray(body[:length])
+    vbri[36 : 36 + 26] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 50, 5 * length, 4, 3, 2, 2, 1)
+    vbri[62:68] = struct.pack(">HHH", 100, 150, 50)
+    s = mpeg_audio.read_stream(bytes(vbri) + body[: 4 * length])
+    assert (s.table_frames, s.table_bytes, s.frames, s.seek.tolist()) == (4, 5 * length, 4, [200, 500, 600])
+    made = mpeg_audio.read_stream(mpeg_audio.write_stream(mpeg_audio.pad_payload(b"z" * 90_000)))
+    starts = made.offsets - len(mpeg_audio.TITLE)
+    assert len(made.seek) == 100 and all((starts <= x + made.table_bytes // 256 + 1).any() and x < made.table_bytes for x in made.seek.tolist())
+
+
+def test_mpeg_audio_free_format_and_foreign_headers():
+    body, length = frames_of(0, 4, free=700)
+    s = mpeg_audio.read_stream(b"junk" + body)
+    assert (s.frames, s.skipped, s.offsets.tolist()) == (4, 4, [4 + 700 * i for i in range(4)])
+    # a header that one of another rate follows is not confirmed
+    real, length = frames_of(128, 3)
+    lone = bytes([0xFF, 0xFB, 0x90, 0]) + b"\0" * (length - 4)
+    other = bytes([0xFF, 0xFB, 0x94, 0]) + b"\0" * (144 * 128 * 1000 // 48000 - 4)
+    s = mpeg_audio.read_stream(lone + other * 3)
+    assert s.hz == 48000 and s.frames == 3 and s.skipped == length
+
+
 def test_mpeg_audio_columns(docs, nothing):
     rows = mpeg_audio.read(mpeg_audio.store(docs), keep=("n_bytes",)).collect()
     want = Counter((r["doc_id"], mpeg_audio.pad_payload((r["text"] or "").encode())) for r in docs.collect())
@@ -501,6 +592,34 @@ def test_url_rules_mined(spark, rows, support):
     assert (support > 0.01) or {"rare", "host"} <= {r["rule_id"] for r in got}
 
 
+@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) & {"decoded_texts", "undetermined_texts", "stored_payloads", "stated_url_rules", "op4_warc", "op6_hamming_topk"}))
+def test_against_sql(spark, name):
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    rows = QUERIES[name](spark, sf).select(*want.columns).collect()
+    assert Counter(map(tuple, rows)) == Counter(want.fetchall()) and rows
+
+
+def test_clashing_columns(spark):
+    body = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(1, "http://a.io/x", body, 9, "d", "t"), (2, None, body, 9, "d", "t"), (2, None, body, 9, "d", "t")], "page_id long, url string, html string, first_id long, payload_digest string, record_type string")
+    marked = warc_zstd.mark_revisits(pages)
+    assert [(r["record_type"], r["refers_to"], r["first_id"]) for r in marked.orderBy("page_id").collect()] == [("response", None, 9), ("revisit", 1, 9), ("revisit", 1, 9)]
+    assert warc_zstd.read(warc_zstd.write(marked)).filter("error is null").count() == 3
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = url_rules.judge(pages.withColumns({"host": F.lit("h"), "block": F.lit(1), "rule": F.lit("r")}), labels, STATED_RULES)
+    assert judged.count() == 3 and judged.filter("page_id = 1").first()["host"] == "a.io"
+    codes = hamming_topk.sign_codes(spark.createDataFrame([(i, [float(i % 3) - 1] * 16, "s", 1) for i in range(9)], "id long, v array<double>, code string, shard int"), "id", "v", 16)
+    got = hamming_topk.top_k(codes.withColumns({"block": F.lit(1), "rank": F.lit(2)}), codes.withColumn("shard", F.lit(3)), 2).collect()
+    assert len(got) == 18 and {r["rank"] for r in got} == {1, 2}
+    docs = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, payload string, media string")
+    assert mpeg_audio.read(mpeg_audio.store(docs)).count() == 1 and mpeg_audio.read(mpeg_audio.store(docs).withColumn("payload", F.lit(1)), keep=("payload",)).columns.count("payload") == 1
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
