@@ -52,6 +52,9 @@ def cuts(df: DataFrame, x: Column, tie: Column, ranks: list[int], brackets: list
     brackets: where the ranks are expected, checked by counts. Values of x that very many rows share
     are told apart by the hash, in the same way, from its given digit on.
     """
+    # columns of their own: an expression that stands in several conditions would be computed in each
+    df = df.select(x.alias("__x"), tie.alias("__t"))
+    x, tie = F.col("__x"), F.col("__t")
     out = [Cut(None)] * len(ranks)
     todo = {i: k for i, k in enumerate(ranks) if k > 0}
     if not todo:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import Cut, cuts, hash_number, number
+from .ranking import LOOK_INTO, cuts, hash_number, number
 
 
 def ranges(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -27,26 +27,27 @@ def sizes(n: int, extrapolation: float = 0.15, holdout: float = 0.2) -> tuple[in
 
 
 def draw_key(tie: Column, seed: int) -> Column:
-    """The place of a row in the draw of a seed: an evenly spread hash, and then the row's own tie."""
-    return F.concat(F.md5(F.concat(tie, F.lit(f"#{seed}"))), tie)
+    """The place of a row in the draw of a seed: an evenly spread hash."""
+    return F.md5(F.concat(tie, F.lit(f"#{seed}")))
 
 
-def tails(df: DataFrame, axis: str, tie: Column, extrapolation: float = 0.15, holdout: float = 0.2) -> tuple[Column, int, int]:
-    """(whether a row lies in one of the two tails of the axis, rows between them, rows of these to hold out)."""
-    n = df.count()
-    tail, held = sizes(n, extrapolation, holdout)
-    x = number(F.col(axis))
-    low, high = cuts(df, x, tie, [min(tail, n), max(0, n - tail)])
-    return low.upto(x, tie) | ~high.upto(x, tie), max(0, n - 2 * tail), held
-
+def held_out(middle: DataFrame, n: int, held: int, tie: Column, seed: int) -> str:
+    """The draw key of the last held-out row among n rows; empty if none is.
 
-def held_out(middle: DataFrame, n: int, held: int, tie: Column, seed: int) -> Cut:
-    """The last held-out row of the draw among n rows; the hash is even, so that its place is known nearly."""
-    key = draw_key(tie, seed)
+    The keys are even, so that the rank's place is known nearly: one scan counts what lies below and
+    inside a bracket around it, and one gathers the bracket. Where the rank lies beside it, or the
+    bracket holds many equal keys, the general search finds it.
+    """
     if not n or not held:
-        return Cut(None)
-    middle_at, wide = held / n * 16**12, 8 * 16**12 * (held / n * (1 - held / n) / n) ** 0.5 + 1
-    return cuts(middle, hash_number(key), key, [held], [(middle_at - wide, middle_at + wide)])[0]
+        return ""
+    keys = middle.select(draw_key(tie, seed).alias("__k"))
+    k = F.col("__k")
+    at, wide = held / n * 16**12, 8 * 16**12 * (held / n * (1 - held / n) / n) ** 0.5 + 1
+    lo, hi = f"{max(0, int(at - wide)):012x}", f"{min(16**12 - 1, int(at + wide)):012x}g"  # g comes behind all digits
+    below, inside = keys.agg(F.count_if(k < lo), F.count_if((k >= lo) & (k <= hi))).first()
+    if below < held <= below + inside and inside <= LOOK_INTO:
+        return sorted(r["__k"] for r in keys.filter((k >= lo) & (k <= hi)).collect())[held - below - 1]
+    return cuts(keys, hash_number(k), k, [held])[0].tie
 
 
 def three_way(df: DataFrame, axis: str, tie: Column, seed: int, extrapolation: float = 0.15, holdout: float = 0.2) -> DataFrame:
@@ -61,13 +62,16 @@ def three_way(df: DataFrame, axis: str, tie: Column, seed: int, extrapolation: f
 
 def seeded(df: DataFrame, axis: str, tie: Column, seeds: list[int], name: str = "segment", extrapolation: float = 0.15, holdout: float = 0.2) -> DataFrame:
     """df with a segment column for each seed: name if there is one, else name_<seed>; the tails are found once."""
-    outside, n, held = tails(df, axis, tie, extrapolation, holdout)
-    middle, new = df.filter(~outside), {}
-    for seed in seeds:
-        key = draw_key(tie, seed)
-        drawn = held_out(middle, n, held, tie, seed).upto(hash_number(key), key)
-        new[name if len(seeds) == 1 else f"{name}_{seed}"] = F.when(outside, "extrapolation").when(drawn, "holdout").otherwise("train")
-    return df.withColumns(new)
+    x = number(F.col(axis))
+    n = df.count()
+    tail, held = sizes(n, extrapolation, holdout)
+    low, high = cuts(df, x, tie, [min(tail, n), max(0, n - tail)])
+    outside = low.upto(x, tie) | ~high.upto(x, tie)
+    middle, between = df.filter(~outside), max(0, n - 2 * tail)
+    last = {seed: held_out(middle, between, held, tie, seed) for seed in seeds}
+    # the hash stands in the expression once: a filter on the segment is computed with it
+    made = {s: F.when(outside, "extrapolation").when(draw_key(tie, s) <= last[s], "holdout").otherwise("train") for s in seeds}
+    return df.withColumns({name if len(seeds) == 1 else f"{name}_{s}": c for s, c in made.items()})
 
 
 def support(df: DataFrame, variables: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def columns(names: str) -> dict[str, Column]:
 def laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as (p, d, t, q, flag, tie, y); y is the law with a relative noise taken from a hash of the row."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    cents = [F.round(F.col(c) * 100).cast("long") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    cents = [F.floor(F.col(c) * 100 + 0.5) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
     tie = F.md5(F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *cents))
     rows = li.select(F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("flag"), tie.alias("tie"), F.col("l_partkey").alias("partkey"))
     noise = (F.instr(F.lit("0123456789abcdef"), F.substring("tie", 1, 1)) - 8.5) / 7.5 * 0.004
@@ -33,8 +33,8 @@ def laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BASE_SQL = """base as (select l_extendedprice as p, l_discount as d, l_tax as t, l_quantity as q, l_returnflag as flag, l_partkey as partkey,
-  md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(round(l_quantity * 100) as bigint), cast(round(l_extendedprice * 100) as bigint),
-    cast(round(l_discount * 100) as bigint), cast(round(l_tax * 100) as bigint))) as tie from lineitem),
+  md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(floor(l_quantity * 100 + 0.5) as bigint), cast(floor(l_extendedprice * 100 + 0.5) as bigint),
+    cast(floor(l_discount * 100 + 0.5) as bigint), cast(floor(l_tax * 100 + 0.5) as bigint))) as tie from lineitem),
 law as (select *, p * (1 - d) * (1 + t) * (1 + (strpos('0123456789abcdef', substr(tie, 1, 1)) - 8.5) / 7.5 * 0.004) as y from base)"""
 
 
