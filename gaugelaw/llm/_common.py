@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of at most `rows` rows and about `most` bytes of text; one row at least."""
     for batch in batches:
         ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(batch.column(column)), 0), pa.int64())).to_numpy()
@@ -82,13 +83,57 @@ def windows(text: Column, most: int, count: int = 8) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *parts))
 
 
-def in_one_task(rows: DataFrame, work: Callable[[list[dict]], object]) -> object:
-    """work(rows) in one task, its result pickled. rows are a sample with a documented bound; the driver gets the result alone."""
+def in_one_task(rows: DataFrame, work: Callable[[Iterator[dict]], object]) -> object:
+    """work(rows) in one task, which reads a few rows at a time; its result pickled. rows are a sample with a documented bound; the driver gets the result alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_rows = [r for b in batches for r in b.to_pylist()]
-        if all_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(all_rows))], pa.binary())], names=["result"])
+        result = work(r for b in slices(batches, 64) for r in b.to_pylist())
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(result)], pa.binary())], names=["result"])
 
     found = rows.repartition(1).mapInArrow(run, "result binary").first()
-    return pickle.loads(found["result"]) if found else work([])
+    return pickle.loads(found["result"])
+
+
+class Bags:
+    """Many small arrays (buckets under 2 ** 16, weights, a few numbers each) in a few large ones, which go back to the system as a whole."""
+
+    def __init__(self, each: int = 256):
+        self.each, self.parts, self.rows = each, [], []
+        self.buckets = self.weights = None
+        self.start: list[int] = [0]
+
+    def add(self, buckets: np.ndarray) -> None:
+        i, n = np.unique(buckets, return_counts=True)
+        self.rows.append((i.astype(np.uint16), (n / n.sum()).astype(np.float32)))
+        self.start.append(self.start[-1] + len(i))
+        if len(self.rows) >= self.each:
+            self._close()
+
+    def _close(self) -> None:
+        if self.rows:
+            self.parts.append(tuple(np.concatenate(x) for x in zip(*self.rows)))
+            self.rows = []
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def whole(self) -> Bags:
+        self._close()
+        if self.parts:
+            self.buckets, self.weights = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        return self
+
+    def __getitem__(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        a, z = self.start[j], self.start[j + 1]
+        return self.buckets[a:z], self.weights[a:z]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word; each distinct one is hashed once."""
+    known = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    return np.array([known[w] for w in words], np.uint64)
+
+

@@ -9,7 +9,7 @@ under which a prediction is rejected. Prediction runs over whole texts inside Ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import in_one_task, slices, windows
+from ._common import Bags, in_one_task, slices, windows
 
 UND = "und"
 
@@ -71,12 +71,16 @@ class Model:
 
 
 def train(
-    texts: list[str], labels: list[str], bits: int = 16, width: int = 16, epochs: int = 6, rate: float = 0.5, held: float = 0.25, reject_share: float = 0.001, seed: int = 7
+    rows: Iterable[tuple[str, str]], bits: int = 16, width: int = 16, epochs: int = 6, rate: float = 0.5, held: float = 0.25, reject_share: float = 0.001, seed: int = 7
 ) -> Model:
-    """A model from labelled texts; those without a letter don't count. reject_share: of rightly predicted held-out texts, so many at most fall under the confidence limit."""
-    bags = ((np.unique(ngram_buckets(t, bits), return_counts=True), y) for t, y in zip(texts, labels))
-    bags = [((i.astype(np.int32), (n / n.sum()).astype(np.float32)), y) for (i, n), y in bags if len(i)]
-    langs = sorted({y for _, y in bags})
+    """A model from rows (text, language); texts without a letter don't count. reject_share: of rightly predicted held-out texts, so many at most fall under the confidence limit."""
+    bags, labels = Bags(), []
+    for text, lang in rows:
+        if len(found := ngram_buckets(text, bits)):
+            bags.add(found)
+            labels.append(lang)
+    bags.whole()
+    langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((0, 0), np.float32), np.zeros(0), bits, 1.0, 1.0)
     rng = np.random.default_rng(seed)
@@ -89,19 +93,19 @@ def train(
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for j in rng.permutation(fit):
-            (i, w), y = bags[j]
+            i, w = bags[j]
             x = w @ E[i]
             z = x @ W + b
             g = np.exp(z - z.max())
             g /= g.sum()
-            g[number[y]] -= 1
+            g[number[labels[j]]] -= 1
             back = W @ g
             W -= step * np.outer(x, g)
             b -= step * g
             # rows are scaled up, as each has a small share of the mean
             E[i] -= np.outer(np.minimum(step * 20 * w, 0.5), back)
-    z = np.array([w @ E[i] @ W + b for (i, w), _ in (bags[j] for j in test)], np.float64).reshape(len(test), len(langs))
-    y = np.array([number[bags[j][1]] for j in test], int)
+    z = np.array([w @ E[i] @ W + b for i, w in (bags[j] for j in test)], np.float64).reshape(len(test), len(langs))
+    y = np.array([number[labels[j]] for j in test], int)
 
     def prob(t: float) -> np.ndarray:
         p = np.exp((z - z.max(1, keepdims=True)) / t)
@@ -132,11 +136,11 @@ def fit(
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
     count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not count:
-        return train([], [])
+        return train([])
     shares = docs.sparkSession.createDataFrame([(r["lang"], int(1e6 * min(1.0, per_language / r["n"]))) for r in count], "lang string, share int")
     picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share"))  # at most `languages` rows on the other side
     picked = picked.select(windows(F.col("text"), characters).alias("text"), "lang", "h").orderBy("h", "text").limit(2 * per_language * len(count))
-    return in_one_task(picked, lambda sample: train([r["text"] for r in sample], [r["lang"] for r in sample]))
+    return in_one_task(picked, lambda sample: train((r["text"], r["lang"]) for r in sample))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

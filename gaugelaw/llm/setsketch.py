@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, release, slices, text_or_empty
+from ._common import materialise, release, slices, text_or_empty, word_hashes
 from .components import connected_components
 
 REGISTERS = 256
@@ -34,7 +34,6 @@ SMALL = 32
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20240607)
 _multiply = _rng.integers(0, 2**32, (2, REGISTERS, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_words: dict[bytes, int] = {}
 
 
 def band_rows(percent: int) -> int:
@@ -47,11 +46,7 @@ def shingles(text: str, width: int) -> np.ndarray:
     words = text.encode().translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([_words[w] for w in words], np.uint64)
+    h = word_hashes(words)
     n = min(width, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_table, materialise, release, slices, text_or_empty
+from ._common import drop_table, materialise, release, slices, text_or_empty, word_hashes
 from .suffix_array import equal_prefixes
 
 CELL = 8
@@ -38,7 +37,6 @@ PIECE = 1 << 20
 #: Neighbouring symbols in each summand of a hash, by the symbols' width.
 REACH = {1: 8, 8: 2}
 MULTIPLIER = 0x9E3779B97F4A7C15
-_words: dict[bytes, int] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -62,12 +60,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_symbols(data: bytes) -> bytes:
     """The hashes of a text's words (what stands between ASCII white space), eight bytes for each."""
-    words = data.split()
-    if len(_words) > 500_000:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([_words[w] for w in words], "<u8").tobytes()
+    return word_hashes(data.split()).astype("<u8").tobytes()
 
 
 def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ Posterior labels of a bounded sample train a hashed linear scorer, which then sc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import in_one_task, slices, text_or_empty, windows
+from ._common import Bags, in_one_task, slices, text_or_empty, windows
 
 LINE = re.compile(r"[\n.]+")
 #: Words among which distinct ones are counted.
@@ -156,22 +156,24 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_scorer(texts: list[str], goodness: list[float], bits: int = 16, epochs: int = 12, rate: float = 4.0, seed: int = 3) -> Scorer:
-    """Logistic regression by stochastic gradient descent on soft labels; good and bad weigh alike."""
+def fit_scorer(rows: Iterable[tuple[str, float]], bits: int = 16, epochs: int = 12, rate: float = 4.0, seed: int = 3) -> Scorer:
+    """Logistic regression by stochastic gradient descent on rows (text, how good it is); good and bad weigh alike."""
     s = Scorer(np.zeros(1 << bits), np.zeros(3), bits)
-    rows = []
-    for t, y in zip(texts, goodness):
-        if (extra := s.shares(t)) is not None:
-            i, n = np.unique(shape_buckets(t, bits), return_counts=True)
-            rows.append((i.astype(np.int32), (n / n.sum()).astype(np.float32), extra, y))
-    s.trained = len(rows)
-    bad = sum(1 - r[3] for r in rows)
-    weigh = min(max((len(rows) - bad) / bad, 0.1), 20.0) if bad > 0 else 1.0
+    bags, shares, goodness = Bags(), [], []
+    for text, good in rows:
+        if (extra := s.shares(text)) is not None:
+            bags.add(shape_buckets(text, bits))
+            shares.append(extra)
+            goodness.append(good)
+    bags.whole()
+    s.trained = len(bags)
+    bad = sum(1 - y for y in goodness)
+    weigh = min(max((len(bags) - bad) / bad, 0.1), 20.0) if bad > 0 else 1.0
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
         step = rate / (1 + epoch)
-        for j in rng.permutation(len(rows)):
-            i, x, extra, y = rows[j]
+        for j in rng.permutation(len(bags)):
+            (i, x), extra, y = bags[j], shares[j], goodness[j]
             z = s.weights[i] @ x + s.extra @ extra
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * (y + (1 - y) * weigh)
             g = float(np.clip(g, -4, 4))
@@ -207,7 +209,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     rows = docs.select(text_or_empty(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).filter(F.pmod("h", F.lit(1_000_000)) < int(1e6 * min(1.0, sample / n)))
     voted = vote(rows.select(windows(F.col("text"), characters).alias("part"), "text", "h"), "text", keep=("part", "h"))
     picked = voted.filter("part <> ''").orderBy("h", "part").limit(2 * sample)
-    return model, in_one_task(picked, lambda found: fit_scorer([r["part"] for r in found], [model.of(r["votes"]) for r in found]))
+    return model, in_one_task(picked, lambda found: fit_scorer((r["part"], model.of(r["votes"])) for r in found))
 
 
 def classify(docs: DataFrame, models: tuple[LabelModel, Scorer], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:

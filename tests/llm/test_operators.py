@@ -527,10 +527,10 @@ def test_quality_of_long_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit("mine")).withColumn("votes", F.lit(1))
     models = weak_quality.fit(docs)
     assert models[1].trained > 0
-    for m in (models, (models[0], weak_quality.fit_scorer([], []))):
+    for m in (models, (models[0], weak_quality.fit_scorer([]))):
         got = {r["doc_id"]: r["accepted"] for r in weak_quality.classify(docs, m, keep=("doc_id", "quality")).collect()}
         assert all(got[i] == (i < 100) for i, _ in rows)
-    again = weak_quality.fit_scorer(["a b c", "a b c"], [0.5, 0.5])  # ties say nothing
+    again = weak_quality.fit_scorer([("a b c", 0.5), ("a b c", 0.5)])  # ties say nothing
     assert 0 < again.score("a b c") < 1
 
 
