@@ -63,9 +63,12 @@ def three_way(df: DataFrame, axis: str, tie: Column, seed: int, extrapolation: f
 def seeded(df: DataFrame, axis: str, tie: Column, seeds: list[int], name: str = "segment", extrapolation: float = 0.15, holdout: float = 0.2) -> DataFrame:
     """df with a segment column for each seed: name if there is one, else name_<seed>; the tails are found once."""
     x = number(F.col(axis))
-    n = df.count()
+    # the tails' shares are known before the number of rows: one scan counts and brackets both
+    at = [max(0.0, min(1.0, share + d)) for share in (extrapolation / 2, 1 - extrapolation / 2) for d in (-5e-4, 5e-4)]
+    first = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(x, at, 20_000).alias("q")).first()
+    n, q = first["n"], first["q"]
     tail, held = sizes(n, extrapolation, holdout)
-    low, high = cuts(df, x, tie, [min(tail, n), max(0, n - tail)])
+    low, high = cuts(df, x, tie, [min(tail, n), max(0, n - tail)], [(q[0], q[1]), (q[2], q[3])] if q else None)
     outside = low.upto(x, tie) | ~high.upto(x, tie)
     middle, between = df.filter(~outside), max(0, n - 2 * tail)
     last = {seed: held_out(middle, between, held, tie, seed) for seed in seeds}
@@ -85,7 +88,7 @@ def outside_support(df: DataFrame, axis: str) -> DataFrame:
     return df.join(F.broadcast(box)).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col(axis) < F.col("lo")) | (F.col(axis) > F.col("hi"))).alias("n_outside"))  # one row on the other side
 
 
-def fingerprint(df: DataFrame, row_key: Column, by: str = "segment") -> DataFrame:
-    """Rows (by, n, digest): an order-free checksum of the rows in each group, summed before the shuffle."""
+def fingerprint(df: DataFrame, row_key: Column, by: str = "segment", **more: Column) -> DataFrame:
+    """Rows (by, n, digest, more...): an order-free checksum of the rows in each group, summed before the shuffle, and other aggregates of the same scan."""
     part = F.conv(F.substring(F.md5(row_key), 1, 12), 16, 10).cast("decimal(38,0)")
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("digest"))
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("digest"), *(c.alias(k) for k, c in more.items()))

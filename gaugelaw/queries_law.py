@@ -97,10 +97,7 @@ def seed_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, target range and an order-free fingerprint of each segment."""
-    seg = segments(spark, sf_dir)
-    digest = split.fingerprint(seg, F.col("tie"))
-    spans = seg.groupBy("segment").agg(F.round(F.min("y"), 4).alias("y_min"), F.round(F.max("y"), 4).alias("y_max"))
-    return digest.join(spans, "segment")
+    return split.fingerprint(segments(spark, sf_dir), F.col("tie"), y_min=F.round(F.min("y"), 4), y_max=F.round(F.max("y"), 4))
 
 
 def split_support(spark: SparkSession, sf_dir: str) -> DataFrame:

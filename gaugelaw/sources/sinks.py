@@ -57,8 +57,7 @@ def write_split(segments: DataFrame, axis: str, path: str) -> None:
     from ..plans.split import fingerprint
 
     key = F.to_json(F.struct(*sorted(c for c in segments.columns if c != "segment")))
-    spans = segments.groupBy("segment").agg(F.min("y").alias("y_min"), F.max("y").alias("y_max"))
-    write_manifest(fingerprint(segments, key).join(spans, "segment").withColumn("axis", F.lit(axis)), path)
+    write_manifest(fingerprint(segments, key, y_min=F.min("y"), y_max=F.max("y")).withColumn("axis", F.lit(axis)), path)
 
 
 def split_drift(segments: DataFrame, manifest: DataFrame) -> DataFrame:
