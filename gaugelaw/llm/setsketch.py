@@ -232,6 +232,18 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
     return own.select(names).union(few.select(names)).join(sets, "cls").groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long")
 
 
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows (node, label) of components (node, label) after further edges (a, b): only the labels that these touch are joined, not all nodes again."""
+    ends = more
+    for end in "ab":
+        of = labels.select(F.col("node").alias(end), F.col("label").alias("known"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce("known", end)).drop("known")
+    merged = connected_components(ends)
+    new = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return old.union(merged.join(labels.select("node"), "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one for each row of docs.
 
@@ -283,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = sets.union(sets_of(missing))
     found = materialise(verify(near, sets, percent).union(block_links(far, sets, percent)).distinct(), "links")
     if not found.isEmpty():
-        labels = connected_components(links.union(found))
+        labels = joined(labels, found)
 
     owner = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("fingerprint", "id", F.coalesce("label", "cls").alias("label"))
     # a table of its own, so that the classes of a very large component can be split in the join

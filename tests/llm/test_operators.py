@@ -341,6 +341,13 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_components_with_further_edges(spark):
+    edges, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (30, 31), (31, 20)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    got = {r["node"]: r["label"] for r in setsketch.joined(connected_components(frame(edges)), frame(more)).collect()}
+    assert got == {r["node"]: r["label"] for r in connected_components(frame(edges + more)).collect()}
+
+
 def test_warc(spark):
     body = "<p>" + "x" * 200
     rows = [(i, f"http://a/{i}\r\nb%", f"page {i} " * 30) for i in range(40)] + [(50, "u", body), (51, None, body), (49, "u", body), (60, "u", "short"), (61, "u", "short"), (62, "u", None), (63, "u", None), (None, "u", body)]
