@@ -111,8 +111,10 @@ def first_bad_cells(tasks: DataFrame, lines: DataFrame, most: int = 5) -> DataFr
     return bad.withColumn("k", place).filter(F.col("k") <= most).select("task_id", "line_no", "name", "cell")
 
 
-def set_findings(tasks: DataFrame, references: DataFrame, files: DataFrame, splits: DataFrame, sealed: DataFrame) -> DataFrame:
-    """Findings of a set: tasks, references, splits and sealed have a task_id each, files (task_id, name, readable)."""
+def set_findings(tasks: DataFrame | None, references: DataFrame, files: DataFrame, splits: DataFrame, sealed: DataFrame) -> DataFrame:
+    """Findings of a set: tasks (None: their root is missing), references, splits and sealed have a task_id each, files (task_id, name, readable)."""
+    if tasks is None:
+        return references.sparkSession.createDataFrame([("*", ERROR, "MISSING_TASKS_ROOT")], "task_id string, severity string, code string")
     side = lambda df, name: df.select(F.col("task_id").cast("string").alias("task_id"), F.lit(name).alias("side"))
     ids = side(tasks, "task").union(side(references, "reference")).union(side(splits, "split")).union(side(sealed, "sealed"))
     has = {s: F.count_if(F.col("side") == s).alias(s) for s in ("task", "reference", "split", "sealed")}
