@@ -112,7 +112,7 @@ def dedup_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append-only numbers by day and type of event: the next free one after those in use."""
+    """Append-only numbers by day and type of event, of which none is left out: the one behind all in use (archive_names fills gaps)."""
     e = _t(spark, sf_dir, "events")
     day = F.date_format("ts", "yyyyMMdd")
     return e.groupBy(day.alias("day"), "event_type").agg(F.count(F.lit(1)).alias("used")).select(F.concat_ws("_", "day", "event_type", F.lpad((F.col("used") + 1).cast("string"), 4, "0")).alias("next_name"), "used")

@@ -66,6 +66,22 @@ def test_cuts(spark, monkeypatch, look_into):
     assert df.filter(got[3].upto(ranking.number(F.col("x")), F.col("tie"))).count() == sum(w <= want[699] for w in want)
 
 
+@pytest.mark.parametrize("small", [0, 2000])
+def test_exact_percentiles(spark, monkeypatch, small):
+    """Against a sort, with hot values, nulls, empty and tiny groups."""
+    import numpy as np
+
+    monkeypatch.setattr(metrics, "SMALL_GROUP", small)
+    rng = np.random.default_rng(5)
+    groups = {"even": rng.random(9000), "hot": np.where(rng.random(9000) < 0.7, 0.25, rng.random(9000)), "same": np.full(3000, 7.0), "few": rng.random(7) if small else rng.random(5000), None: rng.random(2500)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("even", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r["g"]: (r["n"], r["p"]) for r in metrics.exact_percentiles(df, ["g"], {"p": ("v", (0.0, 0.5, 0.75, 0.9, 1.0))}, {"n": F.count("v")}).collect()}
+    for g, xs in groups.items():
+        assert got[g][0] == len(xs) and got[g][1] == pytest.approx(np.quantile(xs, [0, 0.5, 0.75, 0.9, 1]).tolist(), rel=1e-12)
+    assert got["none"] == (0, [None] * 5)
+
+
 def test_split_and_gates(spark):
     df = spark.range(400).select((F.col("id") % 391).cast("double").alias("x"), F.md5(F.col("id").cast("string")).alias("tie")).withColumn("y", F.col("x") * 2 + 1)
     seg = split.three_way(df, "x", F.col("tie"), 1)
