@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries_gates
 from .operators import evidence, gates
+from .queries_law import SEG, columns, segments
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,15 +149,79 @@ def failed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("candidate", F.coalesce("place", F.lit(0)).alias("place"), "failed", F.when(F.col("failed").isNull(), "no such failure").otherwise(F.coalesce("note", F.lit("no note"))).alias("note"))
 
 
-def dimension_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as tasks with a formula and units each: how many the dimension gate passes, fails and skips, by mode, and how many formulas these are."""
+def _formula_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tasks: one of five formulas, and units by the part's size, the target's among them or not."""
     formula = F.element_at(F.array(*map(F.lit, ("x/z", "x*z", "x + z", "k*x", "sqrt(x*x)"))), (F.substring("p_brand", 7, 1).cast("int") % 5 + 1))
     x = F.element_at(F.array(*map(F.lit, ("m", "kg*m/s^2", "s"))), (F.col("p_size") % 3 + 1).cast("int"))
     y = F.element_at(F.array(F.lit("m/s"), F.lit("m*s"), F.lit(None), F.lit("m")), (F.col("p_size") % 4 + 1).cast("int"))
     units = F.map_filter(F.create_map(F.lit("x"), x, F.lit("z"), F.lit("s"), F.lit("y"), y), lambda k, v: v.isNotNull())
-    tasks = _t(spark, sf_dir, "part").select(formula.alias("formula"), units.alias("units"), F.array(F.lit("k")).alias("free"))
-    tasks = tasks.withColumn("free", F.when(F.col("formula").startswith("k"), F.col("free")))
-    return gates.dimension_gate(tasks).groupBy("mode", "passed").agg(F.sum("n").alias("tasks"), F.count(F.lit(1)).alias("formulas"))
+    tasks = _t(spark, sf_dir, "part").select("p_partkey", formula.alias("formula"), units.alias("units"), F.array(F.lit("k")).alias("free"))
+    return tasks.withColumn("free", F.when(F.col("formula").startswith("k"), F.col("free")))
+
+
+def dimension_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tasks the dimension gate passes, fails and skips, by mode, and how many formulas these are."""
+    return gates.dimension_gate(_formula_tasks(spark, sf_dir)).groupBy("mode", "passed").agg(F.sum("n").alias("tasks"), F.count(F.lit(1)).alias("formulas"))
+
+
+def spoilt_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tasks after the unit of x is spoilt: where the gate, which passed strictly before, catches it and where it misses it."""
+    tasks = _formula_tasks(spark, sf_dir)
+    spoilt = F.transform_values("units", lambda k, v: F.when(k == "x", F.concat(F.lit("("), v, F.lit(")*m"))).otherwise(v))
+    told = lambda u: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(u))))
+    both = tasks.select("p_partkey", "formula", "free", told("units").alias("was"), told(spoilt).alias("is"))
+
+    def judged(units: Column, name: str) -> DataFrame:
+        # one row for each formula with other units
+        rows = gates.dimension_gate(tasks.select("formula", units.alias("units"), "free"))
+        return F.broadcast(rows.select("formula", F.col("units").alias(name), F.col("mode").alias(f"{name}_mode"), F.col("passed").alias(f"{name}_passed")))
+
+    j = both.join(judged(F.col("units"), "was"), ["formula", "was"]).join(judged(spoilt, "is"), ["formula", "is"])
+    outcome = F.when(~F.col("was_passed") | (F.col("was_mode") != "strict"), "no answer").when(F.col("is_passed"), "missed").otherwise("caught")
+    return j.groupBy("formula", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_task"))
+
+
+def _dimension_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tasks with a formula, of which some have a parameter without a unit and some no unit of the target."""
+    kind = F.col("p_size") % 3
+    units = F.when(kind == 0, F.create_map(F.lit("x"), F.lit("m"), F.lit("y"), F.lit("m"))).otherwise(F.create_map(F.lit("x"), F.lit("m")))
+    units = F.when(kind == 1, F.create_map(F.lit("x"), F.lit("m"), F.lit("y"), F.lit("m/s"))).otherwise(units)
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), "p_brand", F.when(kind == 1, "k*x").otherwise("x").alias("formula"), units.alias("units"), F.when(kind == 1, F.array(F.lit("k"))).alias("free"))
+
+
+def uncovered_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks whose dimensions are not strictly checked and that no structural check covers either, by mode."""
+    tasks = _dimension_tasks(spark, sf_dir)
+    modes = gates.dimension_gate(tasks).select("formula", F.col("units").alias("told"), "mode")
+    told = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("units"))))
+    # one row for each formula with other units
+    judged = tasks.withColumn("told", told).join(F.broadcast(modes), ["formula", "told"])
+    covered = _t(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("task_id")).distinct()
+    left = judged.filter("mode <> 'strict'").join(covered, "task_id", "left_anti")
+    return left.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("first_task"))
+
+
+def review_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks with the number of their checks beside their metadata and their answers, for those that have all three."""
+    specs = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("task_id")).agg(F.count(F.lit(1)).alias("checks"), F.count_distinct("l_returnflag").alias("kinds"))
+    answers = _t(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("task_id")).agg(F.round(F.max("o_totalprice"), 2).alias("answer"))
+    return _dimension_tasks(spark, sf_dir).select("task_id", "p_brand", "formula").join(specs, "task_id").join(answers, "task_id")
+
+
+ATTACKS = {
+    "constant": "100000+0*p", "copies_a_column": "p", "wrong_sign": "-(p*(1-d)*(1+t))", "swapped_roles": "d*(1-p)*(1+t)", "doubled": "2*p*(1-d)*(1+t)", "undefined": "log(0-p)", "infinite": "p/(d-d)",
+    "huge_power": "p**9", "hidden_term": "p*(1-d)*(1+t)+p*0.2*sin(q)", "true_law": "p*(1-d)*(1+t)", "injected": "__import__('os').getcwd()", "attribute": "p.real", "compared": "p if p>0 else d", "text": "'p'",
+}
+
+
+def adversarial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attacks on the gates: what each is, what stops it first, and its error on held-out rows; only the true law may pass."""
+    candidates = {k: gates.Candidate(f) for k, f in ATTACKS.items()}
+    found, sound = gates.metadata_checks(spark, candidates, list("pdtq"), {}, dimension=False)
+    errors = gates.error_checks(segments(spark, sf_dir), {k: candidates[k] for k in sound}, None, columns("pdtq"), "y", 0.02, 0.03)
+    rows = found.unionByName(errors)
+    v = gates.report(rows).select("candidate", "verdict", "first_failed")
+    return v.join(rows.filter("name = 'holdout'").select("candidate", F.round("value", 6).alias("error")), "candidate", "left")
 
 
 def set_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +268,22 @@ ORACLE_SQL = {
     "set_layers": """with per as (select l_orderkey, count(*) as c from lineitem group by l_orderkey), j as (select o_orderpriority as layer, coalesce(c, 0) as c from orders left join per on o_orderkey = l_orderkey),
       ids as (select o_orderpriority as layer, concat(case when o_orderstatus = 'F' then 'T' else 't' end, o_orderkey // 64) as id from orders), alike as (select layer, count(*) as alike from (select layer, lower(id) as k from ids group by all having count(distinct id) > 1) group by layer)
       select layer, cast(count(*) as bigint) as tasks, cast(sum(c) as bigint) as checks, round(avg(c), 6) as mean_checks, cast(coalesce(any_value(alike), 0) as bigint) as alike from j left join alike using (layer) group by layer""",
+    "spoilt_units": """with t as (select p_partkey, cast(substr(p_brand, 7, 1) as int) % 5 + 1 as f, p_size % 3 as x, p_size % 4 as y from part),
+      xs(x, m, kg, s) as (values (0, 1, 0, 0), (1, 1, 1, -2), (2, 0, 0, 1)), ys(y, ym, ykg, ys) as (values (0, 1, 0, -1), (1, 1, 0, 1), (3, 1, 0, 0)),
+      d as (select p_partkey, f, ym, m, kg, s + case f when 1 then -1 when 2 then 1 else 0 end as s, m = 0 and kg = 0 and s = 1 as like_z, m = -1 and kg = 0 and s = 1 as like_z_after, ykg, ys from t join xs on xs.x = t.x left join ys on ys.y = t.y),
+      j as (select *, ym is not null and f <> 4 and (f <> 3 or like_z) and m = ym and kg = ykg and s = ys as was, (f <> 3 or like_z_after) and m + 1 = ym and kg = ykg and s = ys as now from d)
+      select ['x/z', 'x*z', 'x + z', 'k*x', 'sqrt(x*x)'][f] as formula, case when not was then 'no answer' when now then 'missed' else 'caught' end as outcome, cast(count(*) as bigint) as n, min(p_partkey) as first_task from j group by all""",
+    "uncovered_tasks": """with t as (select p_partkey as task_id, case p_size % 3 when 0 then 'strict' when 1 then 'structural' else 'skipped' end as mode from part), c as (select l_partkey from lineitem where l_quantity > 48)
+      select mode, cast(count(*) as bigint) as n, min(task_id) as first_task from t where mode <> 'strict' and task_id not in (select l_partkey from c) group by mode""",
+    "review_table": """select p_partkey as task_id, p_brand, case when p_size % 3 = 1 then 'k*x' else 'x' end as formula, checks, kinds, answer from part join (select l_partkey, cast(count(*) as bigint) as checks, cast(count(distinct l_returnflag) as bigint) as kinds from lineitem group by l_partkey) s on l_partkey = p_partkey
+      join (select o_custkey, round(max(o_totalprice), 2) as answer from orders where o_orderstatus = 'P' group by o_custkey) a on o_custkey = p_partkey""",
+    "adversarial": f"""{SEG}, a(candidate, formula) as (values """ + ", ".join("('{}', '{}')".format(k, f.replace("'", "''")) for k, f in ATTACKS.items()) + """),
+      bad as (select candidate from a where regexp_matches(formula, '__|''|[a-z]\.[a-z]| if ')),
+      x as (select candidate, segment, y, case candidate when 'constant' then 100000.0 when 'copies_a_column' then p when 'wrong_sign' then -(p*(1-d)*(1+t)) when 'swapped_roles' then d*(1-p)*(1+t) when 'doubled' then 2*p*(1-d)*(1+t) when 'huge_power' then pow(p, 9)
+        when 'hidden_term' then p*(1-d)*(1+t)+p*0.2*sin(q) when 'true_law' then p*(1-d)*(1+t) end as v from seg, a where segment <> 'train' and candidate not in (select candidate from bad)),
+      g as (select candidate, segment, case when count(v) >= greatest(3, floor(count(*) / 2)) then quantile_cont(abs(v - y) / abs(y), 0.5) else 'inf'::double end as e, 1 - count(v) / count(*) as nonfinite from x group by all),
+      c as (select candidate, segment as name, e <= case segment when 'holdout' then 0.02 else 0.03 end and (segment = 'holdout' or nonfinite < 0.1) as ok, case segment when 'holdout' then 4 else 5 end as ord, e from g union all select candidate, 'expression', false, 2, null from bad)
+      select candidate, case when bool_and(ok) then 'accepted' else 'rejected' end as verdict, min_by(name, ord) filter (not ok) as first_failed, round(max(e) filter (name = 'holdout'), 6) as error from c group by candidate""",
     "dimension_gate": """with t as (select cast(substr(p_brand, 7, 1) as int) % 5 + 1 as f, p_size % 3 as x, p_size % 4 as y from part),
       xs(x, m, kg, s) as (values (0, 1, 0, 0), (1, 1, 1, -2), (2, 0, 0, 1)), ys(y, ym, ykg, ys) as (values (0, 1, 0, -1), (1, 1, 0, 1), (3, 1, 0, 0)),
       d as (select f, t.x, t.y, m, kg, s + case f when 1 then -1 when 2 then 1 else 0 end as s, f <> 3 or (m = 0 and kg = 0 and s = 1) as adds, ym, ykg, ys from t join xs on xs.x = t.x left join ys on ys.y = t.y),
