@@ -91,11 +91,13 @@ class LabelModel:
         return self.prior * (1 - self.bad_of_good) + (1 - self.prior) * self.bad_of_bad
 
 
-def fit_labels(patterns: dict[str, int], rounds: int = 200, prior: float = 0.85, start: tuple[float, float] = (0.03, 0.5)) -> LabelModel:
+def fit_labels(patterns: dict[str, int], rounds: int = 300, prior: float = 0.85, start: tuple[float, float] = (0.005, 0.3), most_wrong: float = 0.02, least_found: float = 0.05) -> LabelModel:
     """Expectation-maximisation over counted vote patterns.
 
     start: the shares of votes on good and on bad texts that say bad, before any text is seen; they
-    weigh as much as ten votes. A labeller never says bad more often of good texts than of bad ones.
+    weigh as much as ten votes. Labellers are rules that seldom blame a good text: of these at most
+    most_wrong, and of bad ones at least least_found. Without these bounds one kind of bad texts can
+    become a part of the good ones, as each rule calls other kinds than its own good.
     """
     k = len(LABELLERS)
     m = LabelModel(prior, np.full(k, start[0]), np.full(k, start[1]))
@@ -106,8 +108,8 @@ def fit_labels(patterns: dict[str, int], rounds: int = 200, prior: float = 0.85,
         share = []
         for weight, s in ((n * q, start[0]), (n * (1 - q), start[1])):
             bad, cast = weight @ (votes == ord("0")), weight @ (votes != ord("-"))
-            share.append(np.clip((bad + 10 * s) / (cast + 10), 1e-4, 0.999))
-        new = LabelModel(float(np.clip((n @ q + 1) / (n.sum() + 2), 0.01, 0.99)), np.minimum(*share), share[1])
+            share.append((bad + 10 * s) / (cast + 10))
+        new = LabelModel(float(np.clip((n @ q + 1) / (n.sum() + 2), 0.01, 0.99)), np.clip(share[0], 1e-4, most_wrong), np.clip(share[1], least_found, 0.95))
         done = max(np.abs(new.bad_of_good - m.bad_of_good).max(), np.abs(new.bad_of_bad - m.bad_of_bad).max()) < 1e-6
         m = new
         if done:

@@ -521,12 +521,23 @@ def test_quality(spark, docs, nothing):
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "label")
     rows = QUERIES["op9_quality"](spark, sf).join(labels, "doc_id").collect()
     assert sum(r["accepted"] == bool(r["label"]) for r in rows) / len(rows) > 0.95
+    assert sum(not r["accepted"] for r in rows if not r["label"]) / sum(not r["label"] for r in rows) > 0.9
     models = weak_quality.fit(docs)
     got = weak_quality.classify(docs, models).collect()
     assert len(got) == docs.count() and all(not r["accepted"] for r in got if r["doc_id"] in (64, 65, 66))
     assert weak_quality.classify(nothing, weak_quality.fit(nothing)).count() == 0
 
 
+def test_label_model_keeps_kinds_of_junk_apart_from_good_texts():
+    """Two kinds of bad texts, each of which most labellers call good; the smaller one stays bad whatever its share."""
+    for repeated in (10, 40, 90):
+        patterns = {"11111111": 860 - repeated, "1111-111": 20, "0-00-111": 45, "00-10111": 40, "11111-00": repeated // 2, "11111000": repeated // 2, "--------": 3}
+        m = weak_quality.fit_labels(patterns)
+        assert [m.of(p) > 0.5 for p in ("11111111", "1111-111", "0-00-111", "00-10111", "11111-00", "11111000")] == [True, True, False, False, False, False]
+        assert (m.bad_of_good <= 0.02).all() and 0.7 < m.prior < 0.95 and (m.accuracy > 0.5).all()
+    assert weak_quality.fit_labels({}).prior == 0.85
+
+
 def test_quality_of_long_texts(spark):
     """Texts of any length train; without any sample the label model decides."""
     good = lambda i: " ".join(f"Word{(i * j) % 89} follows the river and light number {j}." for j in range(400))
@@ -627,6 +638,94 @@ def test_clashing_columns(spark):
     assert mpeg_audio.read(mpeg_audio.store(docs)).count() == 1 and mpeg_audio.read(mpeg_audio.store(docs).withColumn("payload", F.lit(1)), keep=("payload",)).columns.count("payload") == 1
 
 
+def components(sets, percent):
+    label = {i: i for i in sets}
+    again = True
+    while again:
+        again = False
+        for a in sets:
+            for b in sets:
+                if a != b and label[a] < label[b] and (both := len(sets[a] & sets[b])) and 100 * both >= percent * len(sets[a] | sets[b]):
+                    label[b], again = label[a], True
+    return label
+
+
+def without_repeats(texts, words, length):
+    """Texts less their runs of so many words, and their strings of so many bytes with fewer words, that stand more than once."""
+    data = [t.encode() for t in texts]
+    runs = Counter(tuple(w[i : i + words]) for w in (b.split() for b in data) for i in range(len(w) - words + 1))
+    strings = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone, places, at = bytearray(len(b)), [], 0
+        for w in b.split():
+            at = b.index(w, at)
+            places.append((at, at + len(w)))
+            at += len(w)
+        split = b.split()
+        for i in range(len(split) - words + 1):
+            if runs[tuple(split[i : i + words])] > 1:
+                a, z = places[i][0], places[i + words - 1][1]
+                gone[a:z] = b"\1" * (z - a)
+        for i in range(len(b) - length + 1):
+            if strings[b[i : i + length]] > 1 and len((b"x" + b[i : i + length] + b"x").split()) - 2 < words:
+                gone[i : i + length] = b"\1" * length
+        out.append(bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on what its predecessor kept."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = {name: None for name, _ in corpus_pipeline.STAGES}
+    frame = raw
+    for name, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, sf)
+        docs[name] = frame.collect()
+        frame = spark.createDataFrame(docs[name], frame.schema).repartition(3)
+    before = {r["doc_id"]: r["text"] for r in docs["quality"]}
+    sets = {i: frozenset(setsketch.shingles(t, 5).tolist()) for i, t in before.items()}
+    label = components(sets, 80)
+    assert {r["doc_id"] for r in docs["near_dedup"]} == {i for i in sets if label[i] == i}
+    kept = sorted((r["doc_id"], r["text"]) for r in docs["near_dedup"])
+    want = dict(zip((i for i, _ in kept), without_repeats([t for _, t in kept], 51, 400)))
+    assert {r["doc_id"]: r["text"] for r in docs["suffix_dedup"]} == want and all(r["n_chars"] == len(r["text"]) for r in docs["suffix_dedup"])
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    pieces = {}
+    for r in docs["packing"]:
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in pieces.items()} == {i: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in want.items()}
+    # language and quality leave nearly all documents that are labelled good
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()} & {r["doc_id"] for r in raw.collect()}
+    assert len(good - {r["doc_id"] for r in docs["quality"]}) <= 0.02 * len(good)
+
+
+def test_very_long_texts(spark):
+    """A text of some MB among short ones, with a near copy and a passage in common with another."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    near = list(words)
+    near[777] = near[100_000] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[5000:5100])), (4, "short one"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(docs, 5, 80).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs, 400).collect()}
+    assert got[3] == (len(rows[2][1]), 1) and got[2][1] == 3 and got[4] == got[5] == (0, 0)
+    model = language_id.train([("the river and the stone", "en"), ("les rivières et la pierre", "fr")] * 20)
+    assert language_id.identify(docs, model).count() == 5 and weak_quality.classify(docs, weak_quality.fit(docs)).count() == 5
+
+
+def test_url_rules_with_repeated_labels_and_long_urls(spark):
+    urls = [(i, f"http://bad{min(i % 4, 1)}.io/x/{i}") for i in range(40)] + [(90, "http://bad0.io/" + "a/" * 50_000), (91, ""), (92, None)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(i, 0, 0) for i in range(0, 40, 4)] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels, []).collect()}
+    assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(40)) and got[90] == "block" and got[91] == got[92] == "allow"
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
