@@ -278,7 +278,7 @@ ORACLE_SQL = {
     "review_table": """select p_partkey as task_id, p_brand, case when p_size % 3 = 1 then 'k*x' else 'x' end as formula, checks, kinds, answer from part join (select l_partkey, cast(count(*) as bigint) as checks, cast(count(distinct l_returnflag) as bigint) as kinds from lineitem group by l_partkey) s on l_partkey = p_partkey
       join (select o_custkey, round(max(o_totalprice), 2) as answer from orders where o_orderstatus = 'P' group by o_custkey) a on o_custkey = p_partkey""",
     "adversarial": f"""{SEG}, a(candidate, formula) as (values """ + ", ".join("('{}', '{}')".format(k, f.replace("'", "''")) for k, f in ATTACKS.items()) + """),
-      bad as (select candidate from a where regexp_matches(formula, '__|''|[a-z]\.[a-z]| if ')),
+      bad as (select candidate from a where regexp_matches(formula, '__|''|[a-z][.][a-z]| if ')),
       x as (select candidate, segment, y, case candidate when 'constant' then 100000.0 when 'copies_a_column' then p when 'wrong_sign' then -(p*(1-d)*(1+t)) when 'swapped_roles' then d*(1-p)*(1+t) when 'doubled' then 2*p*(1-d)*(1+t) when 'huge_power' then pow(p, 9)
         when 'hidden_term' then p*(1-d)*(1+t)+p*0.2*sin(q) when 'true_law' then p*(1-d)*(1+t) end as v from seg, a where segment <> 'train' and candidate not in (select candidate from bad)),
       g as (select candidate, segment, case when count(v) >= greatest(3, floor(count(*) / 2)) then quantile_cont(abs(v - y) / abs(y), 0.5) else 'inf'::double end as e, 1 - count(v) / count(*) as nonfinite from x group by all),

@@ -148,7 +148,7 @@ def retail_narrow_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     line = fit.fit_line(part.filter("x < 1000"), F.col("x"), F.col("y"))
     rows = part.join(F.broadcast(line)).select("x", (F.col("x") < 1000).alias("inside"), (F.abs(F.col("a") + F.col("b") * F.col("x") - F.col("y")) / F.col("y")).alias("e"), "a", "b")  # one row of constants
-    return rows.groupBy("inside").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("a"), 4).alias("a"), F.round(F.max("b"), 6).alias("b"), F.round(F.percentile("e", 0.5), 6).alias("median_error"), F.round(F.max("e"), 6).alias("max_error"), F.max_by("x", F.struct("e", -F.col("x"))).alias("worst_at"))
+    return rows.groupBy("inside").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("a"), 4).alias("a"), F.round(F.max("b"), 6).alias("b"), F.round(F.percentile("e", 0.5), 6).alias("median_error"), F.round(F.max("e"), 6).alias("max_error"), F.max_by("x", F.struct(F.round("e", 6), -F.col("x"))).alias("worst_at"))
 
 
 def _box(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +279,7 @@ ORACLE_SQL = {
     "error_plane": f"{SEG}, {PRED_SQL} select candidate, round(quantile_cont(r, 0.5) filter (segment = 'holdout'), 8) as holdout, round(quantile_cont(r, 0.5) filter (segment = 'extrapolation'), 8) as extrapolation from err where candidate <> 'undefined' group by candidate",
     "fit_constants": f"{SEG}, {PRED_SQL}, s as (select candidate, sum(x*x) as ff, sum(x*y) as fy, sum(y*y) as yy, count(*) as n, stddev_pop(y) as sd from err where segment = 'train' and candidate <> 'undefined' group by candidate) select candidate, round(fy/ff, 8) as k, round(sqrt(greatest(yy - fy/ff*fy, 0) / n) / sd, 5) as fit_error, sqrt(greatest(yy - fy/ff*fy, 0) / n) / sd <= 0.5 as passed from s",
     "negative_control": f"with {BASE_SQL}, j as (select p, q, p_retailprice as y from base join part on partkey = p_partkey), e as (select c as candidate, y, case c when 'price' then p when 'quantity' then q when 'product' then p*q when 'ratio' then p/q when 'root' then sqrt(p*q) else p+q end as x from j, (values ('price'),('quantity'),('product'),('ratio'),('root'),('line')) v(c)), s as (select candidate, sum(x*x) as ff, sum(x*y) as fy, sum(y*y) as yy, count(*) as n, stddev_pop(y) as sd from e group by candidate) select candidate, round(fy/ff, 8) as k, case when sqrt(greatest(yy - fy/ff*fy, 0)/n)/sd > 0.5 then 'fit' else 'accepted' end as first_failed from s",
-    "retail_narrow_fit": "with f as (select regr_intercept(p_retailprice, p_partkey) as a, regr_slope(p_retailprice, p_partkey) as b from part where p_partkey < 1000), e as (select p_partkey < 1000 as inside, cast(p_partkey as double) as x, abs(a + b * p_partkey - p_retailprice) / p_retailprice as e, a, b from part, f) select inside, cast(count(*) as bigint) as n, round(max(a), 4) as a, round(max(b), 6) as b, round(quantile_cont(e, 0.5), 6) as median_error, round(max(e), 6) as max_error, arg_max(x, (e, -x)) as worst_at from e group by inside",
+    "retail_narrow_fit": "with f as (select regr_intercept(p_retailprice, p_partkey) as a, regr_slope(p_retailprice, p_partkey) as b from part where p_partkey < 1000), e as (select p_partkey < 1000 as inside, cast(p_partkey as double) as x, abs(a + b * p_partkey - p_retailprice) / p_retailprice as e, a, b from part, f) select inside, cast(count(*) as bigint) as n, round(max(a), 4) as a, round(max(b), 6) as b, round(quantile_cont(e, 0.5), 6) as median_error, round(max(e), 6) as max_error, arg_max(x, (round(e, 6), -x)) as worst_at from e group by inside",
     "numeric_equivalence": f"with {BASE_SQL}, e as (select c as candidate, p*(1-d)*(1+t) as y, case c when 'expanded' then p - p*d + p*t - p*d*t when 'reordered' then (1+t)*p*(1-d) when 'shifted' then p*(1-d)*(1+t) + 0.01 else p*(1-d) end as x from law, (values ('expanded'),('reordered'),('shifted'),('no_tax')) v(c)) select candidate, round(max(abs(x-y))/max(abs(y)), 9) as deviation, max(abs(x-y))/max(abs(y)) <= 1e-6 as equivalent from e group by candidate",
     "profile_sweep": f"with {BASE_SQL}, m as (select min(p) as lo, max(p) as hi, quantile_cont(d, 0.5) as d, quantile_cont(t, 0.5) as t from law) select cast(i as integer) as i, round(lo + (hi - lo) * i / 319.0, 4) as p, round((lo + (hi - lo) * i / 319.0) * (1 - d) * (1 + t), 4) as y from m, range(0, 320) r(i)",
     "seed_ranking": f"with {BASE_SQL}, s as (select sum(p*p) as pp, sum(p*y) as py, sum(y*y) as yy, count(*) as n from law), g as (select cast(i as integer) as i, pow(10.0, i / 15.0) as k from range(-45, 46) r(i)) select i, round(k, 8) as k, round(sqrt((yy - 2*k*py + k*k*pp) / n), 3) as cost from s, g order by cost, i limit 10",

@@ -49,11 +49,11 @@ def fixed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table with a column for each zone: columns are mapped to bands, years with a gap drop out, and a short series is refused."""
+    """A table with a column for each zone: columns are mapped to bands, years with a gap drop out, and a series without any is refused."""
     path, o = sinks.shared_folder(spark, "wide") + ".csv", _t(spark, sf_dir, "orders")
     by = o.groupBy(F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01")).cast("string").alias("Year")).agg(*(F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey"))).alias(f"zone {s}") for s in "FOP"))
     by.write.csv(path, header=True)
-    rows = readers.wide_years(readers.read_delimited(spark, path, ","), "Year", {"zone F": "south", "zone O": "middle", "zone P": "north"}, least=100)
+    rows = readers.wide_years(readers.read_delimited(spark, path, ","), "Year", {"zone F": "south", "zone O": "middle", "zone P": "north"}, least=1)
     return rows.groupBy("band").agg(F.count(F.lit(1)).alias("years"), F.sum("v").alias("total"), F.max("year").alias("last"))
 
 
