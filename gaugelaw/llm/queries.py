@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming_topk, language_id, mpeg_audio, packing, sentencepiece_bpe, setsketch, suffix_dedup, url_rules, warc_zstd, weak_quality
+from . import alignment, hamming_topk, language_id, mpeg_audio, packing, sentencepiece_bpe, setsketch, suffix_dedup, trie_dedup, url_rules, warc_zstd, weak_quality, whitening
 from ._common import materialise, table
 
 
@@ -125,6 +125,44 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), STATED_RULES)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP13_SQL = """
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+g as (select x, max(doc_id) as keep_id, count(*) as group_size from t group by x)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t.x) as text_sha256 from t join g on t.x = g.x
+"""
+
+
+def vector_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op12 what SQL can tell: the size of the fit list, each vector's exact distance and that the components explain falling shares."""
+    rows = op12_whitening(spark, sf_dir)
+    falling = F.max(F.struct(-F.col("component"), "explained"))["explained"] <= F.min(F.struct("component", "explained"))["explained"]
+    return rows.groupBy("vec_id", "n", "deviation").agg(F.count("whitened").alias("components"), (falling & (F.max("identity_error") <= 1e-4)).alias("sound"))
+
+
+DEVIATION_SQL = """
+with e as (select vec_id, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
+f as (select distinct x from e),
+s as (select j, sum(v) as total from (select unnest(x) as v, generate_subscripts(x, 1) as j from f) group by j),
+n as (select count(*) as n from f),
+d as (select vec_id, sum((n * v - total) * (n * v - total)) as deviation from (select vec_id, unnest(x) as v, generate_subscripts(x, 1) as j from e) r join s on r.j = s.j, n group by vec_id)
+select vec_id, n, cast(deviation as bigint) as deviation, cast(4 as bigint) as components, true as sound from d, n
+"""
+
+
 def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op5 what SQL can tell: texts of plain words under single blanks come back as they are."""
     docs = table(spark, sf_dir, "documents")
@@ -169,6 +207,7 @@ COMPANION_SQL = {
     "undetermined_texts": r"select doc_id, not coalesce(regexp_matches(text, '\p{L}'), false) as undetermined, true as in_range from documents",
     "stored_payloads": PAYLOAD_SQL,
     "stated_url_rules": RULES_SQL,
+    "vector_deviations": DEVIATION_SQL,
 }
 
 
@@ -179,6 +218,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_near_dedup, op4_warc, op5_sentencepiece, op6_hamming_topk, op7_language_id, op8_mpeg_audio, op9_quality, op10_url_rules, pipeline, decoded_texts, undetermined_texts, stored_payloads, stated_url_rules)
+    f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_near_dedup, op4_warc, op5_sentencepiece, op6_hamming_topk, op7_language_id, op8_mpeg_audio, op9_quality, op10_url_rules, op11_alignment, op12_whitening, op13_exact_dedup, pipeline, decoded_texts, undetermined_texts, stored_payloads, stated_url_rules, vector_deviations)
 }
-ORACLE_SQL: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_hamming_topk": OP6_SQL} | COMPANION_SQL
+ORACLE_SQL: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_hamming_topk": OP6_SQL, "op13_exact_dedup": OP13_SQL} | COMPANION_SQL
