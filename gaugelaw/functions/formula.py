@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import ast
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_LENGTH = 2000
+#: The deepest nesting of a formula.
+MAX_DEPTH = 200
 NAN, INF = float("nan"), float("inf")
 CONSTANTS = {"pi": math.pi, "e": math.e}
 
@@ -24,13 +26,13 @@ class FormulaError(ValueError):
     """The formula is not of the language, or names something unknown."""
 
 
-def _log(x: Column) -> Column:
-    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(-INF)).when(F.isnull(x), None).otherwise(F.lit(NAN))
+def _log(x: Column, of: Callable[[Column], Column] = F.ln) -> Column:
+    return F.when(x > 0, of(x)).when(x == 0, F.lit(-INF)).when(F.isnull(x), None).otherwise(F.lit(NAN))
 
 
 FUNCTIONS = {
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "tanh": F.tanh, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs, "sign": F.signum,
-    "log": _log, "log10": lambda x: _log(x) / F.lit(math.log(10.0)),
+    "log": _log, "log10": lambda x: _log(x, F.log10),
 }
 
 
@@ -54,6 +56,12 @@ def parse(text: str, names: set[str] | frozenset[str] | None = None) -> ast.expr
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         raise FormulaError(f"not an expression: {e}") from None
     called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
+    level, depth = [tree], 0
+    while level:
+        depth += 1
+        if depth > MAX_DEPTH:
+            raise FormulaError(f"nested deeper than {MAX_DEPTH}")
+        level = [c for n in level for c in ast.iter_child_nodes(n)]
     for n in ast.walk(tree):
         match n:
             case ast.Call(func=ast.Name(id=f), args=[_], keywords=[]) if f in FUNCTIONS:

@@ -14,8 +14,8 @@ from ..functions.units import UNITS
 ERROR, WARN = "error", "warn"
 LAYERS = ("base", "challenge")
 NAME = r"^[A-Za-z_][A-Za-z0-9_]*$"
-#: File names that would give an answer away, and those that may stand beside a task.
-LEAK, ALLOWED = r"(?i)(answer|solution|reference|truth|sealed)", ("data.csv", "meta.json", "data_train.csv", "split.json", "candidates.json")
+#: File names that would give an answer away; then those that may stand beside a task.
+LEAK, ALLOWED = r"(?i)(reference|answer|ground[_-]?truth|ground|solution|truth|label|golden|expected[_-]?formula)", ("data.csv", "meta.json", "data_train.csv", "split.json", "candidates.json")
 
 
 def _unit_pattern() -> str:

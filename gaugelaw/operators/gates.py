@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula import FormulaError, compile_formula, parse
-from ..functions.units import DimensionError, check_dimension
+from ..functions.units import check_dimension
 from . import fit, metrics
 
 ORDER = {"dimension": 1, "expression": 2, "fit": 3, "holdout": 4, "extrapolation": 5, "scale": 6}
@@ -40,10 +40,7 @@ def metadata_checks(spark: SparkSession, candidates: Mapping[str, Candidate], va
     for name, c in candidates.items():
         scale = {c.scale} if c.scale else set()
         if dimension:
-            try:
-                mode, passed, _ = check_dimension(c.formula, {**units, **c.units}, frozenset(scale))
-            except (FormulaError, DimensionError):
-                mode, passed = "strict", False
+            mode, passed, _ = check_dimension(c.formula, {**units, **c.units}, frozenset(scale))
         else:
             mode, passed = "disabled", True
         rows.append((name, ORDER["dimension"], "dimension", passed, None, mode))
@@ -56,27 +53,21 @@ def metadata_checks(spark: SparkSession, candidates: Mapping[str, Candidate], va
 
 
 def dimension_gate(tasks: DataFrame) -> DataFrame:
-    """Rows (formula, units, free, n, mode, passed) of tasks (formula, units map, free array of parameters).
+    """Rows (formula, units, free, n, mode, passed, reason) of tasks (formula, units map, free array of parameters).
 
     Formulas with equal units are judged once, whatever the number of tasks n. mode is strict,
-    structural (a parameter without a unit may have any) or skipped (the target y has no unit).
+    structural (a parameter without a unit may have any) or skipped (units are missing or unknown).
     """
     told = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("units", F.create_map().cast("map<string,string>"))))))
     kinds = tasks.select("formula", told.alias("units"), F.array_join(F.coalesce("free", F.array().cast("array<string>")), ",").alias("free")).groupBy("formula", "units", "free").agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            modes, passed = [], []
-            for formula, units, free in zip(*(b.column(i).to_pylist() for i in range(3))):
-                try:
-                    mode, ok, _ = check_dimension(formula or "", json.loads(units), frozenset(free.split(",")) - {""})
-                except (FormulaError, DimensionError):
-                    mode, ok = "strict", False
-                modes.append(mode)
-                passed.append(ok)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(modes, pa.string()), pa.array(passed, pa.bool_())], names=[*b.schema.names, "mode", "passed"])
-
-    return kinds.mapInArrow(run, "formula string, units string, free string, n long, mode string, passed boolean")
+            found = [check_dimension(formula or "", json.loads(units), frozenset(free.split(",")) - {""}) for formula, units, free in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            more = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.bool_(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "mode", "passed", "reason"])
+
+    return kinds.mapInArrow(run, "formula string, units string, free string, n long, mode string, passed boolean, reason string")
 
 
 def fitted(train: DataFrame, candidates: Mapping[str, Candidate], columns: Mapping[str, Column], target: str, limit: float = 0.5) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formula import compile_formula, finite
+from ..plans.order_statistics import percentiles
 
 INF = float("inf")
 
@@ -18,54 +17,14 @@ def predictions(df: DataFrame, formulas: dict[str, str], variables: dict[str, Co
     return df.select(*keep, F.col(target).cast("double").alias("truth"), F.inline(made))
 
 
-#: Groups of so few values are looked through whole; of others only a bracket around each rank.
-SMALL_GROUP = 2000
-_ACCURACY, _AROUND = 10_000, 7e-4
-
-
-def exact_percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, tuple[float, ...]]], moments: dict[str, Column]) -> DataFrame:
-    """Rows (by..., moments..., <name> array of percentiles) of wanted: name -> (column, shares); interpolated, nulls left out.
-
-    The first scan takes the moments and brackets each rank between two values, with bounded memory;
-    the second counts what lies below a bracket and gathers what lies inside, about 0.14 % of a
-    group for each share. Values that very many rows have are counted, not gathered.
-    """
-    places = [(name, c, p, f"{name}_{i}") for name, (c, shares) in wanted.items() for i, p in enumerate(shares)]
-    near = {n: F.percentile_approx(c, [max(0.0, p - _AROUND), min(1.0, p + _AROUND)], _ACCURACY) for _, c, p, n in places}
-    ends = {f"{name}_ends": F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")) for name, (c, _) in wanted.items()}
-    first = rows.groupBy(*by).agg(*(m.alias(k) for k, m in moments.items()), *(c.alias(f"{k}_near") for k, c in near.items()), *(c.alias(k) for k, c in ends.items()))
-    few = lambda name: F.col(f"{name}_ends")["n"] <= SMALL_GROUP
-    spans = {f"{n}_{side}": F.when(few(name), F.col(f"{name}_ends")[side]).otherwise(F.col(f"{n}_near")[i]) for name, _, _, n in places for i, side in enumerate(("lo", "hi"))}
-    first = first.withColumns(spans)
-    keys = {k: f"__by_{i}" for i, k in enumerate(by)}
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(v)) for k, v in keys.items())) if by else F.lit(True)
-    # one row for each group of the result
-    j = rows.join(F.broadcast(first.withColumnsRenamed(keys)), same)
-    found = {}
-    for _, c, _, n in places:
-        v, lo, hi = F.col(c), F.col(f"{n}_lo"), F.col(f"{n}_hi")
-        found |= {f"{n}_below": F.count_if(v < lo), f"{n}_at": F.count_if(v == lo), f"{n}_in": F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v)))}
-    carried = [*moments, *(f"{name}_ends" for name in wanted), *spans]
-    out = j.groupBy(*by).agg(*(F.first(c).alias(c) for c in carried), *(c.alias(k) for k, c in found.items()))
-
-    def pick(n: str, k: Column) -> Column:
-        k = k - F.col(f"{n}_below")
-        inside = k - F.col(f"{n}_at")
-        return F.when(inside < 0, F.col(f"{n}_lo")).when(inside < F.size(f"{n}_in"), F.get(f"{n}_in", inside.cast("int"))).otherwise(F.col(f"{n}_hi"))
-
-    def value(name: str, p: float, n: str) -> Column:
-        at = (F.col(f"{name}_ends")["n"] - 1) * F.lit(p)
-        low, high = pick(n, F.floor(at)), pick(n, F.ceil(at))
-        return F.when(F.col(f"{name}_ends")["n"] > 0, low + (high - low) * (at - F.floor(at)))
-
-    return out.select(*by, *moments, *(F.array(*(value(name, p, n) for m, _, p, n in places if m == name)).alias(name) for name in wanted))
+_ACCURACY = 10_000
 
 
 def error_metrics(df: DataFrame, by: list[str], exact: bool = True) -> DataFrame:
     """Rows (by..., n, n_finite, nonfinite_ratio, n_relative, rmse, relative_error_median, _p75, _p90, rmsre, max_relative_error, relative_rmse, normalized_rmse).
 
-    df has truth and pred. All errors are infinite if fewer than max(3, n / 2) pairs are finite.
-    exact=False takes approximate percentiles in one scan.
+    df has truth and pred. All errors are infinite if fewer than max(3, n / 2) pairs are finite, the relative
+    ones also if fewer than that have a truth other than zero. exact=False takes approximate percentiles.
     """
     ok = finite(F.col("pred")) & finite(F.col("truth"))
     diff = F.when(ok, F.col("pred") - F.col("truth"))
@@ -78,17 +37,18 @@ def error_metrics(df: DataFrame, by: list[str], exact: bool = True) -> DataFrame
     }
     wanted = {"q": ("__r", (0.5, 0.75, 0.9)), "middle": ("__a", (0.5,))}
     if exact:
-        a = exact_percentiles(rows, by, wanted, moments)
+        a = percentiles(rows, by, wanted, moments)
     else:
         a = rows.groupBy(*by).agg(*(m.alias(k) for k, m in moments.items()), *(F.percentile_approx(c, list(p), _ACCURACY).alias(k) for k, (c, p) in wanted.items()))
     a = a.withColumn("middle", F.col("middle")[0])
-    enough = F.col("n_finite") >= F.greatest(F.lit(3), F.floor(F.col("n") / 2))
+    required = F.greatest(F.lit(3), F.floor(F.col("n") / 2))
+    enough, relative = F.col("n_finite") >= required, F.col("n_relative") >= required
     scale = F.when(F.col("middle") > 0, F.col("middle")).when(F.col("size") > 0, F.col("size")).otherwise(1.0)
     spread = F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0)
-    # without a relative error the root mean square over the scale decides
     out = {"rmse": F.col("rmse"), "relative_rmse": F.col("rmse") / scale, "normalized_rmse": F.col("rmse") / spread}
-    out |= {"relative_error_median": F.coalesce(F.col("q")[0], out["relative_rmse"]), "relative_error_p75": F.col("q")[1], "relative_error_p90": F.col("q")[2], "rmsre": F.col("rmsre"), "max_relative_error": F.col("worst")}
-    return a.select(*by, "n", "n_finite", (1 - F.col("n_finite") / F.col("n")).alias("nonfinite_ratio"), "n_relative", *(F.when(enough, c).otherwise(F.lit(INF)).alias(k) for k, c in out.items()))
+    out |= {k: F.when(relative, c).otherwise(F.lit(INF)) for k, c in (("relative_error_median", F.col("q")[0]), ("relative_error_p75", F.col("q")[1]), ("relative_error_p90", F.col("q")[2]), ("rmsre", F.col("rmsre")), ("max_relative_error", F.col("worst")))}
+    counted = F.when(enough, F.col("n_relative")).otherwise(0).alias("n_relative")
+    return a.select(*by, "n", "n_finite", (1 - F.col("n_finite") / F.col("n")).alias("nonfinite_ratio"), counted, *(F.when(enough, c).otherwise(F.lit(INF)).alias(k) for k, c in out.items()))
 
 
 def checks(metrics: DataFrame, by: list[str], holdout: float = 0.02, extrapolation: float = 0.03) -> DataFrame:

@@ -44,39 +44,53 @@ def scaling(formula: str, variables: list[str], scaled: list[str], factor: float
     return outcome(good, ratio)
 
 
-def limit(formula: str, target: str, variables: list[str], var: str, to: float = 0.0, tolerance: float = 1e-3) -> Column:
-    """As var goes to a value, y goes to the target formula: the relative errors at three probes shrink, and end small or fall by half each time."""
-    base = at(variables)
-    errors = []
-    for share in (1.0, 0.25, 0.0625):
-        point = base | {var: F.lit(to) + (base[var] - to) * share}
-        errors.append(relative(compile_formula(formula, point), compile_formula(target, point)))
-    down = (errors[1] <= errors[0]) & (errors[2] <= errors[1])
-    small = (F.least(*errors) <= tolerance) | ((errors[1] <= errors[0] / 2) & (errors[2] <= errors[1] / 2))
-    return outcome(down & small, errors[2])
-
-
-def monotonic(formula: str, variables: list[str], var: str, increasing: bool = True, samples: int = 9, least: float = 1e-6) -> Column:
-    """y only rises (falls) over samples of var: the sign of each step of the probes, and the whole change."""
+def limit(formula: str, target: str, variables: list[str], var: str, to: float = 0.0, tolerance: float = 1e-3, share: float = 0.1) -> Column:
+    """As var goes to a value, y goes to the target formula: the relative errors at three probes don't rise, and end small or fall by half each time.
+
+    The probes lie at a share of var's range from the value, and at a quarter and a sixteenth of that. Where the target itself is near zero its
+    largest value among the probes measures the error.
+    """
+    base, span = at(variables), F.col(f"{var}_hi") - F.col(f"{var}_lo")
+    side = F.when(base[var] >= to, 1.0).otherwise(-1.0)
+    got, want = [], []
+    for part in (1.0, 4.0, 16.0):
+        point = base | {var: F.lit(to) + side * (span * share / part)}
+        got.append(compile_formula(formula, point))
+        want.append(compile_formula(target, point))
+    largest = F.greatest(*(F.abs(w) for w in want))
+    size = F.when(largest > 0, largest).otherwise(1.0)
+    errors = [relative(g, w, F.when(F.abs(w) > 1e-9 * size, w).otherwise(size)) for g, w in zip(got, want)]
+    down = reduce(Column.__and__, (b <= a + 1e-12 for a, b in zip(errors, errors[1:])))
+    half = reduce(Column.__and__, ((a <= 0) | (b <= a / 2) for a, b in zip(errors, errors[1:])))
+    good = (span > 0) & reduce(Column.__and__, map(finite, [*got, *want]))
+    return outcome(good & down & ((F.least(*errors) <= tolerance) | half), errors[2])
+
+
+def monotonic(formula: str, variables: list[str], var: str, increasing: bool = True, samples: int = 9, least: float = 1e-3) -> Column:
+    """y only rises (falls) over samples of var: the sign of each step of the probes, and the whole change, both over the largest y."""
     lo, hi, base = F.col(f"{var}_lo"), F.col(f"{var}_hi"), at(variables)
-    ys = []
+    samples, ys = max(3, samples), []
     for i in range(samples):
         t = i / (samples - 1)
         x = F.when((lo > 0) & (hi / lo >= 10), lo * F.pow(hi / lo, F.lit(t))).otherwise(lo + (hi - lo) * t)
         ys.append(compile_formula(formula, base | {var: x}))
-    steps = [((b - a) if increasing else (a - b)) > 1e-12 * F.abs(b) for a, b in zip(ys, ys[1:])]
-    whole = F.abs(ys[-1] - ys[0]) / F.greatest(*(F.abs(y) for y in ys), F.lit(TINY))
-    return outcome(reduce(Column.__and__, steps) & (whole >= least), whole)
+    largest = F.greatest(*(F.abs(y) for y in ys))
+    size = F.when(largest > 0, largest).otherwise(1.0)
+    steps = [((b - a) if increasing else (a - b)) / size > 1e-12 for a, b in zip(ys, ys[1:])]
+    whole = F.abs(ys[-1] - ys[0]) / size
+    return outcome((hi > lo) & reduce(Column.__and__, map(finite, ys)) & reduce(Column.__and__, steps) & (whole >= least), whole)
 
 
 def sign(formula: str, variables: list[str], expected: str = "positive", levels: int = 4, most: int = 512, tolerance: float = 0.0) -> Column:
-    """The share of finite points of a grid over all variables, of at most `most` points, where y has the expected sign."""
+    """The share of finite points where y has the expected sign: the middle and a grid over all variables by name, of at most `most` points together."""
+    names = sorted(variables)
 
     def y(number: Column) -> Column:
-        digit = {v: F.pmod(F.floor(number / levels**i), F.lit(levels)) / (levels - 1) for i, v in enumerate(reversed(variables))}
-        return compile_formula(formula, {v: inside(F.col(f"{v}_lo"), F.col(f"{v}_hi"), digit[v]) for v in variables})
+        digit = {v: F.pmod(F.floor(number / levels**i), F.lit(levels)) / (levels - 1) for i, v in enumerate(reversed(names))}
+        middle = number < 0
+        return compile_formula(formula, {v: inside(F.col(f"{v}_lo"), F.col(f"{v}_hi"), F.when(middle, 0.5).otherwise(digit[v])) for v in names})
 
-    probes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(min(most, levels ** len(variables)) - 1)), y), finite)
+    probes = F.filter(F.transform(F.sequence(F.lit(-1), F.lit(min(most - 1, levels ** len(names)) - 1)), y), finite)
     hit = {"positive": lambda x: x > 0, "negative": lambda x: x < 0, "nonzero": lambda x: x != 0}[expected]
     share = F.try_divide(F.size(F.filter(probes, hit)), F.size(probes))
     return outcome(share >= 1 - tolerance, share)

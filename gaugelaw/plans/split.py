@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import LOOK_INTO, cuts, hash_number, number
+from .stored import forget, stored
 
 
 def ranges(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -63,15 +64,19 @@ def three_way(df: DataFrame, axis: str, tie: Column, seed: int, extrapolation: f
 def seeded(df: DataFrame, axis: str, tie: Column, seeds: list[int], name: str = "segment", extrapolation: float = 0.15, holdout: float = 0.2) -> DataFrame:
     """df with a segment column for each seed: name if there is one, else name_<seed>; the tails are found once."""
     x = number(F.col(axis))
+    # the search reads the axis and the hash alone, which are computed once
+    narrow = stored(df.select(x.alias("__x"), tie.alias("__t")), "split")
+    nx, nt = F.col("__x"), F.col("__t")
     # the tails' shares are known before the number of rows: one scan counts and brackets both
     at = [max(0.0, min(1.0, share + d)) for share in (extrapolation / 2, 1 - extrapolation / 2) for d in (-5e-4, 5e-4)]
-    first = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(x, at, 20_000).alias("q")).first()
+    first = narrow.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(nx, at, 20_000).alias("q")).first()
     n, q = first["n"], first["q"]
     tail, held = sizes(n, extrapolation, holdout)
-    low, high = cuts(df, x, tie, [min(tail, n), max(0, n - tail)], [(q[0], q[1]), (q[2], q[3])] if q else None)
+    low, high = cuts(narrow, nx, nt, [min(tail, n), max(0, n - tail)], [(q[0], q[1]), (q[2], q[3])] if q else None)
     outside = low.upto(x, tie) | ~high.upto(x, tie)
-    middle, between = df.filter(~outside), max(0, n - 2 * tail)
-    last = {seed: held_out(middle, between, held, tie, seed) for seed in seeds}
+    middle, between = narrow.filter(~(low.upto(nx, nt) | ~high.upto(nx, nt))), max(0, n - 2 * tail)
+    last = {seed: held_out(middle, between, held, nt, seed) for seed in seeds}
+    forget(narrow)
     # the hash stands in the expression once: a filter on the segment is computed with it
     made = {s: F.when(outside, "extrapolation").when(draw_key(tie, s) <= last[s], "holdout").otherwise("train") for s in seeds}
     return df.withColumns({name if len(seeds) == 1 else f"{name}_{s}": c for s, c in made.items()})

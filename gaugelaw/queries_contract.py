@@ -79,7 +79,7 @@ def contract_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = c.select(F.expr("case when c_nationkey = 3 then concat('t', c_custkey div 2) else concat('T', c_custkey) end").alias("task_id"))
     references = ids(o.filter("o_orderpriority = '1-URGENT'"), "concat('T', o_custkey + 5)")
     splits, sealed = ids(o.filter("o_orderstatus = 'F'"), "concat('T', o_custkey)"), ids(o.filter("o_orderstatus = 'P'"), "concat('T', o_custkey)")
-    names = F.expr("case o_orderpriority when '1-URGENT' then 'meta.json' when '2-HIGH' then 'data.csv' when '3-MEDIUM' then 'my_answer.txt' when '4-NOT SPECIFIED' then 'notes.txt' else 'split.json' end")
+    names = F.expr("case o_orderpriority when '1-URGENT' then 'meta.json' when '2-HIGH' then 'data.csv' when '3-MEDIUM' then 'my_answer.txt' when '4-NOT SPECIFIED' then 'notes.txt' when '5-LOW' then element_at(array('split.json', 'ground.csv', 'Labels.csv', 'golden.json', 'expected_formula.txt', 'answers.md'), cast(o_custkey % 6 as int) + 1) end")
     files = o.select(F.expr("concat('T', o_custkey)").alias("task_id"), names.alias("name"), (F.col("o_orderstatus") != "P").alias("readable"))
     return contract.set_findings(tasks, references, files, splits, sealed).groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("first_task"))
 
@@ -105,14 +105,14 @@ ORACLE_SQL = {
       b as (select *, row_number() over (partition by task_id order by line_no, place) as k from e where try_cast(cell as double) is null or not isfinite(try_cast(cell as double))) select task_id, line_no, header[place + 1] as name, cell from b where k <= 5""",
     "contract_set": """with tasks as (select case when c_nationkey = 3 then concat('t', c_custkey // 2) else concat('T', c_custkey) end as task_id from customer),
       r as (select distinct concat('T', o_custkey + 5) as task_id from orders where o_orderpriority = '1-URGENT'), s as (select distinct concat('T', o_custkey) as task_id from orders where o_orderstatus = 'F'), e as (select distinct concat('T', o_custkey) as task_id from orders where o_orderstatus = 'P'),
-      f as (select concat('T', o_custkey) as task_id, case o_orderpriority when '1-URGENT' then 'meta.json' when '2-HIGH' then 'data.csv' when '3-MEDIUM' then 'my_answer.txt' when '4-NOT SPECIFIED' then 'notes.txt' else 'split.json' end as name, o_orderstatus <> 'P' as readable from orders),
+      f as (select concat('T', o_custkey) as task_id, case o_orderpriority when '1-URGENT' then 'meta.json' when '2-HIGH' then 'data.csv' when '3-MEDIUM' then 'my_answer.txt' when '4-NOT SPECIFIED' then 'notes.txt' else ['split.json', 'ground.csv', 'Labels.csv', 'golden.json', 'expected_formula.txt', 'answers.md'][o_custkey % 6 + 1] end as name, o_orderstatus <> 'P' as readable from orders),
       d as (select distinct task_id from tasks),
       x as (select 'error' as severity, 'MISSING_REFERENCE' as code, task_id from d where task_id not in (select task_id from r)
         union all select 'error', 'ORPHAN_REFERENCE', task_id from r where task_id not in (select task_id from d)
         union all select 'error', 'SPLIT_MISSING', task_id from d where task_id not in (select task_id from s)
         union all select 'warn', 'SEALED_MISSING', task_id from d where task_id in (select task_id from s) and task_id not in (select task_id from e)
         union all select 'error', 'DUP_TASK_ID', lower(task_id) from tasks group by lower(task_id) having count(*) > 1
-        union all select 'error', 'LEAK_FILE', task_id from d where task_id in (select task_id from f where name = 'my_answer.txt')
+        union all select 'error', 'LEAK_FILE', task_id from d where task_id in (select task_id from f where name not in ('meta.json', 'data.csv', 'notes.txt', 'split.json'))
         union all select 'error', 'MISSING_META', task_id from d where task_id not in (select task_id from f where name = 'meta.json')
         union all select 'error', 'MISSING_CSV', task_id from d where task_id not in (select task_id from f where name = 'data.csv')
         union all select 'error', 'BAD_JSON', task_id from d where task_id in (select task_id from f where name = 'meta.json' and not readable)

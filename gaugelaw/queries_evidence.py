@@ -164,6 +164,21 @@ def dimension_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.dimension_gate(_formula_tasks(spark, sf_dir)).groupBy("mode", "passed").agg(F.sum("n").alias("tasks"), F.count(F.lit(1)).alias("formulas"))
 
 
+REASONS = ("x*z", "k*(x+z)", "k*sin(x)", "k*x", "abs(x)", "x**-1", "x**2", "x**(1/0)", "x**1e400", "x*w", "-" * 1500 + "x", "x*(z", "c*x")
+
+
+def dimension_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the dimension gate passes, fails or skips: parameters without and with a unit, unknown units, exponents, formulas that are none."""
+    formula = F.element_at(F.array(*map(F.lit, REASONS)), (F.col("p_partkey") % len(REASONS) + 1).cast("int"))
+    x = F.element_at(F.array(*map(F.lit, ("m", "s", "1", "parsec"))), (F.col("p_size") % 4 + 1).cast("int"))
+    y = F.element_at(F.array(F.lit("m*s"), F.lit(None), F.lit("m"), F.lit("cubit"), F.lit("m^2")), (F.substring("p_brand", 7, 1).cast("int") % 5 + 1))
+    units = F.create_map(F.lit("x"), x, F.lit("z"), F.lit("s"), F.lit("c"), F.lit("s"), F.lit("y"), y)
+    units = F.when(F.col("p_retailprice") < 950, F.create_map().cast("map<string,string>")).otherwise(F.map_filter(units, lambda k, v: v.isNotNull()))
+    free = F.when(formula.rlike("[kc]"), F.array(F.lit("k"), F.lit("c")))
+    found = gates.dimension_gate(_t(spark, sf_dir, "part").select(formula.alias("formula"), units.alias("units"), free.alias("free")))
+    return found.groupBy(F.when(F.length("formula") > 100, "deep").otherwise(F.col("formula")).alias("formula"), "mode", "passed", "reason").agg(F.sum("n").alias("tasks"))
+
+
 def spoilt_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tasks after the unit of x is spoilt: where the gate, which passed strictly before, catches it and where it misses it."""
     tasks = _formula_tasks(spark, sf_dir)
@@ -284,10 +299,19 @@ ORACLE_SQL = {
       g as (select candidate, segment, case when count(v) >= greatest(3, floor(count(*) / 2)) then quantile_cont(abs(v - y) / abs(y), 0.5) else 'inf'::double end as e, 1 - count(v) / count(*) as nonfinite from x group by all),
       c as (select candidate, segment as name, e <= case segment when 'holdout' then 0.02 else 0.03 end and (segment = 'holdout' or nonfinite < 0.1) as ok, case segment when 'holdout' then 4 else 5 end as ord, e from g union all select candidate, 'expression', false, 2, null from bad)
       select candidate, case when bool_and(ok) then 'accepted' else 'rejected' end as verdict, min_by(name, ord) filter (not ok) as first_failed, round(max(e) filter (name = 'holdout'), 6) as error from c group by candidate""",
+    # each formula as its exponents of m and s where x is so, what it needs of x, and whether it is a formula at all
+    "dimension_reasons": """with t as (select p_partkey % 13 as f, p_size % 4 as x, cast(substr(p_brand, 7, 1) as int) % 5 as y, p_retailprice < 950 as bare from part),
+      g as (select *, case when bare then 'no-units' when x = 3 then 'unknown-unit' when f in (9, 10, 11) then 'unsafe-expression' when f in (5, 7, 8) or (f = 1 and x <> 1) or (f in (2, 4) and x <> 2) then 'dimension-mismatch'
+          when y in (1, 3) then 'unknown-y-unit' when f in (1, 2, 3) then 'free-parameters' end as reason,
+        case f when 6 then 2 when 4 then 0 else 1 end * case x when 0 then 1 else 0 end as m, case f when 6 then 2 when 4 then 0 else 1 end * case x when 1 then 1 else 0 end + case when f in (0, 12) then 1 else 0 end as s,
+        case y when 4 then 2 else 1 end as ym, case y when 0 then 1 else 0 end as ys from t),
+      r as (select f, coalesce(reason, case when m = ym and s = ys then 'consistent' else 'dimension-mismatch' end) as reason from g)
+      select ['x*z', 'k*(x+z)', 'k*sin(x)', 'k*x', 'abs(x)', 'x**-1', 'x**2', 'x**(1/0)', 'x**1e400', 'x*w', 'deep', 'x*(z', 'c*x'][f + 1] as formula, case when reason in ('no-units', 'unknown-unit', 'unknown-y-unit') then 'skipped' when reason = 'free-parameters' then 'structural' else 'strict' end as mode,
+        reason not in ('unsafe-expression', 'dimension-mismatch') as passed, reason, cast(count(*) as bigint) as tasks from r group by all""",
     "dimension_gate": """with t as (select cast(substr(p_brand, 7, 1) as int) % 5 + 1 as f, p_size % 3 as x, p_size % 4 as y from part),
       xs(x, m, kg, s) as (values (0, 1, 0, 0), (1, 1, 1, -2), (2, 0, 0, 1)), ys(y, ym, ykg, ys) as (values (0, 1, 0, -1), (1, 1, 0, 1), (3, 1, 0, 0)),
       d as (select f, t.x, t.y, m, kg, s + case f when 1 then -1 when 2 then 1 else 0 end as s, f <> 3 or (m = 0 and kg = 0 and s = 1) as adds, ym, ykg, ys from t join xs on xs.x = t.x left join ys on ys.y = t.y),
-      j as (select f, x, y, case when ym is null then 'skipped' when f = 4 then 'structural' else 'strict' end as mode, ym is null or f = 4 or (adds and m = ym and kg = ykg and s = ys) as passed from d)
+      j as (select f, x, y, case when not adds then 'strict' when ym is null then 'skipped' when f = 4 then 'structural' else 'strict' end as mode, adds and (ym is null or f = 4 or (m = ym and kg = ykg and s = ys)) as passed from d)
       select mode, passed, cast(count(*) as bigint) as tasks, cast(count(distinct (f, x, y)) as bigint) as formulas from j group by mode, passed""",
 }
 QUERIES = {n: globals()[n] for n in ORACLE_SQL}

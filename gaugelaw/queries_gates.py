@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import gates, scale
 from .operators.gates import Candidate
+from .plans.stored import stored
 from .queries_law import LAW, SEG, _box, columns, segments
 
 UNITS = {"p": "N", "d": "1", "t": "-", "q": "m", "y": "kg*m/s^2"}
@@ -35,7 +36,8 @@ def _specs() -> dict[str, list]:
 
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.verify(segments(spark, sf_dir), CANDIDATES, columns("pdtq"), UNITS, _box(spark, sf_dir), _specs())
+    seg = stored(segments(spark, sf_dir).select(*"pdtqy", "segment"), "segments")
+    return gates.verify(seg, CANDIDATES, columns("pdtq"), UNITS, _box(spark, sf_dir), _specs())
 
 
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ s as (select candidate, sum(x*x) as ff, sum(x*y) as fy, sum(y*y) as yy, count(*)
 k as (select candidate, fy/ff as k, sqrt(greatest(yy - fy/ff*fy, 0) / n) / sd as e from s),
 fits as (select candidate, 3 as ord, 'fit' as name, e <= 0.5 as passed, e as value, cast(null as varchar) as mode from k),
 err as (select candidate, segment, x * coalesce(k, 1) as x, y, case when y <> 0 then abs(x * coalesce(k, 1) - y) / abs(y) end as r from shape left join k using (candidate) where segment <> 'train' and coalesce(e <= 0.5, true)),
-gate as (select candidate, segment, case when count(x) >= greatest(3, floor(count(*) / 2)) then quantile_cont(r, 0.5) else 'inf'::double end as v, 1 - count(x) / count(*) as nonfinite from err group by all),
+gate as (select candidate, segment, case when count(r) >= greatest(3, floor(count(*) / 2)) then quantile_cont(r, 0.5) else 'inf'::double end as v, 1 - count(x) / count(*) as nonfinite from err group by all),
 errors as (select candidate, case segment when 'holdout' then 4 else 5 end as ord, segment as name, v <= case segment when 'holdout' then 0.02 else 0.03 end and (segment = 'holdout' or nonfinite < 0.1) as passed, v as value, cast(null as varchar) as mode from gate),
 box as (select min(p) as p0, max(p) as p1, min(d) as d0, max(d) as d1, min(t) as t0, max(t) as t1 from law),
 probe as (select i, p0 * pow(p1 / p0, 0.5) as pm, d0 + (d1 - d0) * 0.5 as dm, t0 + (t1 - t0) * 0.5 as tm, case when p1 / p0 >= 10 then p0 * pow(p1 / p0, i / 8.0) else p0 + (p1 - p0) * (i / 8.0) end as pi, d0 + (d1 - d0) * (i / 8.0) as di from box, range(0, 9) r(i)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.formula import compile_formula, normalise
 from .operators import fit, metrics, scale
 from .plans import split
+from .plans.stored import stored
 
 VARIABLES = {"p": F.col, "d": F.col, "t": F.col}
 LAW = "p*(1-d)*(1+t)"
@@ -53,19 +54,22 @@ def segments(spark: SparkSession, sf_dir: str, seed: int = 7) -> DataFrame:
     return split.three_way(laws(spark, sf_dir), "p", F.col("tie"), seed)
 
 
-METRIC_SQL = """select {by}, cast(count(*) as bigint) as n, cast(count(r) as bigint) as n_relative, round(sqrt(avg(df * df)), 4) as rmse, round(coalesce(quantile_cont(r, 0.5), 'inf'::double), 8) as relative_error_median,
-  1 - count(df) / count(*) as nonfinite_ratio, round(coalesce(quantile_cont(r, 0.75), 'inf'::double), 8) as relative_error_p75, round(sqrt(avg(r * r)), 8) as rmsre, round(sqrt(avg(df * df)) / quantile_cont(abs(tt), 0.5), 8) as relative_rmse,
-  round(coalesce(quantile_cont(r, 0.9), 'inf'::double), 8) as relative_error_p90, round(coalesce(max(r), 'inf'::double), 8) as max_relative_error, round(sqrt(avg(df * df)) / stddev_pop(tt), 8) as normalized_rmse"""
+METRIC_SQL = """select {by}, cast(count(*) as bigint) as n, cast(case when count(df) >= greatest(3, floor(count(*) / 2)) then count(r) else 0 end as bigint) as n_relative, 1 - count(df) / count(*) as nonfinite_ratio, """ + ", ".join(
+    f"round(case when count({c}) >= greatest(3, floor(count(*) / 2)) then {e} else 'inf'::double end, {d}) as {n}" for n, c, d, e in (
+        ("rmse", "df", 4, "sqrt(avg(df * df))"), ("relative_error_median", "r", 8, "quantile_cont(r, 0.5)"), ("relative_error_p75", "r", 8, "quantile_cont(r, 0.75)"), ("relative_error_p90", "r", 8, "quantile_cont(r, 0.9)"), ("rmsre", "r", 8, "sqrt(avg(r * r))"),
+        ("max_relative_error", "r", 8, "max(r)"), ("relative_rmse", "df", 8, "sqrt(avg(df * df)) / case when quantile_cont(abs(tt), 0.5) > 0 then quantile_cont(abs(tt), 0.5) when sqrt(avg(tt * tt)) > 0 then sqrt(avg(tt * tt)) else 1 end"),
+        ("normalized_rmse", "df", 8, "sqrt(avg(df * df)) / case when stddev_pop(tt) > 0 then stddev_pop(tt) else 1 end")))
 PRED_SQL = """pred as (select flag, segment, candidate, y, case candidate when 'law' then p*(1-d)*(1+t) when 'no_tax' then p*(1-d) when 'no_discount' then p*(1+t) when 'wrong_power' then p*pow(1-d,2)*(1+t)
   when 'inverse_tax' then p*(1-d)/(1+t) when 'log_price' then ln(p)*(1-d) end as x from seg, (values ('law'),('no_tax'),('no_discount'),('wrong_power'),('inverse_tax'),('log_price'),('undefined')) c(candidate)),
 err as (select *, x - y as df, case when x is not null then y end as tt, case when x is not null and y <> 0 then abs(x - y) / abs(y) end as r from pred)"""
-GATE_SQL = """gate as (select candidate, segment, case when count(df) >= greatest(3, floor(count(*) / 2)) then quantile_cont(r, 0.5) else 'inf'::double end as v, 1 - count(df) / count(*) as nonfinite from err where segment <> 'train' group by all),
+GATE_SQL = """gate as (select candidate, segment, case when count(r) >= greatest(3, floor(count(*) / 2)) then quantile_cont(r, 0.5) else 'inf'::double end as v, 1 - count(df) / count(*) as nonfinite from err where segment <> 'train' group by all),
 chk as (select *, v <= case segment when 'holdout' then 0.02 else 0.03 end and (segment = 'holdout' or nonfinite < 0.1) as ok, case segment when 'holdout' then 1 else 2 end as ord from gate)"""
 
 
 def _measured(spark: SparkSession, sf_dir: str, by: list[str], formulas: dict[str, str] = CANDIDATES) -> DataFrame:
-    seg = segments(spark, sf_dir)
-    return metrics.error_metrics(metrics.predictions(seg, formulas, columns("pdtq"), [c for c in by if c != "candidate"]), by)
+    keep = [c for c in by if c != "candidate"]
+    seg = stored(segments(spark, sf_dir).select("p", "d", "t", "q", "y", *keep), "segments")
+    return metrics.error_metrics(metrics.predictions(seg, formulas, columns("pdtq"), keep), by)
 
 
 def law_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +78,14 @@ def law_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("candidate", "segment", "n", "n_relative", F.round("rmse", 4).alias("rmse"), "nonfinite_ratio", *(F.round(c, 8).alias(c) for c in ("relative_error_median", "relative_error_p75", "relative_error_p90", "max_relative_error", "rmsre", "relative_rmse", "normalized_rmse")))
 
 
+def sparse_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that are mostly zero: few relative errors, all right, must not let a formula through whose other errors are large."""
+    rows = laws(spark, sf_dir).select("flag", "p", F.when(F.col("q") == 7, F.col("p")).otherwise(0.0).alias("y"))
+    made = {"price": "p", "fifty": "p*0 + 50", "none": "log(0-p)"}
+    m = metrics.error_metrics(metrics.predictions(rows, made, columns("p"), ["flag"]), ["candidate", "flag"])
+    return m.select("candidate", "flag", "n", "n_finite", "n_relative", "nonfinite_ratio", *(F.round(c, 8).alias(c) for c in ("relative_error_median", "max_relative_error", "rmse")), (F.col("relative_error_median") <= 0.02).alias("passed"))
+
+
 def verify_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The holdout and extrapolation gates over all candidates, and the verdict on each."""
     return metrics.verdicts(metrics.checks(_measured(spark, sf_dir, ["candidate", "segment"]), ["candidate"]), ["candidate"])
@@ -88,7 +100,7 @@ def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seed_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the law and a mutant under several draws of the held-out rows."""
-    base = split.seeded(laws(spark, sf_dir), "p", F.col("tie"), list(SEEDS))
+    base = stored(split.seeded(laws(spark, sf_dir), "p", F.col("tie"), list(SEEDS)).select("p", "d", "t", "y", *(f"segment_{s}" for s in SEEDS)), "segments")
     each = F.array(*(F.struct(F.lit(s).alias("seed"), F.col(f"segment_{s}").alias("segment")) for s in SEEDS))
     parts = base.select("p", "d", "t", "y", F.inline(each))
     rows = metrics.predictions(parts, {k: CANDIDATES[k] for k in ("law", "no_tax")}, columns("pdt"), ["seed", "segment"])
@@ -161,6 +173,10 @@ SCALE_CHECKS = lambda: {
     "invariance": scale.scaling("p/q*(1-d)", list("pdq"), ["p", "q"], 3.0, 0.0),
     "limit_no_discount": scale.limit(LAW, "p*(1+t)", list("pdt"), "d"),
     "limit_wrong": scale.limit(LAW, "p", list("pdt"), "d"),
+    "limit_rewritten": scale.limit("p*(1+t) - d*p*(1+t)", LAW, list("pdt"), "d"),
+    "limit_of_zero": scale.limit("d*p + 1e-12*p", "d*p - d*p", list("pd"), "d"),
+    "monotonic_flat": scale.monotonic("1000 + 0.01*d", ["d"], "d"),
+    "sign_in_the_middle": scale.sign("(p - 10490)**2 + d - 0.05", list("pd")),
     "monotonic_price": scale.monotonic(LAW, list("pdt"), "p"),
     "monotonic_discount": scale.monotonic(LAW, list("pdt"), "d", increasing=False),
     "monotonic_wrong": scale.monotonic("(d-0.04)**2", ["d"], "d"),
@@ -196,18 +212,22 @@ def _scale_sql() -> str:
         rows.append(f"select '{name}' as name, abs(({y1}) / ({y0}) - pow({factor}, {exponent})) / pow({factor}, {exponent}) <= 1e-4 and sign({y0}) = sign({y1}) as passed, ({y1}) / ({y0}) as value from box")
 
     def limit(name: str, f: str, target: str) -> None:
-        e = [f"abs(({_sql(f, **mid | {'d': f'({mid["d"]}) * {s}'})}) - ({_sql(target, **mid | {'d': f'({mid["d"]}) * {s}'})})) / abs({_sql(target, **mid | {'d': f'({mid["d"]}) * {s}'})})" for s in (1.0, 0.25, 0.0625)]
-        rows.append(f"select '{name}', e1 <= e0 and e2 <= e1 and (least(e0, e1, e2) <= 1e-3 or (e1 <= e0 / 2 and e2 <= e1 / 2)), e2 from (select {e[0]} as e0, {e[1]} as e1, {e[2]} as e2 from box)")
+        at = [mid | {"d": f"0.1 * (d_hi - d_lo) / {part}"} for part in (1.0, 4.0, 16.0)]
+        pairs = ", ".join(f"{_sql(f, **p)} as g{i}, {_sql(target, **p)} as w{i}" for i, p in enumerate(at))
+        size = "case when greatest(abs(w0), abs(w1), abs(w2)) > 0 then greatest(abs(w0), abs(w1), abs(w2)) else 1 end"
+        errors = ", ".join(f"abs(g{i} - w{i}) / case when abs(w{i}) > 1e-9 * size then abs(w{i}) else size end as e{i}" for i in range(3))
+        rows.append(f"select '{name}', e1 <= e0 + 1e-12 and e2 <= e1 + 1e-12 and (least(e0, e1, e2) <= 1e-3 or ((e0 <= 0 or e1 / e0 <= 0.5) and (e1 <= 0 or e2 / e1 <= 0.5))), e2 from (select {errors} from (select *, {size} as size from (select {pairs} from box)))")
 
     def monotonic(name: str, f: str, v: str, up: int) -> None:
         x = f"case when {v}_lo > 0 and {v}_hi / {v}_lo >= 10 then {v}_lo * pow({v}_hi / {v}_lo, i / 8.0) else {v}_lo + ({v}_hi - {v}_lo) * (i / 8.0) end"
         probes = f"select i, {_sql(f, **mid | {v: x})} as y from box, range(0, 9) r(i)"
-        steps = f"select i, y, {up} * (y - lag(y) over (order by i)) > 1e-12 * abs(y) as good from ({probes})"
-        rows.append(f"select '{name}', bool_and(good) and abs(max_by(y, i) - min_by(y, i)) / max(abs(y)) >= 1e-6, abs(max_by(y, i) - min_by(y, i)) / max(abs(y)) from ({steps})")
+        steps = f"select i, y, {up} * (y - lag(y) over (order by i)) / max(abs(y)) over () > 1e-12 as good from ({probes})"
+        rows.append(f"select '{name}', bool_and(good) and abs(max_by(y, i) - min_by(y, i)) / max(abs(y)) >= 1e-3, abs(max_by(y, i) - min_by(y, i)) / max(abs(y)) from ({steps})")
 
     def sign(name: str, f: str, condition: str) -> None:
         grid = {v: f"case when {v}_lo > 0 then {v}_lo * pow({v}_hi / {v}_lo, {v}i / 3.0) else {v}_lo + ({v}_hi - {v}_lo) * ({v}i / 3.0) end" for v in "pdt"}
-        rows.append(f"select '{name}', avg(case when y {condition} then 1.0 else 0.0 end) >= 1, avg(case when y {condition} then 1.0 else 0.0 end) from (select {_sql(f, **grid)} as y from box, range(0, 4) a(pi), range(0, 4) b(di), range(0, 4) c(ti))")
+        every = f"select {_sql(f, **grid)} as y from box, range(0, 4) a(pi), range(0, 4) b(di), range(0, 4) c(ti) union all select {_sql(f, **mid)} from box"
+        rows.append(f"select '{name}', avg(case when y {condition} then 1.0 else 0.0 end) >= 1, avg(case when y {condition} then 1.0 else 0.0 end) from ({every})")
 
     def symmetry(name: str, f: str) -> None:
         a, b = "least(d_hi, t_hi)", "greatest(d_lo, t_lo)"
@@ -220,6 +240,10 @@ def _scale_sql() -> str:
     scaling("invariance", "p/q*(1-d)", "pq", 3.0, 0.0)
     limit("limit_no_discount", LAW, "p*(1+t)")
     limit("limit_wrong", LAW, "p")
+    limit("limit_rewritten", "p*(1+t) - d*p*(1+t)", LAW)
+    limit("limit_of_zero", "d*p + 1e-12*p", "d*p - d*p")
+    monotonic("monotonic_flat", "1000 + 0.01*d", "d", 1)
+    sign("sign_in_the_middle", "pow(p - 10490, 2) + d - 0.05", "> 0")
     monotonic("monotonic_price", LAW, "p", 1)
     monotonic("monotonic_discount", LAW, "d", -1)
     monotonic("monotonic_wrong", "(d-0.04)**2", "d", 1)
@@ -264,6 +288,10 @@ def formula_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _m = METRIC_SQL.format(by="candidate, segment")
 ORACLE_SQL = {
     "law_metrics": f"{SEG}, {PRED_SQL} {_m} from err where candidate <> 'undefined' group by candidate, segment",
+    "sparse_truth": f"""with {BASE_SQL}, e as (select c as candidate, flag, case when q = 7 then p else 0 end as y, case c when 'price' then p when 'fifty' then 50 end as x from base, (values ('price'), ('fifty'), ('none')) v(c)),
+      a as (select candidate, flag, count(*) as n, count(x) as n_finite, greatest(3, floor(count(*) / 2)) as need, count(x) filter (y <> 0) as n_r, sqrt(avg((x - y) * (x - y))) as s, quantile_cont(abs(x - y) / abs(y), 0.5) filter (y <> 0) as med, max(abs(x - y) / abs(y)) filter (y <> 0) as worst from e group by candidate, flag)
+      select candidate, flag, cast(n as bigint) as n, cast(n_finite as bigint) as n_finite, cast(case when n_finite >= need then n_r else 0 end as bigint) as n_relative, 1 - n_finite / n as nonfinite_ratio, round(case when n_finite >= need and n_r >= need then med else 'inf'::double end, 8) as relative_error_median,
+        round(case when n_finite >= need and n_r >= need then worst else 'inf'::double end, 8) as max_relative_error, round(case when n_finite >= need then s else 'inf'::double end, 8) as rmse, coalesce(n_finite >= need and n_r >= need and med <= 0.02, false) as passed from a""",
     "verify_verdicts": f"{SEG}, {PRED_SQL}, {GATE_SQL} select candidate, case when bool_and(ok) then 'accepted' else 'rejected' end as verdict, min_by(segment, ord) filter (not ok) as first_failed, coalesce(string_agg(segment, ',' order by ord) filter (not ok), '') as failed from chk group by candidate",
     "threshold_grid": f"{SEG}, {PRED_SQL}, {GATE_SQL}, grid as (select cast(round(i * 0.01, 2) as double) as threshold from range(1, 11) r(i)) select threshold, cast(count(candidate) as bigint) as rejected from grid left join gate on segment = 'holdout' and v > threshold group by threshold",
     "seed_flips": f"with {BASE_SQL}, " + ", ".join(split_sql(s, f"_{s}") for s in SEEDS) + ", every as (" + " union all ".join(f"select {s} as seed, segment, p, d, t, y from seg_{s}" for s in SEEDS) + """),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LEAK = r"(?i)(answer|solution|reference|truth|sealed)"
+from .operators.contract import LEAK
+
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,7 +198,7 @@ ORACLE_SQL = {
     "scoring_summary": "select coalesce(lang, 'overall') as lang, cast(count(*) as bigint) as n, cast(count(*) filter (quality = 1) as bigint) as good, cast(count(*) filter (toxic = 1) as bigint) as toxic, round(count(*) filter (quality = 1) / count(*), 6) as rate from labels join documents using (doc_id) group by rollup (lang)",
     "dedup_naming": "with k as (select p_partkey, regexp_replace(concat_ws('_', p_brand, p_type), '[^A-Za-z0-9_]+', '-', 'g') as name, row_number() over (partition by p_brand, p_type order by p_partkey) as k from part) select p_partkey, case when k = 1 then name else name || '-' || k end as name from k",
     "sequence_naming": "select concat_ws('_', strftime(ts, '%Y%m%d'), event_type, lpad(cast(count(*) + 1 as varchar), 4, '0')) as next_name, cast(count(*) as bigint) as used from events group by strftime(ts, '%Y%m%d'), event_type",
-    "leak_names": "select regexp_extract(url, '://([^/?#]*)', 1) as host, cast(count(*) as bigint) as n, cast(count(*) filter (regexp_matches(url, '(?i)(answer|solution|reference|truth|sealed)')) as bigint) as leaking, cast(count(*) filter (regexp_matches(url, '^https?://')) as bigint) as is_url from pages group by 1",
+    "leak_names": "select regexp_extract(url, '://([^/?#]*)', 1) as host, cast(count(*) as bigint) as n, cast(count(*) filter (regexp_matches(url, '(?i)(reference|answer|ground[_-]?truth|ground|solution|truth|label|golden|expected[_-]?formula)')) as bigint) as leaking, cast(count(*) filter (regexp_matches(url, '^https?://')) as bigint) as is_url from pages group by 1",
     "claims": "with d as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b(\\d{3,6})\\b', 1))) as claim from documents) select claim, cast(count(*) as bigint) as n, min(doc_id) as first_doc from d group by claim",
     "props_json": "with e as (select event_type, unnest(json_keys(props)) as key from events) select event_type, key, cast(count(*) as bigint) as n from e group by all",
     "first_failure": "select conv_id, cast(count(*) as bigint) as turns, min(turn) filter (contains(text, '?')) as first_turn, arg_min(role, (turn, role)) filter (contains(text, '?')) as role from conversations group by conv_id",

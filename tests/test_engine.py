@@ -9,7 +9,7 @@ from gaugelaw import registry
 from gaugelaw.functions.formula import FormulaError, compile_formula, parse
 from gaugelaw.functions.units import DimensionError, check_dimension, dimension_of, unit_dimension
 from gaugelaw.operators import metrics
-from gaugelaw.plans import ranking, split
+from gaugelaw.plans import order_statistics, ranking, split
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,7 +23,7 @@ def test_formula_rejects(text):
 
 @pytest.mark.parametrize(
     "text, x, want",
-    [("1/x", 0.0, math.inf), ("-1/x", 0.0, -math.inf), ("x/x", 0.0, math.nan), ("log(x)", 0.0, -math.inf), ("log(x)", -1.0, math.nan), ("sqrt(x)", -1.0, math.nan), ("x**2 + pi", 2.0, 4 + math.pi), ("log10(x)", 100.0, 2.0), ("exp(x)", 1000.0, math.inf), ("+abs(-x)", 3.0, 3.0)],
+    [("1/x", 0.0, math.inf), ("-1/x", 0.0, -math.inf), ("x/x", 0.0, math.nan), ("log(x)", 0.0, -math.inf), ("log(x)", -1.0, math.nan), ("sqrt(x)", -1.0, math.nan), ("x**2 + pi", 2.0, 4 + math.pi), ("log10(x)", 1000.0, 3.0), ("log10(x)", 0.0, -math.inf), ("exp(x)", 1000.0, math.inf), ("+abs(-x)", 3.0, 3.0)],
 )
 def test_formula_ieee(spark, text, x, want):
     got = spark.createDataFrame([(x,)], "x double").select(compile_formula(text, {"x": F.col("x")}).alias("y")).first()["y"]
@@ -66,20 +66,33 @@ def test_cuts(spark, monkeypatch, look_into):
     assert df.filter(got[3].upto(ranking.number(F.col("x")), F.col("tie"))).count() == sum(w <= want[699] for w in want)
 
 
-@pytest.mark.parametrize("small", [0, 2000])
-def test_exact_percentiles(spark, monkeypatch, small):
-    """Against a sort, with hot values, nulls, empty and tiny groups."""
+@pytest.mark.parametrize("bins", [4096, 3])
+def test_exact_percentiles(spark, monkeypatch, bins):
+    """Against a sort: hot values, values of all sizes and signs, neighbouring doubles, infinities, nulls, empty and tiny groups."""
     import numpy as np
 
-    monkeypatch.setattr(metrics, "SMALL_GROUP", small)
+    monkeypatch.setattr(order_statistics, "BINS", bins)
     rng = np.random.default_rng(5)
-    groups = {"even": rng.random(9000), "hot": np.where(rng.random(9000) < 0.7, 0.25, rng.random(9000)), "same": np.full(3000, 7.0), "few": rng.random(7) if small else rng.random(5000), None: rng.random(2500)}
+    groups = {
+        "even": rng.random(3000), "hot": np.where(rng.random(3000) < 0.7, 0.25, rng.random(3000)), "same": np.full(300, 7.0), "few": rng.random(7), "one": np.array([3.0]), "two": np.array([3.0, -1.0]), None: rng.random(500),
+        "wide": 10.0 ** rng.uniform(-300, 300, 2000) * rng.choice([-1, 1, 0], 2000), "near": np.nextafter(1.0, 2.0) + np.arange(400) * 2.0**-52, "below": -rng.random(500) - 5, "tiny": rng.integers(0, 50, 300) * 5e-324,
+    }
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("even", None), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(3)
-    got = {r["g"]: (r["n"], r["p"]) for r in metrics.exact_percentiles(df, ["g"], {"p": ("v", (0.0, 0.5, 0.75, 0.9, 1.0))}, {"n": F.count("v")}).collect()}
+    shares = (0.0, 0.37, 0.5, 0.75, 0.9, 1.0)
+    got = {r["g"]: (r["n"], r["p"], r["m"]) for r in order_statistics.percentiles(df.withColumn("w", -F.col("v")), ["g"], {"p": ("v", shares), "m": ("w", (0.5,))}, {"n": F.count("v")}).collect()}
     for g, xs in groups.items():
-        assert got[g][0] == len(xs) and got[g][1] == pytest.approx(np.quantile(xs, [0, 0.5, 0.75, 0.9, 1]).tolist(), rel=1e-12)
-    assert got["none"] == (0, [None] * 5)
+        assert got[g][0] == len(xs) and got[g][1] == pytest.approx(np.quantile(xs, shares).tolist(), rel=1e-12) and got[g][2][0] == pytest.approx(-np.quantile(xs, 0.5), rel=1e-12)
+    assert got["none"] == (0, [None] * 6, [None])
+    ends = spark.createDataFrame([(float("inf"),), (1.0,), (float("-inf"),), (2.0,), (float("inf"),)], "v double")
+    assert order_statistics.percentiles(ends, [], {"p": ("v", (0.0, 0.25, 0.5, 1.0))}, {}).first()["p"] == [-math.inf, 1.0, 2.0, math.inf]
+
+
+def test_relative_errors_need_enough_points(spark):
+    """Five right predictions of a truth other than zero among a thousand do not pass a formula."""
+    df = spark.range(1000).select(F.when(F.col("id") < 5, 1.0).otherwise(0.0).alias("truth"), F.when(F.col("id") < 5, 1.0).otherwise(50.0).alias("pred"), F.lit("holdout").alias("segment"))
+    m = metrics.error_metrics(df, ["segment"]).first()
+    assert m["relative_error_median"] == m["max_relative_error"] == m["rmsre"] == math.inf and m["n_relative"] == 5 and m["rmse"] < math.inf
 
 
 def test_split_and_gates(spark):
