@@ -75,14 +75,6 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = 1024
             at += n
 
 
-def windows(text: Column, most: int, count: int = 8) -> Column:
-    """A text of at most `most` characters as it is, of a longer one `count` windows spread over it, with as many characters in all."""
-    size = most // count
-    step = (F.length(text) - size) / (count - 1)
-    parts = [F.substr(text, F.floor(step * i).cast("int") + 1, F.lit(size)) for i in range(count)]
-    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *parts))
-
-
 def in_one_task(rows: DataFrame, work: Callable[[Iterator[dict]], object]) -> object:
     """work(rows) in one task, which reads a few rows at a time; its result pickled. rows are a sample with a documented bound; the driver gets the result alone."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Bags, in_one_task, slices, windows
+from ._common import Bags, in_one_task, materialise, slices
 
 UND = "und"
 
@@ -122,25 +122,25 @@ def train(
 
 
 def fit(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, characters: int = 6000, languages: int = 200, id_col: str = "doc_id"
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, sample: int = 6000, id_col: str = "doc_id"
 ) -> Model:
-    """Train on about per_language rows of each language, picked by a hash of id and text.
+    """Train on about per_language rows of each language, or fewer if that would be over `sample` rows in all, picked by a hash of id and text.
 
-    The bound is per_language x languages texts of `characters` characters: of longer texts, windows
-    spread over the whole text are taken. The most frequent `languages` languages are learned. One
-    task holds the sample and trains; the driver gets the model alone. Rows with null text or
-    language don't count, of repeated rows all or none are picked, ties in the hash go by text, and
-    an empty table gives a model that predicts "und".
+    The bound is twice `sample` rows, which all languages share alike; every language that has a row in the sample is learned, and
+    whole texts are read. One task holds the sample, as the distinct n-grams of each text, and trains; the driver gets the model
+    alone. Rows with null text or language don't count, of repeated rows all or none are picked, ties in the hash go by
+    text, and an empty table gives a model that predicts "und".
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
-    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not count:
+    counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return train([])
-    shares = docs.sparkSession.createDataFrame([(r["lang"], int(1e6 * min(1.0, per_language / r["n"]))) for r in count], "lang string, share int")
-    picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share"))  # at most `languages` rows on the other side
-    picked = picked.select(windows(F.col("text"), characters).alias("text"), "lang", "h").orderBy("h", "text").limit(2 * per_language * len(count))
-    return in_one_task(picked, lambda sample: train((r["text"], r["lang"]) for r in sample))
+    share = F.floor(F.least(F.lit(1.0), F.lit(min(per_language, sample / languages)) / F.col("n")) * 1_000_000)
+    picked = rows.join(counts.select("lang", share.alias("share")), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
+    picked = picked.select("text", "lang", "h").orderBy("h", "text").limit(2 * sample)
+    return in_one_task(picked, lambda found: train((r["text"], r["lang"]) for r in found))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -260,6 +260,8 @@ def _table(data: bytes, at: int, h: Header, s: Stream) -> bool:
             s.seek = np.frombuffer(data[place : place + 100], np.uint8).astype(np.int64) * (s.table_bytes or len(data) - at) // 256
         return True
     if data[at + 36 : at + 40] == b"VBRI":
+        if len(data) < at + 62 or not 1 <= int.from_bytes(data[at + 58 : at + 60], "big") <= 4:
+            return False  # no room for a table, or entries that none has
         s.table_bytes, s.table_frames, entries, scale, size, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
         raw = np.frombuffer(data[at + 62 : at + 62 + entries * size], np.uint8)
         raw = raw[: len(raw) // max(1, size) * size].reshape(-1, max(1, size)).astype(np.int64)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -27,6 +28,7 @@ from ._common import slices, text_or_empty
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 NONE = np.int32(2**31 - 1)
+NOWHERE = (int(NONE), -1)
 #: Texts that every normaliser but the identity changes: ligatures, full-width letters, marks that combine, blanks.
 PROBES = ("\ufb01 \uff21 \u00b2 e\u0301", "a  b ", "x\u3000y\tz", "\u2460 \u00c5 \u1e9b\u0323")
 
@@ -91,11 +93,6 @@ class MergeVocabulary:
                 out += self.byte_id[list(chars[-2 - s].encode())].tolist()
         return out
 
-    def _start(self, chunk: str) -> list[int]:
-        """A symbol for each character; one without a piece is -2 less its place."""
-        get = self.ids.get
-        return [get(c, -2 - i) for i, c in enumerate(chunk)]
-
     def encode_rows(self, chunks: list[str]) -> list[list[int]]:
         """Agendas of short chunks as rows of a matrix, merged in rounds."""
         size = np.array([len(c) for c in chunks])
@@ -132,37 +129,44 @@ class MergeVocabulary:
 
     def encode_long(self, chunk: str) -> list[int]:
         """The agenda of one long chunk as a heap over a linked list."""
-        sym = np.array(self._start(chunk), np.int64)
+        points = np.frombuffer(chunk.encode("utf-32-le"), "<u4")
+        sym = np.where(self.of_char[points] >= 0, self.of_char[points], -2 - np.arange(len(points))).astype(np.int32)
         n = len(sym)
-        rank, to = self.pairs(sym[:-1], sym[1:])
-        heap = [(int(rank[i]), i, int(sym[i]), int(sym[i + 1]), int(to[i])) for i in np.flatnonzero(rank < NONE)]
+        rank, _ = self.pairs(sym[:-1], sym[1:])
+        at = np.flatnonzero(rank < NONE)
+        # an entry is a pair's rank and place in one number: ordered like the agenda, and a few bytes
+        heap = (rank[at].astype(np.int64) << 32 | at).tolist()
         heapq.heapify(heap)
-        s, before, after = sym.tolist(), list(range(-1, n - 1)), [*range(1, n), -1]
-        lookup = {}
+        s, before, after = array("i", sym.tobytes()), array("i", range(-1, n - 1)), array("i", [*range(1, n), -1])
+        del points, sym, rank, at
+        lookup: dict[tuple[int, int], tuple[int, int]] = {}
 
-        def push(i: int, j: int) -> None:
+        def pair(i: int, j: int) -> tuple[int, int]:
+            """Rank and merged id of the symbols at i and j."""
             if i < 0 or j < 0 or s[i] < 0 or s[j] < 0:
-                return
-            pair = (s[i], s[j])
-            if pair not in lookup:
-                r, t = self.pairs(np.array(pair[:1]), np.array(pair[1:]))
-                lookup[pair] = int(r[0]), int(t[0])
-            r, t = lookup[pair]
-            if r < NONE:
-                heapq.heappush(heap, (r, i, *pair, t))
+                return NOWHERE
+            key = (s[i], s[j])
+            if key not in lookup:
+                r, t = self.pairs(np.array(key[:1]), np.array(key[1:]))
+                lookup[key] = int(r[0]), int(t[0])
+            return lookup[key]
 
         while heap:
-            _, i, left, right, t = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if s[i] != left or j < 0 or s[j] != right:
+            r, t = pair(i, j)
+            if r != entry >> 32 or r >= NONE:
                 continue  # one of the two has merged meanwhile
             s[i], s[j] = t, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
-            push(before[i], i)
-            push(i, after[i])
-        return self._finish([x for x in s if x != -1], chunk)
+            for left, right in ((before[i], i), (i, after[i])):
+                r, _ = pair(left, right)
+                if r < NONE:
+                    heapq.heappush(heap, r << 32 | left)
+        return self._finish((x for x in s if x != -1), chunk)
 
     def encode_chunks(self, chunks: list[str], wide: int = 40, block: int = 4096) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(chunks)
@@ -200,9 +204,10 @@ class MergeVocabulary:
 class Encoder:
     """Chunks seen by one Python worker, with their ids and their decoded text."""
 
-    def __init__(self, path: str, keep: int = 400_000):
-        self.vocabulary, self.keep = MergeVocabulary(path), keep
+    def __init__(self, path: str, keep_bytes: int = 100_000_000, longest: int = 48):
+        self.vocabulary, self.keep_bytes, self.longest, self.held = MergeVocabulary(path), keep_bytes, longest, 0
         self.seen: dict[str, bytes] = {}
+        self.long: list[str] = []  # chunks that are forgotten after their batch
         self.odd: dict[str, str] = {}  # chunks that decoding does not give back as they were
 
     @staticmethod
@@ -216,12 +221,15 @@ class Encoder:
         return words
 
     def learn(self, chunks: list[list[str]], verify: bool) -> None:
-        new = set().union(*chunks).difference(self.seen)
-        if len(self.seen) + len(new) > self.keep:
+        for c in self.long:
+            del self.seen[c]
+            self.odd.pop(c, None)
+        if self.held > self.keep_bytes:
             self.seen.clear()
             self.odd.clear()
-            new = set().union(*chunks)
-        new = list(new)
+            self.held = 0
+        new = list(set().union(*chunks).difference(self.seen))
+        self.long = [c for c in new if len(c) > self.longest]
         if not new:
             return
         v = self.vocabulary
@@ -236,6 +244,8 @@ class Encoder:
         for c, ids in zip(new, found):
             text, end, at = v.decode(ids), end + 4 * len(ids), end
             self.seen[c] = flat[at:end]
+            if len(c) <= self.longest:
+                self.held += 200 + 4 * len(c) + end - at  # about what an entry takes
             if text != c:
                 if verify and v.library.decode(ids) != text:
                     raise ValueError(f"decoding differs from the sentencepiece library at {c!r}")
@@ -269,7 +279,7 @@ def encode(
     A null text counts as empty: begin and end ids only, decoded to an empty text. Repeated rows
     and repeated ids stay as they are; a null id is kept; an empty table gives an empty one; other
     columns, whatever their names, are not read. Of pairs with equal scores (ties) the leftmost merges
-    first. A very long text is held whole; one without any blank is one chunk, whose heap takes a few
+    first. A very long text is held whole; one without any blank is one chunk, whose agenda takes some
     hundred bytes a character. model is the path of a merge-type model file that every executor has.
     verify: "chunks" checks each new chunk against the library, "texts" whole texts too, "none" nothing.
     """

@@ -317,7 +317,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     starts = repeated_starts(docs, length, text_col, words=words).withColumn("by_words", F.lit(False))
     if words:
         starts = starts.union(repeated_starts(docs, words, text_col, width=8).withColumn("by_words", F.lit(True)))
-    starts = starts.groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last", "by_words")).alias("starts"))
+    # written, so that the join can split a text with very many copies
+    starts = materialise(starts.groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last", "by_words")).alias("starts")), "starts")
     text = text_or_empty(text_col)
     rows = docs.select(*columns, text.alias("__text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")).join(starts, ["h1", "h2"], "left")
 

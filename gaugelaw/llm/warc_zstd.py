@@ -6,7 +6,9 @@ takes such a table or ``spark.read.format("binaryFile")`` over ``.warc.zst`` fil
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -52,14 +54,16 @@ def make_record(page_id: object, url: str | None, payload: bytes, digest: str, k
     """One record; a revisit has the HTTP headers of its response but no body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    # a header has one line: what would end it is percent-encoded
-    uri = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    # a header has one line: what would end it is percent-encoded, and then a header of its own has the whole URL
+    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
+    if uri != (url or ""):
+        lines.append(f"X-Page-URL: {json.dumps(url)}")
     if kind == "revisit":
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -156,29 +160,85 @@ def read_archive(data: bytes, most: int = 1 << 31) -> Iterator[tuple[int, bytes]
         at = end
 
 
+#: Kinds of records whose block is an HTTP message; the others' block is the payload.
+HTTP_TYPES = ("response", "revisit", "request")
+KNOWN_TYPES = (*HTTP_TYPES, "warcinfo", "resource", "metadata", "conversion", "continuation")
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by their names in lower case."""
+    return {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The body of a message that was sent in chunks."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("a chunk has no length")
+        size = int(body[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        if len(out[-1]) < size:
+            raise ValueError("a chunk is cut off")
+        at = end + 4 + size
+
+
+def _digest_fits(told: str, data: bytes) -> bool | None:
+    """Whether a labelled digest, in hexadecimal or base 32, is that of data; None if its algorithm is not known here."""
+    name, _, value = told.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    found = hashlib.new(name, data).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
 def parse_record(record: bytes) -> dict:
-    """Headers, HTTP headers and payload of a record; "error" names what is wrong with it, or is None."""
+    """Headers by lower-case names, and payload of a record of any kind; "error" names what is wrong with it, or is None.
+
+    The payload is the HTTP body of a response (without its chunks, if it was sent in these), request or revisit, and the whole block
+    of other records. digest is that of the header, without the label sha256. Digests of unknown algorithms are not compared.
+    """
     head, split, rest = record.partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8", "replace").split("\r\n")
-    headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-    block = rest[:-4]
-    http, http_split, payload = block.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in http.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    length, digest = fields.get("Content-Length", ""), headers.get("WARC-Payload-Digest", "").removeprefix("sha256:")
-    error = None
+    headers = _fields(lines)
+    kind, block = headers.get("warc-type", "").lower(), rest[:-4]
+    is_http = kind in HTTP_TYPES and headers.get("content-type", "application/http").lower().startswith("application/http")
+    http, http_split, body = block.partition(b"\r\n\r\n") if is_http else (b"", b"\r\n\r\n", block)
+    fields = _fields(http.decode("utf-8", "replace").split("\r\n")[1:])
+    length, told = fields.get("content-length", ""), headers.get("warc-payload-digest", "")
+    payload, error = body, None
     if not version.startswith("WARC/1.") or not split:
         error = "no version line or header end"
-    elif missing := [k for k in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length") if not headers.get(k)]:
+    elif missing := [k for k in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length") if not headers.get(k.lower())]:
         error = f"missing {', '.join(missing)}"
-    elif rest[-4:] != b"\r\n\r\n" or headers["Content-Length"] != str(len(block)):
+    elif kind not in KNOWN_TYPES:
+        error = f"unknown kind of record: {kind}"
+    elif rest[-4:] != b"\r\n\r\n" or headers["content-length"] != str(len(block)):
         error = "block length differs from Content-Length"
-    elif not http_split or not length.isdigit():
+    elif (block_digest := headers.get("warc-block-digest")) and _digest_fits(block_digest, block) is False:
+        error = "block differs from its digest"
+    elif not http_split:
         error = "no HTTP header"
-    elif headers["WARC-Type"] == "response" and (len(payload) != int(length) or hashlib.sha256(payload).hexdigest() != digest):
-        error = "payload differs from its length or digest"
-    elif headers["WARC-Type"] == "revisit" and (payload or not headers.get("WARC-Refers-To")):
-        error = "revisit with a payload or without the record it refers to"
-    return {"headers": headers, "payload": payload, "payload_bytes": int(length) if length.isdigit() else None, "digest": digest, "error": error}
+    elif kind == "revisit":
+        if body or not (headers.get("warc-refers-to") or headers.get("warc-refers-to-target-uri")):
+            error = "revisit with a payload or without the record it refers to"
+    elif is_http and kind == "response":
+        if fields.get("transfer-encoding", "").lower() == "chunked":
+            try:
+                payload = _unchunked(body)
+            except ValueError as e:
+                error = str(e)
+        elif length.isdigit() and len(body) != int(length):
+            error = "payload differs from its length or digest"
+        # some writers take the digest before the chunks are put together
+        if error is None and told and _digest_fits(told, payload) is False and _digest_fits(told, body) is False:
+            error = "payload differs from its length or digest"
+    size = int(length) if kind == "revisit" and length.isdigit() else None if kind == "revisit" else len(payload)
+    return {"headers": headers, "payload": payload, "payload_bytes": size, "digest": told.removeprefix("sha256:"), "error": error}
 
 
 def read(archives: DataFrame, name_col: str = "archive", content_col: str = "content", id_type: str = "long") -> DataFrame:
@@ -198,8 +258,8 @@ def read(archives: DataFrame, name_col: str = "archive", content_col: str = "con
             for offset, record in read_archive(data):
                 r = parse_record(record)
                 h = r["headers"]
-                url = h.get("WARC-Target-URI", "").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                yield name, offset, number(h.get("X-Page-ID")), url, h.get("WARC-Type"), r["payload_bytes"], r["digest"], number(h.get("X-Refers-To-Page-ID")), r["payload"], r["error"]
+                url = json.loads(h["x-page-url"]) if "x-page-url" in h else h.get("warc-target-uri", "")
+                yield name, offset, number(h.get("x-page-id")), url, h.get("warc-type"), r["payload_bytes"], r["digest"], number(h.get("x-refers-to-page-id")), r["payload"], r["error"]
         except (ValueError, zstandard.ZstdError) as e:
             yield name, None, None, None, None, None, None, None, None, f"broken archive: {e}"
 

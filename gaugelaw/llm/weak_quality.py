@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Bags, in_one_task, slices, text_or_empty, windows
+from ._common import Bags, in_one_task, slices, text_or_empty
 
 LINE = re.compile(r"[\n.]+")
 #: Words among which distinct ones are counted.
@@ -195,12 +195,10 @@ def vote(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) ->
     return docs.select(text_or_empty(text_col).alias("__text"), *keep).mapInArrow(run, f"{kinds}votes string")
 
 
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 4000, characters: int = 6000) -> tuple[LabelModel, Scorer]:
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = 4000) -> tuple[LabelModel, Scorer]:
     """The label model over all documents' votes, and a scorer from about `sample` texts, picked by a hash of id and text.
 
-    The bound is 2 x sample texts of `characters` characters: of longer texts, windows spread over
-    the whole text train the scorer, while their votes are those of the whole text. One task holds
-    the sample and trains; the driver gets the models and the counted vote patterns, at most 3 to
+    The bound is 2 x sample rows, whose whole texts train the scorer. One task holds the sample and trains; the driver gets the models and the counted vote patterns, at most 3 to
     the number of labellers. Of repeated rows all or none are picked; ties in the hash go by text.
     Without a text that has words, scores are the label model's posteriors; an empty table gives
     the labellers' start values.
@@ -209,9 +207,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     model = fit_labels(patterns)
     n = max(1, sum(patterns.values()))
     rows = docs.select(text_or_empty(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).filter(F.pmod("h", F.lit(1_000_000)) < int(1e6 * min(1.0, sample / n)))
-    voted = vote(rows.select(windows(F.col("text"), characters).alias("part"), "text", "h"), "text", keep=("part", "h"))
-    picked = voted.filter("part <> ''").orderBy("h", "part").limit(2 * sample)
-    return model, in_one_task(picked, lambda found: fit_scorer((r["part"], model.of(r["votes"])) for r in found))
+    voted = vote(rows.select(F.col("text").alias("whole"), "h"), "whole", keep=("whole", "h"))
+    picked = voted.filter("whole <> ''").orderBy("h", "whole").limit(2 * sample)
+    return model, in_one_task(picked, lambda found: fit_scorer((r["whole"], model.of(r["votes"])) for r in found))
 
 
 def classify(docs: DataFrame, models: tuple[LabelModel, Scorer], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
