@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_archive, queries_contract, queries_evidence, queries_gates, queries_law, queries_records, queries_series, queries_sources, queries_text
+from . import queries_archive, queries_batch, queries_contract, queries_evidence, queries_gates, queries_law, queries_records, queries_series, queries_sources, queries_specs, queries_text
 
-QUERIES = queries_law.QUERIES | queries_records.QUERIES | queries_series.QUERIES | queries_archive.QUERIES | queries_gates.QUERIES | queries_contract.QUERIES | queries_evidence.QUERIES | queries_text.QUERIES | queries_sources.QUERIES
-ORACLE_SQL = queries_law.ORACLE_SQL | queries_records.ORACLE_SQL | queries_series.ORACLE_SQL | queries_archive.ORACLE_SQL | queries_gates.ORACLE_SQL | queries_contract.ORACLE_SQL | queries_evidence.ORACLE_SQL | queries_text.ORACLE_SQL | queries_sources.ORACLE_SQL
+MODULES = (queries_law, queries_records, queries_series, queries_archive, queries_gates, queries_contract, queries_evidence, queries_text, queries_sources, queries_batch, queries_specs)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
