@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.running import rank_within, running_sum
+
 #: What the name of a run says about where it comes from, first match first.
 SOURCES = (("agent", r"^agent-"), ("cli", r"^cli-"), ("fixture", r"^(refcheck-|variant-)"), ("reference", r"^reference-"), ("candidate", r"-cand\d+$"))
 
@@ -64,16 +66,15 @@ def allocate(new: DataFrame, used: DataFrame, prefix: str, order: Sequence[str],
     """new with a column number: the smallest free numbers of its prefix, in order; numbers in used (prefix, number) are skipped.
 
     The k-th new row gets k plus the used numbers u that lie before it: those with u minus its own
-    rank under k. One sort by prefix of both tables settles this.
+    rank under k. Ranks and counts are running sums, so that a prefix with very many rows is spread over tasks.
     """
-    over = Window.partitionBy(prefix)
-    taken = used.select(prefix, number).distinct()
-    taken = taken.withColumn("__at", F.col(number) - F.row_number().over(over.orderBy(number))).select(prefix, "__at", F.lit(0).alias("__new"), F.lit(None).cast("long").alias("__k"))
-    rows = new.withColumn("__k", F.row_number().over(over.orderBy(*order)).cast("long"))
+    taken = rank_within(used.select(prefix, number).distinct(), [prefix], [number], "__rank")
     # a used number with u - rank = k - 1 comes before the k-th new row
-    both = taken.withColumn("__at", F.col("__at") + 1).union(rows.select(prefix, F.col("__k").alias("__at"), F.lit(1).alias("__new"), "__k"))
-    before = F.count_if(F.col("__new") == 0).over(over.orderBy("__at", "__new").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = both.withColumn(number, F.col("__k") + before).filter("__new = 1").select(prefix, "__k", number)
+    taken = taken.select(prefix, (F.col(number) - F.col("__rank") + 1).alias("__at"), F.lit(0).alias("__new"), F.lit(None).cast("long").alias("__k"))
+    rows = rank_within(new, [prefix], list(order), "__k")
+    both = taken.union(rows.select(prefix, F.col("__k").alias("__at"), F.lit(1).alias("__new"), "__k"))
+    counted = running_sum(both, [prefix], ["__at", "__new"], 1 - F.col("__new"), "__before").filter("__new = 1")
+    numbered = counted.select(prefix, "__k", (F.col("__k") + F.col("__before")).alias(number))
     return rows.join(numbered, [prefix, "__k"]).drop("__k")
 
 
@@ -115,11 +116,11 @@ def latest(rows: DataFrame, key: str, value: str, order: Sequence[str]) -> DataF
 
 
 def resolve(rows: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]], result: str, otherwise: Column) -> DataFrame:
-    """rows with result: from the first lookup (table of key and value, row's key column, value column) that has it, else otherwise."""
+    """rows with result: from the first lookup (table of key and value, row's key column, value column) that has it, else otherwise; of values of one key the least."""
     out, found = rows, []
     for i, (table, key, value) in enumerate(lookups):
         names = table.columns
-        side = table.select(F.col(next(c for c in names if c != value)).alias(f"__k{i}"), F.col(value).alias(f"__v{i}"))
+        side = table.groupBy(F.col(next(c for c in names if c != value)).alias(f"__k{i}")).agg(F.min(value).alias(f"__v{i}"))
         out = out.join(side, F.col(key) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
         found.append(F.col(f"__v{i}"))
     return out.withColumn(result, F.coalesce(*found, otherwise)).drop(*(f"__v{i}" for i in range(len(lookups))))

@@ -97,3 +97,33 @@ def fingerprint(df: DataFrame, row_key: Column, by: str = "segment", **more: Col
     """Rows (by, n, digest, more...): an order-free checksum of the rows in each group, summed before the shuffle, and other aggregates of the same scan."""
     part = F.conv(F.substring(F.md5(row_key), 1, 12), 16, 10).cast("decimal(38,0)")
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("string").alias("digest"), *(c.alias(k) for k, c in more.items()))
+
+
+def manifest_fields(seg: DataFrame, variables: list[str], row_key: Column, target: str = "y", **rule: object) -> DataFrame:
+    """Rows (field, value) that describe a split: rows, checksum and target range of each segment, the training range of each variable, and its rule."""
+    told = lambda c: F.format_string("%.12e", c.cast("double"))
+    a = fingerprint(seg, row_key, y_lo=F.min(target), y_hi=F.max(target))
+    parts = {"n": F.col("n").cast("string"), "digest": F.col("digest"), "target_low": told(F.col("y_lo")), "target_high": told(F.col("y_hi"))}
+    counts = a.select(F.inline(F.array(*(F.struct(F.concat("segment", F.lit(f"/{k}")).alias("field"), v.alias("value")) for k, v in parts.items()))))
+    box = support(seg, variables)
+    ends = box.select(F.inline(F.array(*(F.struct(F.concat(F.lit("support/"), "variable", F.lit(f"/{k}")).alias("field"), told(F.col(c)).alias("value")) for k, c in (("low", "lo"), ("high", "hi"))))))
+    rules = seg.sparkSession.createDataFrame([(f"rule/{k}", str(v)) for k, v in sorted(rule.items())], "field string, value string")
+    return counts.unionByName(ends).unionByName(rules)
+
+
+def drift(manifest: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows (field, finding, was, now) of the fields in which a split is no longer what its manifest says: changed, missing or added."""
+    j = manifest.select("field", F.col("value").alias("was"), F.lit(True).alias("__m")).join(now.select("field", F.col("value").alias("now"), F.lit(True).alias("__n")), "field", "full_outer")
+    finding = F.when(F.col("__n").isNull(), "missing").when(F.col("__m").isNull(), "added").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
+    return j.select("field", finding.alias("finding"), "was", "now").filter("finding is not null")
+
+
+def cover(data: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """Rows (key, finding, segments) of rows that are not in exactly one part: gap, overlap, or stranger if they are in none of the data."""
+    tagged = data.select(key, F.lit(None).cast("string").alias("segment"))
+    for name, part in parts.items():
+        tagged = tagged.unionByName(part.select(key, F.lit(name).alias("segment")))
+    # as many names as there are parts
+    a = tagged.groupBy(key).agg(F.count_if(F.col("segment").isNull()).alias("n"), F.array_sort(F.collect_set("segment")).alias("s"), F.count("segment").alias("held"))
+    finding = F.when(F.col("n") == 0, "stranger").when(F.col("held") == 0, "gap").when(F.col("held") > F.col("n"), "overlap").when(F.col("held") < F.col("n"), "gap")
+    return a.select(key, finding.alias("finding"), F.array_join("s", ",").alias("segments")).filter("finding is not null")

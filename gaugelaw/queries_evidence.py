@@ -174,7 +174,7 @@ def dimension_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.element_at(F.array(F.lit("m*s"), F.lit(None), F.lit("m"), F.lit("cubit"), F.lit("m^2")), (F.substring("p_brand", 7, 1).cast("int") % 5 + 1))
     units = F.create_map(F.lit("x"), x, F.lit("z"), F.lit("s"), F.lit("c"), F.lit("s"), F.lit("y"), y)
     units = F.when(F.col("p_retailprice") < 950, F.create_map().cast("map<string,string>")).otherwise(F.map_filter(units, lambda k, v: v.isNotNull()))
-    free = F.when(formula.rlike("[kc]"), F.array(F.lit("k"), F.lit("c")))
+    free = F.when(formula.rlike("^[kc][*]"), F.array(F.substring(formula, 1, 1)))
     found = gates.dimension_gate(_t(spark, sf_dir, "part").select(formula.alias("formula"), units.alias("units"), free.alias("free")))
     return found.groupBy(F.when(F.length("formula") > 100, "deep").otherwise(F.col("formula")).alias("formula"), "mode", "passed", "reason").agg(F.sum("n").alias("tasks"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.contract import LEAK
+from .plans.running import rank_within
 
 
 
@@ -107,9 +108,8 @@ def scoring_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts made unique by their occurrence: name, name-2, ..."""
     p = _t(spark, sf_dir, "part")
-    k = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
     name = F.regexp_replace(F.concat_ws("_", "p_brand", "p_type"), r"[^A-Za-z0-9_]+", "-")
-    return p.withColumn("k", k).select("p_partkey", F.when(F.col("k") == 1, name).otherwise(F.concat_ws("-", name, "k")).alias("name"))
+    return rank_within(p.select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"], ["p_partkey"], "k").select("p_partkey", F.when(F.col("k") == 1, name).otherwise(F.concat_ws("-", name, "k")).alias("name"))
 
 
 def sequence_naming(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,11 @@ def _delete_others(spark: SparkSession, path: str, keep: str) -> None:
             fs.delete(f.getPath(), True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     fs, p = _fs(spark, path)
     return spark.read.parquet(path) if fs.exists(p) else None
