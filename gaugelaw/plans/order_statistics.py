@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stored import stored
+from .stored import Scratch
 
 BINS = 4096
 #: Bounds further apart than this are cut by the logarithm.
@@ -50,15 +50,16 @@ def at_ranks(rows: DataFrame, by: list[str], targets: DataFrame, columns: list[s
     """
     keys = {k: f"__by_{i}" for i, k in enumerate(by)}
     target = [*by, "place", "c", "k0", "k1"]
+    scratch = Scratch()
     now = targets.withColumn("below", F.lit(0).cast("long"))
     done = None
     while True:
-        judged = stored(now.withColumns({"v0": _known(F.col("k0")), "v1": _known(F.col("k1"))}), "ranks")
+        judged = scratch.store(now.withColumns({"v0": _known(F.col("k0")), "v1": _known(F.col("k1"))}), "ranks")
         found = judged.filter("v0 is not null and v1 is not null").select(*by, "place", "v0", "v1")
         done = found if done is None else done.unionByName(found)
         open_ = judged.filter("v0 is null or v1 is null").drop("v0", "v1", "n")
         if open_.isEmpty():
-            return done
+            return scratch.done(done, "at_ranks")
         inside = rows.join(open_.withColumnsRenamed(keys), same_group(by, keys)).withColumn("__v", F.element_at(F.array(*columns), F.col("c") + 1)).filter("__v between lo and hi")
         counted = inside.groupBy(*target, "below", _bin(F.col("__v"), F.col("lo"), F.col("hi")).alias("bin")).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
         # a window has one row for each bin at most
@@ -70,7 +71,7 @@ def at_ranks(rows: DataFrame, by: list[str], targets: DataFrame, columns: list[s
         within = (has("k0") & F.col("v0").isNull()) | (has("k1") & F.col("v1").isNull())
         at = F.max(F.when(within, F.struct("lo", "hi", "below", "n")))
         step = held.groupBy(*target).agg(F.max("v0").alias("v0"), F.max("v1").alias("v1"), at.alias("at"))
-        step = stored(step, "ranks")
+        step = scratch.store(step, "ranks")
         known = step.filter("at is null").select(*by, "place", "v0", "v1")
         done = done.unionByName(known)
         now = step.filter("at is not null").select(*target, "at.*")
@@ -81,7 +82,8 @@ def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, tup
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     places = [(i, name, c, p) for i, (name, c, p) in enumerate((name, c, p) for name, (c, shares) in wanted.items() for p in shares)]
     ends = {f"__ends_{i}": F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")) for i, c in enumerate(columns)}
-    first = stored(rows.groupBy(*by).agg(*(m.alias(k) for k, m in moments.items()), *(e.alias(k) for k, e in ends.items())), "moments")
+    scratch = Scratch()
+    first = scratch.store(rows.groupBy(*by).agg(*(m.alias(k) for k, m in moments.items()), *(e.alias(k) for k, e in ends.items())), "moments")
 
     def rank(i: int, c: str, p: float) -> Column:
         end = F.col(f"__ends_{columns.index(c)}")
@@ -90,6 +92,7 @@ def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, tup
 
     targets = first.select(*by, F.inline(F.array(*(rank(i, c, p) for i, _, c, p in places)))).filter("n > 0")
     found = at_ranks(rows, by, targets, columns)
+    scratch.tables.append(found)
     # two ranks of each place
     each = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("v0", "v1")))).alias("__found"))
     keys = {k: f"__by_{i}" for i, k in enumerate(by)}
@@ -99,5 +102,6 @@ def percentiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str, tup
         at, v = (F.col(f"__ends_{columns.index(c)}")["n"] - 1) * F.lit(p), F.col("__found")[i]
         return v["v0"] + F.when(v["v1"] > v["v0"], (v["v1"] - v["v0"]) * (at - F.floor(at))).otherwise(0.0)
 
-    return j.select(*by, *moments, *(F.array(*(value(i, c, p) for i, m, c, p in places if m == name)).alias(name) for name in wanted))
+    # one row for each group
+    return scratch.done(j.select(*by, *moments, *(F.array(*(value(i, c, p) for i, m, c, p in places if m == name)).alias(name) for name in wanted)), "percentiles")
 

@@ -22,3 +22,21 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Scratch:
+    """Tables that only a result's computation needs: done() writes the result and deletes them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def store(self, df: DataFrame, what: str) -> DataFrame:
+        self.tables.append(stored(df, what))
+        return self.tables[-1]
+
+    def done(self, df: DataFrame, what: str) -> DataFrame:
+        out = stored(df, what)
+        for t in self.tables:
+            forget(t)
+        self.tables.clear()
+        return out

@@ -16,13 +16,17 @@ KINDS = (
     ("dq", {}, (("power", "a*q**b*exp(-c*d)", "a,b,c"), ("no_discount", "a*q**b", "a,b"), ("denominator", "a*q**b/(1+c*d)", "a,b,c"))),
     ("tq", {"q": "m"}, (("line", "a+b*q", "a,b"), ("root", "k*sqrt(q)", "k"))),
 )
-KIND = F.pmod(F.col("task_id"), F.lit(4))
+
+
+def kind() -> Column:
+    """The kind of a task's law."""
+    return F.pmod(F.col("task_id"), F.lit(4))
 
 
 def _by_kind(values: list[Column]) -> Column:
     out = values[-1]
     for i, v in reversed(list(enumerate(values[:-1]))):
-        out = F.when(KIND == i, v).otherwise(out)
+        out = F.when(kind() == i, v).otherwise(out)
     return out
 
 
@@ -77,9 +81,9 @@ def batch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters of one to three unknowns, fitted for all tasks together to targets without noise: an optimum is where they were taken from."""
-    rows = task_rows(spark, sf_dir).filter(KIND.isin(1, 2)).drop("y", "tie")
+    rows = task_rows(spark, sf_dir).filter(kind().isin(1, 2)).drop("y", "tie")
     d, q, p = F.get("x", F.lit(0)), F.get("x", F.lit(1)), F.get("x", F.lit(1))
-    y = F.when(KIND == 1, (2 + F.col("task_id") % 5) * p / d).otherwise((1 + F.col("task_id") % 3) * F.pow(q, 1 + F.col("task_id") % 7 / 8) / (1 + (2 + F.col("task_id") % 2) * d))
+    y = F.when(kind() == 1, (2 + F.col("task_id") % 5) * p / d).otherwise((1 + F.col("task_id") % 3) * F.pow(q, 1 + F.col("task_id") % 7 / 8) / (1 + (2 + F.col("task_id") % 2) * d))
     tasks, candidates = task_tables(spark, sf_dir)
     held = batch.blocks(rows.select("task_id", "x", y.alias("y"), F.lit("train").alias("segment")))
     asked = candidates.filter("candidate in ('ratio', 'denominator')").join(tasks, "task_id").select(F.col("task_id").cast("string").alias("task_id"), "candidate", "formula", "var_names", "free")

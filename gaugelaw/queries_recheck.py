@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import batch, nested_diff, recheck
 from .plans import split
 from .plans.stored import stored
-from .queries_batch import KIND, task_rows, task_tables
+from .queries_batch import kind, task_rows, task_tables
 from .queries_law import BASE_SQL, laws, split_sql
 from .sources.sinks import shared_folder
 from .streaming import archive
@@ -19,8 +19,8 @@ SPOILT = 10
 
 def rechecked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Runs of the first kind of task, whose records are then spoilt in ten ways, and what a recheck finds."""
-    data = task_rows(spark, sf_dir).filter(KIND == 0)
-    tasks, candidates = (t.filter(KIND == 0) for t in task_tables(spark, sf_dir))
+    data = task_rows(spark, sf_dir).filter(kind() == 0)
+    tasks, candidates = (t.filter(kind() == 0) for t in task_tables(spark, sf_dir))
     candidates = candidates.filter("candidate in ('law', 'scaled', 'no_discount')")
     found, fits = batch.verify_with_fits(data, tasks, candidates)
     found = stored(found, "first")
