@@ -70,6 +70,15 @@ def spec_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.coalesce("label", F.lit("scale-checks-missing")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("nominal")["k"]), 2).alias("k"), F.max("s_nationkey").alias("last_nation"))
 
 
+def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of a ledger, some of them cut off and some without a session, read back: entries, spans and broken lines by kind."""
+    path, e = sinks.shared_folder(spark, "ledger"), _t(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.when(F.col("event_id") % 11 != 0, F.col("user_id").cast("string")).alias("session_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("type"), "value"))
+    e.select(F.when(F.col("event_id") % 97 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    rows = readers.read_ledger(spark, path)
+    return rows.groupBy(F.coalesce("kind", F.lit("broken")).alias("kind"), "sound").agg(F.count("*").alias("n"), F.count_distinct("session").alias("sessions"), F.date_format(F.max("at"), "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
 def candidate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of tasks, as texts or with parameters, from lines of JSON."""
     path, p = sinks.shared_folder(spark, "candidates"), _t(spark, sf_dir, "part")
@@ -135,6 +144,8 @@ ORACLE_SQL = {
       r as (select y, unnest(['south', 'middle', 'north']) as band, unnest([f, o, p]) as v from w where f is not null and o is not null and p is not null) select band, cast(count(*) as bigint) as years, cast(sum(v) as double) as total, cast(max(y) as int) as last from r group by band""",
     "spec_scan": """with l as (select s_nationkey as nation, s_acctbal, case when s_nationkey < 8 then ['scaling p x2.0', 'sign', 'scaling q x3.0'] when s_nationkey < 16 then ['limit'] else ['scale-checks-missing'] end as labels from supplier),
       u as (select nation, s_acctbal, unnest(labels) as label from l) select label, cast(count(*) as bigint) as n, round(sum(case when label <> 'scale-checks-missing' then round(s_acctbal, 2) end), 2) as k, max(nation) as last_nation from u group by label""",
+    "ledger_scan": """with l as (select case when event_id % 97 = 0 then null when event_id % 11 = 0 then null else user_id end as s, case when event_id % 97 <> 0 then event_type end as kind, case when event_id % 97 <> 0 then date_trunc('second', ts) end as moment from events)
+      select coalesce(kind, 'broken') as kind, s is not null as sound, cast(count(*) as bigint) as n, cast(count(distinct s) as bigint) as sessions, strftime(max(moment), '%Y-%m-%d %H:%M:%S') as last from l group by all""",
     "candidate_scan": "with u as (select unnest([concat('x/', p_size), concat('k*', p_brand)]) as formula, unnest([null, cast(p_size as double)]) as k, unnest([0, 1]) as place from part) select formula, cast(count(*) as bigint) as n, sum(k) as k, cast(max(place) as int) as place from u group by formula",
     "split_manifest": f"{SEG} select segment, case when segment = 'extrapolation' then 'equal' else 'changed' end as status, cast(count(*) as bigint) as n, round(min(y), 4) as y_min, 'p' as axis from seg group by segment",
     "evidence_store": """with r as (select o_orderkey as run_id from orders), c as (select l_orderkey as run_id, l_returnflag as name, l_linestatus from lineitem), d as (select run_id, name from c group by all having count(*) > 1), w as (select distinct run_id from c where l_linestatus = 'F')

@@ -84,6 +84,31 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return runs.withColumn("run_id", F.element_at(F.split("_metadata.file_path", "/"), -2))
 
 
+def read_checks(spark: SparkSession, root: str) -> DataFrame:
+    """Rows (run_id, file, name, passed, metrics JSON) of the check files of all run folders below root; a file that is no object with a name is dropped."""
+    raw = spark.read.text(f"{root.rstrip('/')}/*/checks/*.json", wholetext=True)
+    place = F.split("_metadata.file_path", "/")
+    rows = raw.select(F.element_at(place, -3).alias("run_id"), F.element_at(place, -1).alias("file"), F.get_json_object("value", "$.name").alias("name"), F.get_json_object("value", "$.passed").try_cast("boolean").alias("passed"), F.get_json_object("value", "$.metrics").alias("metrics"))
+    return rows.filter("name is not null")
+
+
+def runs_by_task(runs: DataFrame, checks: DataFrame) -> DataFrame:
+    """Rows (task_id, run_id, verdict, n_checks, failed) of runs with their checks; a run without a task has the task null, one without checks none."""
+    # a run has a few dozen checks
+    failed = F.array_join(F.array_sort(F.collect_set(F.when(~F.coalesce("passed", F.lit(False)), F.col("name")))), ",")
+    each = checks.groupBy("run_id").agg(F.count("*").alias("n_checks"), failed.alias("failed"))
+    j = runs.select("task_id", "run_id", "verdict").join(each, "run_id", "left")
+    return j.select("task_id", "run_id", "verdict", F.coalesce("n_checks", F.lit(0)).alias("n_checks"), F.coalesce("failed", F.lit("")).alias("failed"))
+
+
+def read_ledger(spark: SparkSession, path: str, session: str = "session_id", time: str = "ts", kind: str = "type") -> DataFrame:
+    """Rows (session, at, kind, entry JSON, sound) of the lines of a ledger, one JSON object each; a line that is none, or has no session, is kept and not sound. Blank lines are dropped."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    of = lambda name: F.get_json_object("value", f"$.{name}")
+    at = F.coalesce(of(time).try_cast("timestamp"), F.timestamp_millis((of(time).try_cast("double") * 1000).cast("long")))
+    return lines.select(of(session).alias("session"), at.alias("at"), of(kind).alias("kind"), F.col("value").alias("entry"), (of(session).isNotNull()).alias("sound"))
+
+
 def read_zonal(spark: SparkSession, path: str, arity: int) -> DataFrame:
     """Rows (year int, bands array<double>) of lines "year,v1,...": a line with another number of cells, or with a cell that is no number, is dropped."""
     cells = F.transform(F.split("value", ","), lambda c: F.trim(c).try_cast("double"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugelaw.operators import evidence, nested_diff, recheck
 from gaugelaw.plans import running, split
+from gaugelaw.sources import readers
 from gaugelaw.streaming import archive
 
 
@@ -140,3 +141,25 @@ def test_recheck_is_written(spark, tmp_path):
     assert {(r["run_id"], len(r["checks"] or [])) for r in spark.read.json(f"{tmp_path}/runs").collect()} == {("a", 1), ("b", 0), ("c", 0)}
     assert {(r["status"], r["n"], r["in_scope"], r["recompute_rate"]) for r in spark.read.json(f"{tmp_path}/summary").collect()} == {("agree", 1, 2, 0.5), ("disagree", 1, 2, 0.5), ("out-of-scope", 1, 2, 0.5)}
     assert recheck.summary(runs.filter("status = 'out-of-scope'")).first()["recompute_rate"] == 0
+
+
+def test_run_folders(spark, tmp_path):
+    """Runs with and without checks, a folder without run.json, a check file that is none, an unknown task."""
+    for run, meta, checks in (("r1", {"task_id": "t", "verdict": "accepted"}, [{"name": "fit", "passed": True, "metrics": {"a": 1}}, {"name": "holdout", "passed": False}, [1]]), ("r2", {"verdict": "rejected"}, []), ("r3", None, [{"name": "fit", "passed": True}])):
+        folder = tmp_path / "runs" / run
+        (folder / "checks").mkdir(parents=True)
+        if meta:
+            (folder / "run.json").write_text(json.dumps(meta))
+        for i, c in enumerate(checks):
+            (folder / "checks" / f"{i}.json").write_text(json.dumps(c))
+    root = str(tmp_path / "runs")
+    checks = readers.read_checks(spark, root)
+    assert {(r["run_id"], r["file"], r["name"], r["passed"]) for r in checks.collect()} == {("r1", "0.json", "fit", True), ("r1", "1.json", "holdout", False), ("r3", "0.json", "fit", True)}
+    got = {tuple(r) for r in readers.runs_by_task(readers.read_runs(spark, root), checks).collect()}
+    assert got == {("t", "r1", "accepted", 2, "holdout"), (None, "r2", "rejected", 0, "")}
+
+
+def test_ledger(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"session_id": "a", "ts": 1700000000.5, "type": "x"}\n\n{"type": "y"}\n{"session\n{"session_id": 7, "ts": "2024-01-01 00:00:00"}\n')
+    got = [(r["session"], r["kind"], r["sound"], r["at"] is not None) for r in readers.read_ledger(spark, str(tmp_path / "l.jsonl")).collect()]
+    assert sorted(got, key=str) == sorted([("a", "x", True, True), (None, "y", False, False), (None, None, False, False), ("7", None, True, True)], key=str)
