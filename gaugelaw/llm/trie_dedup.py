@@ -226,7 +226,9 @@ def owners(texts: DataFrame, keep: str = "smallest", most: int = 64_000_000) ->
             return found
         rounds += 1
         parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2**rounds
-        deal = rest.repartition(parts, F.xxhash64(F.lit(rounds), "n_bytes", "hash"))
+        # texts of one length and hash meet in one task however many there are: no more tasks than what is left can fill to a quarter
+        held = rest.agg(F.sum(F.col("n_bytes") + HEAD + NODE)).first()[0]
+        deal = rest.repartition(min(parts, 4 * (held // most + 1)), F.xxhash64(F.lit(rounds), "n_bytes", "hash"))
 
 
 def exact_groups(

@@ -194,6 +194,16 @@ def test_exact_groups(spark, most, content_hash):
         assert Counter(map(tuple, got)) == Counter(exact(rows, pick))
 
 
+def test_exact_groups_of_one_crowded_hash(spark, monkeypatch):
+    """Many rounds, as a trie holds few of the texts with one length and hash: their tasks follow what is left."""
+    docs, parts = frame(spark, [(i, f"{i % 16:02d}" * 5) for i in range(20)]), []
+    real = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *cols: parts.append(n) or real(self, n, *cols))
+    got = trie_dedup.exact_groups(docs, most=1500, content_hash=lambda c: F.lit(7)).collect()
+    assert Counter(map(tuple, got)) == Counter(exact([(i, f"{i % 16:02d}" * 5) for i in range(20)], min))
+    assert len(parts) > 4 and max(parts[1:]) <= 4 * (20 * (10 + trie_dedup.HEAD + trie_dedup.NODE) // 1500 + 1)
+
+
 def test_exact_groups_of_other_kinds(spark):
     assert trie_dedup.exact_groups(frame(spark, copies()).limit(0)).collect() == []
     rows = spark.createDataFrame([("b", "X"), ("a", "x"), ("c", "y")], "doc_id string, text string")
