@@ -57,7 +57,8 @@ def archive_all(stream: DataFrame, id_col: str, time_col: str, path: str, state:
         late = F.lit(False) if latest is None else F.coalesce(F.col("at") < F.lit(latest) - F.expr(f"interval {delay_seconds} seconds"), F.lit(True))
         new = new.withColumns({"bucket": F.when(late, "late").otherwise("on_time"), "day": F.coalesce(F.date_format("at", "yyyyMMdd"), F.lit("undated"))})
         named = stored(allocate(new, held.select("day", "number"), "day", [id_col, "digest"]), "named")
-        named.withColumn("run_name", F.concat_ws("_", "day", F.lpad(F.col("number").cast("string"), 4, "0"))).select(*columns, "digest", "run_name", "bucket").write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        told = F.col("number").cast("string")  # four digits at least; lpad alone would cut longer ones
+        named.withColumn("run_name", F.concat_ws("_", "day", F.lpad(told, F.greatest(F.lit(4), F.length(told)), "0"))).select(*columns, "digest", "run_name", "bucket").write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
         named.select(id_col, "digest", "at", "day", "number").write.mode("overwrite").parquet(f"{path}/index/batch={batch}")
 
     stream.writeStream.foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -134,6 +134,14 @@ def test_late_rows_over_several_calls(spark, tmp_path):
     assert sorted(v[1] for v in second.values()) == ["20240101_0001", "20240101_0002", "20240101_0003", "20240101_0004", "20240101_0005", "undated_0001"]
 
 
+def test_names_of_a_day_with_over_9999_rows(spark, tmp_path):
+    """A name keeps all digits of its number."""
+    inbox, path = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(10_050).select("id", F.to_timestamp(F.lit("2024-01-01 00:10:00")).alias("t")).coalesce(1).write.parquet(inbox)
+    held = archive.archive_all(archive.read_stream(spark, inbox, files=1), "id", "t", path, f"{path}/state", 60)
+    assert {r["run_name"] for r in held.collect()} == {f"20240101_{n:04d}" for n in range(1, 10_051)}
+
+
 def test_recheck_is_written(spark, tmp_path):
     runs = spark.createDataFrame([("a", "agree", True), ("b", "disagree", False), ("c", "out-of-scope", False)], "run_id string, status string, deterministic boolean")
     checks = spark.createDataFrame([("a", "holdout", True, True, 0.0)], "run_id string, name string, was boolean, now boolean, difference double")
