@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from ..functions.formula import finite
-from .spec_checks import evaluated, inside
+from ..functions.evaluate import evaluate
+from ..functions.formula import FormulaError
+from .spec_checks import between, spread
 
 #: Points of the sequence; with the middle and both corners 259.
 POINTS = 256
@@ -14,11 +20,17 @@ POINTS = 256
 PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
 
 
-def _share(i: Column, place: Column) -> Column:
-    """Where the i-th point lies for the variable at a place: the middle, the low and the high corner, then an additive sequence."""
-    root = F.sqrt(F.element_at(F.array(*map(F.lit, PRIMES)), place + 1).cast("double"))
-    turn = root * (i - 2)
-    return F.when(i == 0, 0.5).when(i == 1, 0.0).when(i == 2, 1.0).otherwise(turn - F.floor(turn))
+def _shares() -> np.ndarray:
+    """Where the points lie for the variable at each place: the middle, the low and the high corner, then an additive sequence."""
+    turn = np.sqrt(np.array(PRIMES, float))[:, None] * np.arange(1, POINTS + 1)
+    return np.concatenate([np.full((len(PRIMES), 1), 0.5), np.zeros((len(PRIMES), 1)), np.ones((len(PRIMES), 1)), turn - np.floor(turn)], 1)
+
+
+def _at(text: str | None, points: dict[str, np.ndarray], size: int) -> np.ndarray:
+    try:
+        return evaluate(text or "", points, size)
+    except FormulaError:
+        return np.full(size, np.nan)
 
 
 def compare(pairs: DataFrame, limit: float = 1e-6) -> DataFrame:
@@ -28,15 +40,31 @@ def compare(pairs: DataFrame, limit: float = 1e-6) -> DataFrame:
     many points either is not; equal: no point is undefined and the deviation is at most limit. A text that is no formula is undefined everywhere. Ranges
     of up to twelve variables.
     """
-    none = F.create_map().cast("map<string,double>")
-    names = F.array_sort(F.map_keys("sampling"))
-    at = lambda i: F.map_from_arrays(names, F.transform(names, lambda n, place: inside(F.col("sampling")[n][0], F.col("sampling")[n][1], _share(i, place))))
-    points = pairs.select("id", "formula", "reference", F.coalesce("parameters", none).alias("p"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(POINTS + 2)), at)).alias("i", "values"))
-    values = F.map_concat("values", F.map_filter("p", lambda k, v: ~F.map_contains_key("values", k)))
-    both = points.select(F.struct("id", "i").alias("id"), values.alias("values"), F.posexplode(F.array("formula", "reference")).alias("side", "formula"))
-    ys = evaluated(both.select("id", F.col("side").alias("i"), "formula", "values"))
-    pair = ys.groupBy("id").agg(F.max(F.when(F.col("i") == 0, F.col("y"))).alias("a"), F.max(F.when(F.col("i") == 1, F.col("y"))).alias("b"))
-    ok = finite(F.col("a")) & finite(F.col("b"))
-    whole = pair.groupBy(F.col("id.id").alias("id")).agg(F.max(F.when(ok, F.abs(F.col("a") - F.col("b")))).alias("off"), F.max(F.when(ok, F.abs("b"))).alias("size"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("undefined"))
-    deviation = F.col("off") / F.when(F.col("size") > 0, F.col("size")).otherwise(1.0)
-    return whole.select("id", deviation.alias("deviation"), "undefined", F.coalesce((F.col("undefined") == 0) & (deviation <= limit), F.lit(False)).alias("equal"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares = _shares()
+        size = shares.shape[1]
+        for b in batches:
+            found = []
+            for formula, reference, sampling, parameters in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
+                points = {}
+                if sampling is not None:
+                    if len(sampling) > len(PRIMES):
+                        raise ValueError(f"more than {len(PRIMES)} variables")
+                    points = {k: np.nan if v is None else v for k, v in parameters or ()}
+                    points |= {k: between(v, shares[i]) for i, (k, v) in enumerate(sorted(sampling, key=lambda kv: kv[0]))}
+                y, want = _at(formula, points, size), _at(reference, points, size)
+                ok = np.isfinite(y) & np.isfinite(want)
+                if ok.any():
+                    with np.errstate(all="ignore"):
+                        off, most = np.abs(y - want)[ok].max(), np.abs(want)[ok].max()
+                        deviation = float(off / (most if most > 0 else 1.0))
+                else:
+                    deviation = None
+                undefined = size - int(ok.sum())
+                found.append((deviation, undefined, undefined == 0 and deviation <= limit))
+            more = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.float64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *more], names=["id", "deviation", "undefined", "equal"])
+
+    kinds = StructType([pairs.schema["id"], StructField("deviation", DoubleType()), StructField("undefined", LongType()), StructField("equal", BooleanType())])
+    return pairs.select("id", "formula", "reference", "sampling", F.col("parameters").cast("map<string,double>")).repartition(spread(pairs), "id").mapInArrow(work, kinds)
