@@ -67,3 +67,17 @@ def test_equality(spark):
     assert {k: v[0] for k, v in got.items()} == {"same": True, "near": True, "off": False, "undefined": False, "name": False, "zero": True, "constant": True, "null": False}
     assert got["name"][1] == got["null"][1] == 259 and 0 < got["undefined"][1] < 259
     assert equality.compare(df.limit(0)).collect() == []
+
+
+def test_points_are_compared_where_the_pair_lies(spark):
+    """A pair stays one row, and its difference is that of a plain loop's points."""
+    from gaugelaw.operators import equality
+
+    pairs = spark.createDataFrame([("same", "a*b", "b*a"), ("off", "a*b*1.5", "a*b"), ("root", "sqrt(a-2)", "a"), ("none", "a*(", "a")], "id string, formula string, reference string")
+    pairs = pairs.selectExpr("*", "map('a', array(1D, 3D), 'b', array(0D, 4D)) as sampling", "cast(map() as map<string,double>) as parameters")
+    found = equality.compare(pairs)
+    assert not {"Generate", "HashAggregate"} & set(found._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+    got = {r["id"]: (r["deviation"], r["undefined"], r["equal"]) for r in found.collect()}
+    at = [3**0.5, 1.0, 3.0] + [3 ** ((i * 2**0.5) % 1) for i in range(1, 257)]
+    assert got["same"] == (0, 0, True) and got["off"] == (0.5, 0, False) and got["none"] == (None, 259, False)
+    assert got["root"][1] == sum(a < 2 for a in at)
